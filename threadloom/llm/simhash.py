@@ -176,7 +176,8 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 1
     chained = short.select(F.col("key").alias("y"), F.array(*[F.lag("key", n).over(same) for n in (1, 2, 3)], F.first("key").over(same)).alias("before"))
     twins = chained.select(F.explode("before").alias("x"), "y").where("x is not null")
     first = cut(short.groupBy("fp").agg(F.min("key").alias("key")))
-    sent = first.select((F.col("fp").bitwiseXOR(F.explode(F.array(*[F.lit(m).cast("long") for m in ball(1, bits)])))).alias("variant"), "fp")
+    masks = F.explode(F.array(*[F.lit(m).cast("long") for m in ball(1, bits)]))
+    sent = first.select("fp", masks.alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
     met = sent.repartition("variant").sortWithinPartitions("variant").mapInArrow(bucket_pairs, "t bigint, a bigint, b bigint").select("a", "b").distinct()
     ends = met.join(first.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b")
     pairs = ends.select("x", "y").unionAll(twins).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
