@@ -4,30 +4,49 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the folder that the session names for checkpoints; a temporary one only where a local session names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the session names it for checkpoints.
+
+    Where the session names none, a temporary folder is set; that is for local runs and tests only.
+    """
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        found = sc._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and forget its lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the undirected edges (u, v); root is the least node of the component.
+    """(node, root) of the undirected edges (u, v), two long columns; root is the least node of the component.
 
-    Every node hooks to its least neighbour and the graph is contracted, so that rounds are logarithmic.
+    Direction, repeats and loops do not matter, rows with a null are ignored, nodes without an edge to another node
+    are left out. Each round hooks every node to its least neighbour, follows pointers by doubling until each
+    ends in a root, and contracts the graph, so that rounds are logarithmic and the edges shrink. A hub's neighbours
+    are only ever reduced by a minimum with map-side combining or joined, never listed.
     """
-    e, labels = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()), None
+    a, b = edges.columns[:2]
+    e, labels = cut(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col(a) != F.col(b)).distinct()), None
     while not e.isEmpty():
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         up = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("up")))
-        up = cut(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("upper")), "up").select("node", F.col("upper").alias("up")))
+        moved = True
+        while moved:
+            jumped = cut(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("upper")), "up").select("node", "up", "upper"))
+            moved, up = not jumped.where("up <> upper").isEmpty(), jumped.select("node", F.col("upper").alias("up"))
         low, high = up.select(F.col("node").alias("u"), F.col("up").alias("ru")), up.select(F.col("node").alias("v"), F.col("up").alias("rv"))
         e = cut(e.join(low, "u").join(high, "v").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).where("u < v").distinct())
         if labels is None:
@@ -88,3 +107,60 @@ def neighbour_score(instance_hits: Column, edge_hits: Column, n_keywords: Column
     n = F.greatest(n_keywords, F.lit(1))
     return 0.5 * F.least(instance_hits / n, F.lit(1.0)) + 0.5 * F.least(edge_hits / n, F.lit(1.0))
 
+
+
+def creates_cycle(edges: DataFrame, candidates: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """Candidates (src, dst) with whether adding each alone would close a cycle in acyclic ``edges``.
+
+    A self-loop does, an edge that is there already does not; others do if the source can be reached from the
+    target. All candidates are followed together, one step a round, until nothing new is reached.
+    """
+    asked = candidates.select("src", "dst").distinct()
+    near = edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
+    frontier = cut(asked.where("src <> dst").select("src", "dst", F.col("dst").alias("at")))
+    seen = frontier
+    for _ in range(most_rounds):
+        if frontier.isEmpty():
+            break
+        step = frontier.where("src <> at").join(near, "at").select("src", "dst", F.col("next").alias("at")).distinct()
+        frontier = cut(step.join(seen, ["src", "dst", "at"], "left_anti"))
+        seen = cut(seen.unionAll(frontier))
+    hit = seen.where("src = at").select("src", "dst", F.lit(True).alias("hit")).distinct()
+    known = edges.select("src", "dst", F.lit(True).alias("known")).distinct()
+    out = asked.join(hit, ["src", "dst"], "left").join(known, ["src", "dst"], "left")
+    return out.select("src", "dst", F.when(F.col("src") == F.col("dst"), True).when(F.col("known"), False).otherwise(F.coalesce("hit", F.lit(False))).alias("cycle"))
+
+
+def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
+    """(node, community) by local moves that raise modularity on undirected edges (u, v, weight).
+
+    In each round the nodes of one half (by hash and round) move to the neighbouring community of greatest gain,
+    the least id among equals, so that neighbours seldom swap places. Work is joins and sums over the edges; no
+    component is gathered. Communities are named by the least node in them.
+    """
+    arcs = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "weight").unionAll(edges.select("v", "u", "weight")))
+    degree = cut(arcs.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
+    total = degree.agg(F.sum("k")).first()[0] or 1.0
+    place = degree.select("node", F.col("node").alias("community"), "k")
+    for i in range(rounds):
+        size = place.groupBy("community").agg(F.sum("k").alias("size"))
+        turn = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0
+        moving = place.where(turn).select("node", F.col("community").alias("own"), "k")
+        links = arcs.join(place.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
+        options = moving.join(links, "node").unionByName(moving.select("node", "own", "k", F.col("own").alias("community"), F.lit(0.0).alias("w")))
+        options = options.groupBy("node", "own", "k", "community").agg(F.sum("w").alias("w")).join(size, "community")
+        rest = F.col("size") - F.when(F.col("own") == F.col("community"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - rest * F.col("k") / total, 9)
+        best = options.groupBy("node").agg(F.max_by("community", F.struct(gain, (F.col("own") == F.col("community")).cast("int"), -F.col("community"))).alias("to"))
+        place = cut(place.join(best, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k"))
+    names = place.groupBy("community").agg(F.min("node").alias("name"))
+    return place.join(names, "community").select("node", F.col("name").alias("community"))
+
+
+def modularity(edges: DataFrame, place: DataFrame) -> DataFrame:
+    """Modularity of a placement (node, community), one row."""
+    arcs = edges.select(F.col("u").alias("node"), F.col("v").alias("b"), "weight").unionAll(edges.select("v", "u", "weight"))
+    here = arcs.join(place, "node").join(place.select(F.col("node").alias("b"), F.col("community").alias("other")), "b")
+    by = here.groupBy("community").agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("community") == F.col("other"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    m = F.sum("k")
+    return by.agg(F.coalesce(F.sum("inside") / m - F.sum(F.col("k") * F.col("k")) / (m * m), F.lit(0.0)).alias("modularity"))
