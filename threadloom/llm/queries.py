@@ -58,4 +58,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_suffix_dedup, op3_best_fit_packing, op4_decontaminate, op5_warc_index, op6_cap_filters, op7_secret_scan, op8_simhash_groups, op9_quality, op10_license_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _kind_sql(number: int, kind: str, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"SELECT doc_id, owner, {number} AS no, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{quoted}', 0) AS hit, regexp_extract_all(t, '{quoted}', {group}) AS sec, string_split_regex(t, '{quoted}') AS gap FROM d"
+
+
+_EITHER = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = " UNION ALL ".join([_kind_sql(0, "assign", _EITHER, 2, 12), _kind_sql(1, "access", "AKIA[A-Z0-9]+", 0, 18), _kind_sql(2, "hex", "[0-9a-f]+", 0, 16), _kind_sql(3, "live", "[A-Za-z0-9+/_-]{24,}", 0, 24)])
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_index": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+      f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+      SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d LEFT JOIN f USING (h)""",
+    "op6_cap_filters": """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+      r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+      c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+      SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op7_secret_scan": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents), k AS ({_KINDS}),
+      x AS (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM k WHERE len(hit) > 0),
+      y AS (SELECT doc_id, owner, no, kind, sec[i] AS sec, length(hit[i]) AS n, coalesce(list_sum(list_transform(gap[1:i], lambda g: length(g))), 0)::BIGINT + coalesce(list_sum(list_transform(hit[1:i - 1], lambda g: length(g))), 0)::BIGINT AS s FROM x WHERE length(sec[i]) >= least),
+      b AS (SELECT * FROM y WHERE no < 3), m AS (SELECT * FROM y WHERE no = 3 AND regexp_matches(sec, '[0-9]') AND regexp_matches(sec, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = y.doc_id AND b.s < y.s + y.n AND y.s < b.s + b.n)),
+      u AS (FROM b UNION ALL FROM m), o AS (SELECT sec, count(DISTINCT owner) <= 1 AND count(DISTINCT (owner, doc_id)) <= 3 AS few FROM u GROUP BY sec),
+      w AS (SELECT u.*, few FROM u JOIN o USING (sec) WHERE no < 3 OR few),
+      g AS (SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex, count(*) FILTER (no = 3) AS n_live, count(*) FILTER (no < 3 AND NOT few) AS n_copied,
+        string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, no) FILTER (no < 3) AS base, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, no) AS spans FROM w GROUP BY doc_id)
+      SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)""",
+}
