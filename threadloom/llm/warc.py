@@ -37,7 +37,9 @@ def url_key(url: str | None) -> str:
 
 
 def _fs(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+    if folder.startswith("file:") or "://" not in folder:
+        return pafs.LocalFileSystem(), re.sub(r"^file:/*", "/", folder)
+    return pafs.FileSystem.from_uri(folder)
 
 
 def record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, kind: str) -> bytes:
