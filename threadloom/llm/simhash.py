@@ -111,8 +111,13 @@ def groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 
 
 def bucket_pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of rows with equal variant, from rows sorted by it; one open bucket is carried from batch to batch."""
-    schema = pa.schema([("t", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    """All pairs (a, b) of fingerprints in one bucket, from rows (variant, bit) sorted by variant.
+
+    ``bit`` is the one in which the fingerprint differs from the variant, counted from 1; 0 means in none. One
+    open bucket is carried from batch to batch; a bucket is a ball at most.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    masks = np.array([0, *(1 << k for k in range(62))], np.int64)
     held = (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def pairs(variant, fp):
@@ -120,11 +125,12 @@ def bucket_pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(variant[lag:] == variant[:-lag])
             if not len(at):
                 return
-            yield pa.RecordBatch.from_arrays([pa.array(variant[at] >> 32), pa.array(fp[at]), pa.array(fp[at + lag])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[at + lag])], schema=schema)
 
     for batch in rows:
-        variant = np.concatenate([held[0], batch.column(0).to_numpy()])
-        fp = np.concatenate([held[1], batch.column(1).to_numpy()])
+        own = batch.column(0).to_numpy()
+        variant = np.concatenate([held[0], own])
+        fp = np.concatenate([held[1], own ^ masks[batch.column(1).to_numpy()]])
         if not len(variant):
             continue
         start = int(np.searchsorted(variant, variant[-1], "left"))
@@ -163,22 +169,20 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 1
     doc_id takes the component's; repeated rows repeat; an empty table gives no rows. Returns doc_id, key (of the
     text) and component_id.
     """
-    keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    norm = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
-    keyed = keyed.select("doc_id", norm.alias("text")).withColumn("key", F.xxhash64("text", F.lit(1)))
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", text_key())
     members = cut(keyed.select("doc_id", "key"))
-    firsts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("text").alias("text"))
     per = 64 // bits
-    prints = cut(fingerprints(firsts, words, (tables + per - 1) // per, ("key", "text")))
+    prints = fingerprints(keyed, words, (tables + per - 1) // per, ("key",))
+    prints = cut(prints.groupBy("key").agg(F.min("fp").alias("fp")))  # equal keys have equal fingerprints
     table_bits = [F.shiftrightunsigned(F.col("fp")[k // per], bits * (k % per)).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(tables)]
     short = prints.select("key", F.posexplode(F.array(*table_bits)).alias("t", "fp")).select("key", (F.col("t").cast("long") * (1 << 32) + F.col("fp")).alias("fp"))
     same = Window.partitionBy("fp").orderBy("key")
     chained = short.select(F.col("key").alias("y"), F.array(*[F.lag("key", n).over(same) for n in (1, 2, 3)], F.first("key").over(same)).alias("before"))
     twins = chained.select(F.explode("before").alias("x"), "y").where("x is not null")
     first = cut(short.groupBy("fp").agg(F.min("key").alias("key")))
-    masks = F.explode(F.array(*[F.lit(m).cast("long") for m in ball(1, bits)]))
-    sent = first.select("fp", masks.alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
-    met = sent.repartition("variant").sortWithinPartitions("variant").mapInArrow(bucket_pairs, "t bigint, a bigint, b bigint").select("a", "b").distinct()
+    masks = F.posexplode(F.array(*[F.lit(m).cast("long") for m in ball(1, bits)])).alias("bit", "mask")
+    sent = first.select("fp", masks).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), F.col("bit").cast("tinyint").alias("bit"))
+    met = sent.repartition("variant").sortWithinPartitions("variant").mapInArrow(bucket_pairs, "a bigint, b bigint").distinct()
     ends = met.join(first.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b")
     pairs = ends.select("x", "y").unionAll(twins).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
@@ -189,8 +193,10 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 1
     near = pairs.join(wide.select(F.col("key").alias("x"), F.col("fp").alias("fx")), "x").join(wide.select(F.col("key").alias("y"), F.col("fp").alias("fy")), "y")
     apart = F.aggregate(F.zip_with("fx", "fy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, v: acc + v)
     near = near.where(apart <= most).select("x", "y")
-    one, two = prints.select(F.col("key").alias("x"), F.col("text").alias("tx")), prints.select(F.col("key").alias("y"), F.col("text").alias("ty"))
-    sized = near.join(two, "y").join(one, "x").select("x", "y", "tx", "ty")
+    near = cut(near)
+    used = near.select(F.col("x").alias("key")).unionAll(near.select("y")).distinct()
+    texts = keyed.join(used, "key").groupBy("key").agg(F.min("text").alias("text"))
+    sized = near.join(texts.select(F.col("key").alias("y"), F.col("text").alias("ty")), "y").join(texts.select(F.col("key").alias("x"), F.col("text").alias("tx")), "x").select("x", "y", "tx", "ty")
     links = sized.mapInArrow(lambda rows: jaccard(batches(rows, "ty"), words), "x bigint, y bigint, similarity double").where(F.col("similarity") >= least)
     found = components(links.select("x", "y"))
     named = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
