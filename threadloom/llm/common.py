@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -10,7 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from threadloom.operators.graph import components, cut, shared_dir
+
+__all__ = ["batches", "components", "crc32", "cut", "shared_dir", "table", "word_codes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,63 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it.
-
-    Where the session names none, a temporary folder is set; that is for local runs and tests only.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = sc._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """Connected components of an undirected graph as (node, root), both long; root is the least node.
-
-    ``edges`` has two long columns; direction, repeats and self-loops do not matter, rows with a null are
-    ignored. Only nodes with an edge to another node are returned. Each round hooks every node to its least
-    neighbour, follows two pointers and contracts the graph, so the number of rounds is logarithmic and the
-    edges shrink in each; nothing is gathered on the driver, and a hub's neighbours are only ever reduced by
-    a minimum with map-side combining or joined, never listed.
-    """
-    a, b = edges.columns[:2]
-    e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
-    e, labels = cut(e), None
-    for _ in range(most_rounds):
-        if e.isEmpty():
-            break
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("up"))
-        parent = cut(parent)
-        for _ in range(2):
-            above = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-            parent = parent.join(above, "up").select("node", F.col("upper").alias("up"))
-        parent = cut(parent)
-        low = parent.select(F.col("node").alias("u"), F.col("up").alias("ru"))
-        high = parent.select(F.col("node").alias("v"), F.col("up").alias("rv"))
-        e = e.join(low, "u").join(high, "v").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))
-        e = cut(e.where("u < v").distinct())
-        if labels is None:
-            labels = parent.select("node", F.col("up").alias("root"))
-        else:
-            moved = parent.select(F.col("node").alias("root"), "up")
-            labels = cut(labels.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
-    else:
-        raise RuntimeError("components did not settle")
-    return labels if labels is not None else e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def batches(rows: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text at most (one row at least)."""
     for batch in rows:
@@ -87,19 +32,18 @@ def batches(rows: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 <<
             start = stop
 
 
-def word_codes(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Words of each text, cut at blanks and line ends: codes into a list of different words, that list, and offsets by text.
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words of each text, cut at blanks and line ends: codes into an array of different words, that array, and offsets by text.
 
-    Null texts have no words. The splitting and the coding run in Arrow; Python sees each different word once.
+    Null texts have no words. The splitting and the coding run in Arrow; Python need only see each different word.
     """
     flat = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
     split = pc.split_pattern(flat, " ")
     offsets = split.offsets.to_numpy().astype(np.int64)
     coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    codes, words = coded.indices.to_numpy(), coded.dictionary
     offsets = offsets - offsets[0]
-    if "" in words:
-        blank = words.index("")
+    if (blank := pc.index(words, "").as_py()) >= 0:
         keep = codes != blank
         before = np.concatenate([[0], np.cumsum(keep)])
         codes, offsets = codes[keep], before[offsets]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import string
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import regex
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +22,15 @@ RADIUS = 11  # bits within which every pair of fingerprints is found
 BLOCKS = 4  # of 16 bits: a pair within RADIUS agrees to RADIUS // BLOCKS bits in one of them
 RATIO = 1.06  # neighbouring window sizes
 ITEMS = 20_000  # items that one pass over the documents holds
-EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+MARKS = string.punctuation + "«»‹›“”„‘’‚…–—¿¡·•"  # what is cut from the ends of a word
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text without case and outer marks, and offsets by text; bare marks are no words."""
     codes, words, offsets = word_codes(texts)
-    plain = [EDGE.sub("", w).lower() for w in words]
-    hashed = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) if w else 0 for w in plain], np.uint64)
+    plain = pc.utf8_lower(pc.utf8_trim(words, characters=MARKS))
+    hashed = pd.util.hash_array(plain.to_numpy(zero_copy_only=False), categorize=False)
+    hashed[pc.equal(plain, "").to_numpy(zero_copy_only=False)] = 0
     flat = hashed[codes] if len(codes) else np.empty(0, np.uint64)
     keep = flat != 0
     before = np.concatenate([[0], np.cumsum(keep)])
@@ -48,20 +50,22 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def window_prints(hashes: np.ndarray, size: int, stride: int, sums: np.ndarray | None = None) -> np.ndarray:
-    """SimHash of each window of ``size`` shingles, one every ``stride``; ``sums`` are running bit counts."""
-    sums = bit_sums(hashes) if sums is None else sums
-    count = sums[size::stride] - sums[: len(sums) - size : stride]
-    return np.packbits(2 * count > size, axis=1, bitorder="little").view("<u8").reshape(-1)
-
-
-def bit_sums(hashes: np.ndarray) -> np.ndarray:
+def bit_sums(hashes: np.ndarray, largest: int) -> np.ndarray:
+    """Running counts of each bit; they wrap around, but differences over ``largest`` shingles or fewer stay exact."""
+    kind = np.min_scalar_type(largest)
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    out = np.zeros((len(hashes) + 1, 64), np.int32 if len(hashes) > 32_000 else np.int16)
-    np.cumsum(bits, axis=0, out=out[1:], dtype=out.dtype)
+    out = np.zeros((len(hashes) + 1, 64), kind)
+    np.cumsum(bits, axis=0, out=out[1:], dtype=kind)
     return out
 
 
+def prints(after: np.ndarray, before: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+    """SimHash of windows from the running counts at their ends: a bit is 1 if it is set in over half of ``sizes``."""
+    half = np.asarray(sizes) // 2
+    above = np.subtract(after, before, order="C") > (half.astype(after.dtype) if half.ndim == 0 else half[:, None].astype(after.dtype))
+    return np.packbits(above.reshape(-1), bitorder="little").view("<u8")
+
+
 class Items:
     """Items by window size, with tables of the 16-bit blocks near each fingerprint."""
 
@@ -80,35 +84,52 @@ class Items:
         near = np.array(near, np.uint16)
         self.classes = []
         for size, members in sorted(by_class.items()):
-            prints = np.array([window_prints(self.shingles[m], len(self.shingles[m]), 1)[0] for m in members], np.uint64)
+            own = np.concatenate([prints(s[-1:], s[:1], len(s) - 1) for s in (bit_sums(self.shingles[m], len(self.shingles[m])) for m in members)])
             tables = []
             for b in range(BLOCKS):
                 table = np.zeros(1 << 16, bool)
-                part = (prints >> np.uint64(16 * b)).astype(np.uint16)
+                part = (own >> np.uint64(16 * b)).astype(np.uint16)
                 table[(part[:, None] ^ near[None, :]).ravel()] = True
                 tables.append(table)
-            self.classes.append((size, max(1, size // 24), np.array(members), prints, tables))
+            self.classes.append((size, max(1, size // 24), np.array(members), own, tables))
+
+    def candidates(self, hashes: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, shingle position in it, item) of windows within RADIUS bits of an item of their size.
 
-    def candidates(self, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(shingle position, item) of windows within RADIUS bits of an item of their size."""
+        ``hashes`` are the shingles of many texts in a row, cut at ``cuts``. Besides the regular places a text's
+        first and last window are looked at, and the whole text where it is up to a quarter shorter than the items.
+        """
         largest = max((c[0] for c in self.classes), default=0)
-        span = 30_000
-        for low in range(0, max(1, len(hashes)), span):
+        text_of, lengths = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), np.diff(cuts)
+        span = max(30_000, 4 * largest)
+        for low in range(0, len(hashes), span):
             part = hashes[low : low + span + largest]
-            sums = bit_sums(part)
-            for size, stride, members, prints, tables in self.classes:
-                size = min(size, len(part)) if low == 0 else size
-                if size > len(part) or not size:
+            sums, here = bit_sums(part, 2 * largest), text_of[low : low + len(part)]
+            inside = np.flatnonzero((cuts[:-1] < low + span) & (cuts[1:] > low) & (lengths > 0))
+            for size, stride, members, own, tables in self.classes:
+                grid = np.arange(0, max(min(span, len(part) - size + 1), 0), stride)
+                whole = here[::stride][: len(grid)] == here[size - 1 :: stride][: len(grid)]
+                long, short = inside[lengths[inside] >= size], inside[(lengths[inside] < size) & (4 * lengths[inside] >= 3 * size)]
+                edge = np.concatenate([cuts[long] - low, cuts[long + 1] - size - low])
+                edge = edge[(edge >= 0) & (edge < span) & (edge + size <= len(part))]
+                short = short[cuts[short] >= low]
+                starts = np.concatenate([grid, edge, cuts[short] - low])
+                if not len(starts):
                     continue
-                got = window_prints(part, size, stride, sums)
-                hit = np.zeros(len(got), bool)
+                extra = starts[len(grid) :]
+                sizes = np.concatenate([np.full(len(edge), size), lengths[short]])
+                got = np.concatenate([prints(sums[size::stride][: len(grid)], sums[: len(sums) - size : stride][: len(grid)], size), prints(sums[extra + sizes], sums[extra], sizes)])
+                halves, hit = got.view(np.uint16).reshape(-1, BLOCKS), np.zeros(len(got), bool)
                 for b, table in enumerate(tables):
-                    hit |= table[(got >> np.uint64(16 * b)).astype(np.uint16)]
+                    hit |= table[halves[:, b]]
+                hit[: len(grid)] &= whole
                 at = np.flatnonzero(hit)
                 for k in range(0, len(at), 4096):
                     some = at[k : k + 4096]
-                    i, j = np.nonzero(np.bitwise_count(got[some][:, None] ^ prints[None, :]) <= RADIUS)
-                    yield from zip((some[i] * stride + low).tolist(), members[j].tolist())
+                    i, j = np.nonzero(np.bitwise_count(got[some][:, None] ^ own[None, :]) <= RADIUS)
+                    place = starts[some[i]] + low
+                    text = text_of[place]
+                    yield from zip(text.tolist(), (place - cuts[text]).tolist(), members[j].tolist())
 
     def verify(self, hashes: np.ndarray, at: int, item: int, slack: int) -> tuple[float, int]:
         """Best weighted similarity (sum of least over sum of greatest counts) of the item-sized windows around ``at``."""
@@ -149,18 +170,15 @@ def mark(docs: DataFrame, items: DataFrame, least: float = 0.8, keep: list[str]
             for batch in found:
                 for part in batches(iter([batch]), text):
                     flat, cuts = word_hashes(part.column(part.schema.get_field_index(text)))
-                    result = []
-                    for a, b in zip(cuts[:-1], cuts[1:]):
-                        hashes, best = shingles(flat[a:b]), {}
-                        if len(hashes):
-                            for at, item in index.candidates(hashes):
-                                size = len(index.shingles[item])
-                                if item in best and best[item][0] == 1.0:
-                                    continue
-                                got = index.verify(hashes, at, item, max(2, size // 12))
-                                if got[0] >= least and got[0] > best.get(item, (0.0,))[0]:
-                                    best[item] = got
-                        result.append([{"item_id": index.ids[i], "start": s, "words": len(index.shingles[i]) + WORDS - 1, "similarity": x} for i, (x, s) in sorted(best.items())])
+                    own = [shingles(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+                    ends = np.concatenate([[0], np.cumsum([len(h) for h in own])]).astype(np.int64)
+                    best: list[dict] = [{} for _ in own]
+                    for t, at, item in index.candidates(np.concatenate([*own, np.empty(0, np.uint64)]), ends):
+                        if best[t].get(item, (0.0,))[0] < 1.0:
+                            got = index.verify(own[t], at, item, max(2, len(index.shingles[item]) // 12))
+                            if got[0] >= least and got[0] > best[t].get(item, (0.0,))[0]:
+                                best[t][item] = got
+                    result = [[{"item_id": index.ids[i], "start": s, "words": len(index.shingles[i]) + WORDS - 1, "similarity": x} for i, (x, s) in sorted(b.items())] for b in best]
                     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("similarity", pa.float64())]))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(result, arrow)], [*part.schema.names, name])
 

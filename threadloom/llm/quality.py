@@ -38,6 +38,7 @@ def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
         return rows, codes.astype(np.int64), np.empty(0)
     h = lambda kind, x: xxhash.xxh32_intdigest(f"{kind} {x}".encode("utf-8", "surrogatepass"))
     shapes, memo = [], {}
+    words = words.to_pylist()
     for w in words:
         s = _shape(w)
         if s not in memo:
