@@ -111,21 +111,30 @@ def groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 
 
 def bucket_pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs (a, b) of fingerprints in one bucket, from rows (variant, bit) sorted by variant.
+    """Pairs (a, b) of fingerprints of one bucket, from rows (variant, bit) sorted by variant.
 
-    ``bit`` is the one in which the fingerprint differs from the variant, counted from 1; 0 means in none. One
-    open bucket is carried from batch to batch; a bucket is a ball at most.
+    ``bit`` is the one in which the fingerprint differs from the variant, counted from 1; 0 means in none. Each
+    member is paired with the first of its bucket and with the three before it, so pairs stay in proportion to the members
+    of a bucket. One open bucket is carried from batch to batch; a bucket is a ball at most.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     masks = np.array([0, *(1 << k for k in range(62))], np.int64)
     held = (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def pairs(variant, fp):
-        for lag in range(1, len(variant)):
-            at = np.flatnonzero(variant[lag:] == variant[:-lag])
-            if not len(at):
-                return
-            yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[at + lag])], schema=schema)
+        if len(variant) < 2:
+            return
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], variant[1:] != variant[:-1]]), np.arange(len(variant)), 0))
+        at = np.arange(len(variant))
+        left = [head[head < at]]
+        right = [at[head < at]]
+        for lag in (1, 2, 3):
+            near = at[at - lag > head]
+            left.append(near - lag)
+            right.append(near)
+        left, right = np.concatenate(left), np.concatenate(right)
+        if len(left):
+            yield pa.RecordBatch.from_arrays([pa.array(fp[left]), pa.array(fp[right])], schema=schema)
 
     for batch in rows:
         own = batch.column(0).to_numpy()
@@ -154,16 +163,16 @@ def jaccard(rows: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], schema=schema)
 
 
-def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 10, bits: int = 32, slack: float = 0.12) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 12, bits: int = 32, slack: float = 0.12) -> DataFrame:
     """Groups of rows whose sets of word shingles are similar: doc_id and component_id for every row.
 
     Each different text (A-Z lower-cased, blanks folded) gets ``tables`` fingerprints of ``bits`` bits (32 or
     fewer) from independent hash families. In each table a fingerprint sends out all variants within one bit;
-    two within two bits share a bucket. A bucket holds at most one ball of different fingerprints, so all its
-    pairs are a bounded number. Texts that share a whole fingerprint are chained to the three before them and to
-    the first. Pairs are deduplicated, pass a loose bound on the Hamming distance over all tables together
-    (``slack`` below ``least``), and are then verified by the exact Jaccard similarity of their shingle sets.
-    At similarity 0.9 two texts meet in one of 10 tables with probability 0.98, at 0.95 with 0.9999.
+    two within two bits share a bucket. In a bucket, and among texts that share a whole fingerprint, each is paired
+    with the first and with the three before it. Pairs are deduplicated, pass a loose bound on the Hamming distance over
+    all tables together (``slack`` below ``least``), and are then verified by the exact Jaccard similarity of their
+    shingle sets, as far as they would join two groups.
+    At similarity 0.9 two texts meet in one of 12 tables with probability 0.99, at 0.95 with 0.99997.
 
     component_id is the smallest doc_id reachable. Null texts count as empty and equal each other; a null
     doc_id takes the component's; repeated rows repeat; an empty table gives no rows. Returns doc_id, key (of the
@@ -195,15 +204,33 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 1
     near = near.where(apart <= most).select("x", "y")
     near = cut(near)
     used = near.select(F.col("x").alias("key")).unionAll(near.select("y")).distinct()
-    texts = keyed.join(used, "key").groupBy("key").agg(F.min("text").alias("text"))
-    sized = near.join(texts.select(F.col("key").alias("y"), F.col("text").alias("ty")), "y").join(texts.select(F.col("key").alias("x"), F.col("text").alias("tx")), "x").select("x", "y", "tx", "ty")
-    links = sized.mapInArrow(lambda rows: jaccard(batches(rows, "ty"), words), "x bigint, y bigint, similarity double").where(F.col("similarity") >= least)
-    found = components(links.select("x", "y"))
+    texts = cut(keyed.join(used, "key").groupBy("key").agg(F.min("text").alias("text")))
+    found = _verified(near, texts, words, least)
     named = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
     named = cut(named)
     return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "key", "component_id")
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(node, root) of the components that truly similar pairs make.
+
+    Not every pair of a group need be verified: in each round every text is compared with one partner that is not yet
+    in its component, the links found are added, and pairs that now lie inside a component, or have failed, drop out.
+    The rounds end when no pair is left, so no link between components is lost.
+    """
+    links = roots = None
+    while not pairs.isEmpty():
+        tried = cut(pairs.groupBy("y").agg(F.min("x").alias("x")))
+        sized = tried.join(texts.select(F.col("key").alias("y"), F.col("text").alias("ty")), "y").join(texts.select(F.col("key").alias("x"), F.col("text").alias("tx")), "x")
+        good = sized.select("x", "y", "tx", "ty").mapInArrow(lambda rows: jaccard(batches(rows, "ty"), words), "x bigint, y bigint, similarity double").where(F.col("similarity") >= least).select("x", "y")
+        links = cut(good if links is None else links.unionAll(good))
+        roots = components(links)
+        here = pairs.join(tried.select("x", "y"), ["x", "y"], "left_anti")
+        here = here.join(roots.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x", "left").join(roots.select(F.col("node").alias("y"), F.col("root").alias("ry")), "y", "left")
+        pairs = cut(here.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y"))
+    return roots if roots is not None else pairs.select(F.col("x").alias("node"), F.col("y").alias("root"))
+
+
 def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each group that ``similar`` finds: the one with the smallest doc_id, and of repeated ids the least row.
 
