@@ -191,7 +191,9 @@ def lookup(wanted: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
     sparse = directory.select("key", "page_id", "file", F.col("at"), F.col("length"))
     both = routed.select("file", "key", "page_id", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("length")).unionByName(sparse.select("file", "key", "page_id", "at", "length"))
     # a part's directory rows come before the keys that are looked up in it
-    dealt = both.repartition("file").sortWithinPartitions("file", F.col("at").asc_nulls_last(), "key", F.col("page_id").asc_nulls_first())
+    # the number is given, as small keys stand for large reads and must not be put together by their own size
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(n, "file").sortWithinPartitions("file", F.col("at").asc_nulls_last(), "key", F.col("page_id").asc_nulls_first())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(folder)
