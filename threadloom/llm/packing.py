@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import importlib
+import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +20,7 @@ from pyspark.sql.window import Window
 from threadloom.llm.common import batches, cut, word_codes
 
 MARKS = ".,!?;:#$%&*"  # marks that end a word and stand alone as a token run
-CACHE = 400_000  # different words whose ids a worker remembers; the memory is emptied when it is full
+CACHE = 150_000  # different words after which a worker's memory of ids starts anew, with the last ones as its older half
 _state: dict = {}
 
 
@@ -34,43 +37,52 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only take memory
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.known: dict[str, np.ndarray] = {}
-
-    def split(self, word: str) -> tuple[str, str]:
-        if word and max(word) <= "\xff":
-            stem = word.rstrip(MARKS)
-            if stem and stem[-1].isalnum():
-                return stem.lower(), word[len(stem) :]
-        return word, ""
-
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each word has."""
-        if len(self.known) > CACHE:
-            self.known = {}
-        known, parts = self.known, [self.split(w) for w in words]
-        new = list({p for pair in parts for p in pair if p not in known})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.encode(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint16 if max(e.ids, default=0) < 65536 else np.uint32)
-        flat = [known[p] for pair in parts for p in pair]
-        sizes = np.fromiter(map(len, flat), np.int64, len(flat)).reshape(-1, 2).sum(axis=1)
-        return (np.concatenate(flat) if flat else np.empty(0, np.uint16)).astype(np.uint32), sizes
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def split(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Stem and trailing marks of each word; a word that cannot be cut safely is all stem."""
+        stem = pc.utf8_rtrim(words, characters=MARKS)
+        safe = pc.and_(pc.match_substring_regex(words, r"^[\x{00}-\x{FF}]*$"), pc.match_substring_regex(stem, r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]$"))
+        tail = pc.if_else(safe, pc.replace_substring_regex(words, r"^(?s:.*?)([.,!?;:#$%&*]*)$", r"\1"), "")
+        return pc.if_else(safe, pc.utf8_lower(stem), words), tail
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of different words as little-endian 32-bit numbers."""
+        if len(self.known) > CACHE:  # words that are met again come back from the older half
+            self.known, self.older = {}, self.known
+        known = self.known
+        found = list(map(known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        older = list(map(self.older.get, [words[i] for i in missing]))
+        new = [words[i] for i, ids in zip(missing, older) if ids is None]
+        made = []
+        for at in range(0, len(new), 1024):
+            made += [array("I", e.ids).tobytes() for e in self.encode(new[at : at + 1024], add_special_tokens=False)]
+        fresh = iter(made)
+        for i, ids in zip(missing, older):
+            found[i] = known[words[i]] = next(fresh) if ids is None else ids
+        return found
 
 
 def token_ids(texts: pa.Array, words_to_ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each followed by id 0, and the number of ids by text."""
     codes, words, offsets = word_codes(texts)
-    ids, sizes = words_to_ids(words)
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    per_word = sizes[codes]
-    before = np.concatenate([[0], np.cumsum(per_word)])
-    per_text = before[offsets[1:]] - before[offsets[:-1]]
-    gather = np.arange(before[-1]) - np.repeat(before[:-1] - starts[codes], per_word)
-    flat = ids[gather]
+    stems, tails = (x.dictionary_encode() for x in words_to_ids.split(words))
+    parts = words_to_ids.ids(stems.dictionary.to_pylist()) + words_to_ids.ids(tails.dictionary.to_pylist())
+    size = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+    ids = np.frombuffer(b"".join(parts), "<u4")
+    starts = (np.cumsum(size) - size).astype(np.int32)
+    both = np.stack([stems.indices.to_numpy(), tails.indices.to_numpy() + len(stems.dictionary)], axis=1)[codes].reshape(-1)
+    per_part = size[both]
+    before = np.concatenate([[0], np.cumsum(per_part, dtype=np.int64)])
+    per_text = before[2 * offsets[1:]] - before[2 * offsets[:-1]]
+    shift = (starts[both] - before[:-1]).astype(np.int64 if before[-1] >> 31 else np.int32)
+    flat = ids[np.arange(before[-1], dtype=shift.dtype) + np.repeat(shift, per_part)]
     return np.insert(flat, np.cumsum(per_text), 0), per_text + 1
 
 
@@ -83,7 +95,7 @@ def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> D
         path = tokenizer or default_tokenizer()
         if path not in _state:
             _state[path] = WordIds(path)
-        for batch in batches(rows):
+        for batch in batches(rows, most=1 << 20):
             ids, sizes = token_ids(batch.column(1), _state[path])
             ids = ids.astype("<u4")
             count = -(-sizes // most)
