@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import batches
+from threadloom.llm.common import batches, cut
 
 GRAM = 16  # bytes of the grams whose least hash stands for a window
 SHARD = 1 << 20  # bytes of context in a shard
@@ -276,14 +276,16 @@ def shared_runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document with a smaller doc_id.
 
-    1. Every window of ``length`` bytes is named by the least hash of its 16-byte grams; neighbouring windows of one
+    1. A text that equals that of a smaller document goes whole; the others are dealt by doc_id once, and every
+       later step reuses that exchange.
+    2. Every window of ``length`` bytes is named by the least hash of its 16-byte grams; neighbouring windows of one
        name form a run. Equal windows have equal names, so a run whose name is in one document only has no
-       match and is left out (names alone are shuffled, no text).
-    2. The bytes under the other runs, their contexts, are dealt by name, and each task cuts them into
+       match and is left out (names and places alone are shuffled, no text).
+    3. The bytes under the other runs, their contexts, are dealt by name, and each task cuts them into
        shards of bounded size. Each shard gets its suffix array by Larsson-Sadakane refinement and common prefixes by
        Kasai's rule; suffixes with a common prefix of ``length`` form a class, and windows of a document above the
        least of its class are marked. Contexts of one name in several shards are merged by binary search.
-    3. The marked windows of a document are united and cut out of its bytes.
+    4. The marked windows of a document are united and cut out of its bytes.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for every row. A null
     text is empty; a null doc_id counts as greater than all others; rows with one doc_id do not match each
@@ -293,37 +295,46 @@ def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ids = docs.agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("doc_id", F.lit(last))).alias("d")).first()
     # rows that share a doc_id are told apart by their texts; elsewhere the tag is nothing to shuffle
-    tag = F.lit(0).cast("long") if ids["n"] == ids["d"] else F.xxhash64(text)
+    keys = ["doc"] if ids["n"] == ids["d"] else ["doc", "tag"]
+    tag = F.lit(0).cast("long") if len(keys) == 1 else F.xxhash64(text)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), tag.alias("tag"), text.alias("text"))
 
+    names = base.select("doc", "tag", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= length)
+    names = cut(names)
+    firsts = names.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("top")).where("first < top")
+    copies = cut(names.join(firsts, ["h1", "h2"]).where("doc > first").select("doc", "tag", "n"))
+    base = base.join(copies.select(*keys).distinct(), keys, "left_anti")
+
     def runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, most=1 << 20):
             doc, tags, texts = (batch.column(i) for i in range(3))
-            found = [window_runs(np.frombuffer(t.as_buffer(), np.uint8) if t.as_buffer() else np.empty(0, np.uint8), length) for t in texts]
+            found = [window_runs(_bytes(t), length) for t in texts]
             sizes = np.array([len(f[0]) for f in found])
             row = np.repeat(np.arange(len(found)), sizes)
             key, start, count = (np.concatenate([f[i] for f in found]) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), doc.take(pa.array(row)), tags.take(pa.array(row)), pa.array(start, pa.int32()), pa.array(count, pa.int16())], ["key", "doc", "tag", "start", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), doc.take(pa.array(row)), tags.take(pa.array(row)), pa.array(start, pa.int32())], ["key", "doc", "tag", "start"])
 
-    kinds = "key bigint, doc bigint, tag bigint, start int, count smallint"
-    named = base.mapInArrow(runs, kinds).repartition("key").sortWithinPartitions("key", "doc").mapInArrow(shared_runs, kinds)
-    wanted = named.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "start", "count")).alias("runs"))
+    kinds = "key bigint, doc bigint, tag bigint, start int"
+    named = base.select("doc", "tag", "text").mapInArrow(runs, kinds).repartition("key").sortWithinPartitions("key", "doc").mapInArrow(shared_runs, kinds)
+    wanted = named.groupBy(*keys).agg(F.collect_list("start").alias("starts"))
 
     def contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "doc", "tag", "start", "context"]
         for batch in rows:
             for doc, tag, text, own in zip(*(batch.column(i) for i in range(4)), strict=True):
-                data, own = text.as_py().encode("utf-8", "surrogatepass"), own.values
-                start, count = own.field("start").to_numpy(), own.field("count").to_numpy()
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                key, start, count = window_runs(np.frombuffer(data, np.uint8), length)
+                keep = np.searchsorted(start, np.sort(own.values.to_numpy()))
+                key, start, count = key[keep], start[keep], count[keep]
                 for at in range(0, len(start), 20_000):
                     part = slice(at, at + 20_000)
-                    cut = [data[a : a + n + length - 1] for a, n in zip(start[part].tolist(), count[part].tolist())]
-                    n = len(cut)
-                    yield pa.RecordBatch.from_arrays([own.field("key")[part], pa.repeat(doc, n), pa.repeat(tag, n), pa.array(start[part]), pa.array(cut, pa.binary())], names)
+                    piece = [data[a : a + n + length - 1] for a, n in zip(start[part].tolist(), count[part].tolist())]
+                    n = len(piece)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.repeat(doc, n), pa.repeat(tag, n), pa.array(start[part], pa.int32()), pa.array(piece, pa.binary())], names)
 
-    spread = base.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "runs").mapInArrow(contexts, "key bigint, doc bigint, tag bigint, start int, context binary")
+    spread = base.join(wanted, keys).select("doc", "tag", "text", "starts").mapInArrow(contexts, "key bigint, doc bigint, tag bigint, start int, context binary")
     spans = spread.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(lambda rows: mark_shards(rows, length), "doc bigint, tag bigint, start bigint, end bigint")
-    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = spans.groupBy(*keys).agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("spans"))
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -331,7 +342,7 @@ def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
             for doc, text, marked in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data, kept, at, removed, count = text.encode("utf-8", "surrogatepass"), [], 0, 0, 0
                 for s in sorted(marked or [], key=lambda s: s["start"]):
-                    if s["start"] > at or (at == 0 and count == 0):
+                    if s["start"] > at or not count:
                         kept.append(data[at : s["start"]])
                         count += 1
                         at = s["start"]
@@ -340,7 +351,16 @@ def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
                         at = s["end"]
                 kept.append(data[at:])
                 rest = b"".join(kept)
-                out.append((None if doc == last else doc, len(data), removed, count, hashlib.sha256(rest).hexdigest(), rest))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]) if out else pa.RecordBatch.from_pylist([], schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
+                out.append((doc, len(data), removed, count, hashlib.sha256(rest).hexdigest(), rest))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    own = base.join(spans, keys, "left").select("doc", "text", "spans").mapInArrow(finish, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    whole = copies.select("doc", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    every = own.unionByName(whole)
+    return every.select(F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
 
-    return base.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+def _bytes(text: pa.StringScalar) -> np.ndarray:
+    data = text.as_buffer()
+    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
