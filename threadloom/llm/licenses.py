@@ -36,8 +36,13 @@ def _hashes(words: Column) -> Column:
 
 
 def _under(hashes: Column, function: int) -> Column:
-    """The shingles' hashes under one of the BANDS hash functions."""
-    return F.transform(hashes, lambda h: F.xxhash64(h, F.lit(function)))
+    """The shingles' hashes under one of the BANDS hash functions: another order of the same random numbers.
+
+    Exclusive or with a constant keeps 64-bit hashes evenly spread; constants that differ in their first bits
+    make the least hash the one nearest to another point each time.
+    """
+    mask = (function << 59) ^ (0x9E3779B97F4A7C15 * function >> 5 & (1 << 59) - 1)
+    return F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
 
 
 def _bands(hashes: Column) -> Column:
@@ -63,7 +68,7 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None, least: f
     A text is cut into windows of WINDOW words, one every STRIDE, so that a passage of PASSAGE words or fewer
     lies whole in one of them. Each window has BANDS minimum hashes over its two-word shingles. A passage of s
     shingles that lies whole in a window of WINDOW - 1 shingles has Jaccard similarity s / (WINDOW - 1) or more
-    with it and shares one of the BANDS minima with probability 1 - (1 - s / (WINDOW - 1)) ** BANDS: 0.99997
+    with it and shares one of the BANDS minima with probability about 1 - (1 - s / (WINDOW - 1)) ** BANDS: 0.99997
     for a five-word notice, more for longer ones. Retrieved pairs are verified by exact containment: the share of the
     passage's shingles that the window has, ``least`` or more. The templates are a parameter of fixed size,
     so their bands are broadcast; windows that meet none leave the plan there, and hot notices are counted in
