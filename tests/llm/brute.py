@@ -66,6 +66,28 @@ def near(prints: dict, radius: int = 2) -> dict:
     return {d: sets.root(d) for d in prints}
 
 
+def similar(texts: dict, most: int) -> dict:
+    """doc_id -> component_id: all pairs within two bits in one of twelve 32-bit tables and within ``most`` bits over all, with Jaccard 0.8 or more."""
+    from threadloom.llm.simhash import derive
+
+    def shingles(text):
+        found = (text or "").lower().split()
+        return {xxhash.xxh64_intdigest(" ".join(found[i : i + 5]), 42) for i in range(max(1, len(found) - 4))} if found else set()
+
+    sets, own, wide = Union(), {d: shingles(t) for d, t in texts.items()}, {}
+    for d, own_set in own.items():
+        h = np.array(sorted(own_set), np.uint64)
+        wide[d] = [sum(1 << b for b in range(64) if 2 * int((derive(h, k) >> np.uint64(b) & np.uint64(1)).sum()) > len(h)) for k in range(6)]
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            apart = [x ^ y for x, y in zip(wide[a], wide[b])]
+            meets = any((x & 0xFFFFFFFF).bit_count() <= 2 or (x >> 32).bit_count() <= 2 for x in apart)
+            if meets and sum(x.bit_count() for x in apart) <= most and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]):
+                sets.join(a, b)
+    return {d: sets.root(d) for d in ids}
+
+
 def cosine_links(vectors: dict, least: float = 0.9) -> dict:
     """vec_id -> (n_links, component_id)."""
     good = {k: np.array(v, float) for k, v in vectors.items() if v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))}

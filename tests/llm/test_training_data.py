@@ -254,6 +254,25 @@ def test_one_of_similar_texts_stays(spark):
     assert ids == sorted((False, i) for i in [*range(12), 500, 501])
 
 
+def edited(rng, text, changes):
+    words = text.split()
+    for k in rng.sample(range(len(words)), changes):
+        words[k] = f"new{rng.getrandbits(40)}"
+    return " ".join(words)
+
+
+def test_all_pairs_of_a_bucket_are_looked_at(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = {}
+    for group in range(3):  # edits that are like their original only
+        base = prose(rng, 200)
+        texts |= {1000 * group + i: base if i == 77 else edited(rng, base, 3) for i in range(110)}
+    texts |= {5000 + i: prose(rng, 200) for i in range(40)}
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute.similar(texts, 76)
+
+
 def test_quality(spark):
     rng = random.Random(7)
     rows, labels = [], []

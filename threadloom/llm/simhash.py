@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from threadloom.llm.common import batches, components, cut
 
 SEED = 42
+BLOCK = 1_024  # texts of a bucket that one task compares with each other or with as many others
 # Odd multipliers that derive further hashes from a shingle's first one (golden-ratio multiples).
 MIX = [(0x9E3779B97F4A7C15 * k | 1) & 0xFFFFFFFFFFFFFFFF for k in range(1, 17)]
 
@@ -110,31 +111,19 @@ def groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def bucket_pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of fingerprints of one bucket, from rows (variant, bit) sorted by variant.
+def shared_variants(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(variant, fp) of every variant that two fingerprints or more have sent, from rows (variant, bit) sorted by variant.
 
-    ``bit`` is the one in which the fingerprint differs from the variant, counted from 1; 0 means in none. Each
-    member is paired with the first of its bucket and with the three before it, so pairs stay in proportion to the members
-    of a bucket. One open bucket is carried from batch to batch; a bucket is a ball at most.
+    ``bit`` is the one in which the fingerprint differs from the variant, counted from 1; 0 means in none. One open
+    bucket is carried from batch to batch; a bucket is a ball at most.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     masks = np.array([0, *(1 << k for k in range(62))], np.int64)
     held = (np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def pairs(variant, fp):
-        if len(variant) < 2:
-            return
-        head = np.maximum.accumulate(np.where(np.concatenate([[True], variant[1:] != variant[:-1]]), np.arange(len(variant)), 0))
-        at = np.arange(len(variant))
-        left = [head[head < at]]
-        right = [at[head < at]]
-        for lag in (1, 2, 3):
-            near = at[at - lag > head]
-            left.append(near - lag)
-            right.append(near)
-        left, right = np.concatenate(left), np.concatenate(right)
-        if len(left):
-            yield pa.RecordBatch.from_arrays([pa.array(fp[left]), pa.array(fp[right])], schema=schema)
+    def shared(variant, fp):
+        same = variant[1:] == variant[:-1]
+        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(variant) else np.empty(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(variant[keep], pa.int64()), pa.array(fp[keep], pa.int64())], ["variant", "fp"])
 
     for batch in rows:
         own = batch.column(0).to_numpy()
@@ -144,8 +133,60 @@ def bucket_pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         start = int(np.searchsorted(variant, variant[-1], "left"))
         held = (variant[start:], fp[start:])
-        yield from pairs(variant[:start], fp[:start])
-    yield from pairs(*held)
+        yield shared(variant[:start], fp[:start])
+    yield shared(*held)
+
+
+def block_links(rows: Iterator[pa.RecordBatch], most: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (x, y, apart) of keys of one bucket that have different roots and differ in ``most`` bits or fewer over all tables.
+
+    Rows (variant, low, high, key, root, own, fp) are sorted by the first four. A bucket comes in pairs of blocks (low, high); in a
+    pair of two blocks only rows of different blocks (``own``) meet. ``nearest`` gives for each x only the y with the
+    fewest differing bits; else each pair is given once, x < y. One open pair of blocks is carried from batch to batch.
+    """
+    held = None
+
+    def pairs(named, own, wide, start, stop):
+        key, root, own, wide = named[start:stop, 3], named[start:stop, 4], own[start:stop], wide[start:stop]
+        cross, out = named[start, 1] != named[start, 2], []
+        for at in range(0, len(key), 256):
+            some = slice(at, at + 256)
+            fit = root[some, None] != root[None, :]
+            if cross:
+                fit &= own[some, None] != own[None, :]
+            if not fit.any():
+                continue
+            apart = np.zeros(fit.shape, np.int32)
+            for k in range(wide.shape[1]):
+                apart += np.bitwise_count(wide[some, k, None] ^ wide[None, :, k])
+            fit &= apart <= most
+            if nearest:
+                j = np.where(fit, apart, 1 << 20).argmin(axis=1)
+                i = np.flatnonzero(fit[np.arange(len(j)), j])
+                j = j[i]
+            else:
+                i, j = np.nonzero(fit & (key[some, None] < key[None, :]))
+            out.append((key[some][i], key[j], apart[i, j].astype(np.int64)))
+        return out
+
+    def blocks(named, own, wide, ends):
+        found = [p for start, stop in zip(ends[:-1], ends[1:]) if stop - start > 1 for p in pairs(named, own, wide, start, stop)]
+        columns = (pa.array(np.concatenate([np.empty(0, np.int64), *(p[i] for p in found)])) for i in range(3))
+        return pa.RecordBatch.from_arrays(list(columns), ["x", "y", "apart"])
+
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        named = np.stack([batch.column(i).to_numpy() for i in range(5)], axis=1)
+        own = batch.column(5).to_numpy()
+        wide = batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1)
+        if held is not None:
+            named, own, wide = (np.concatenate(two) for two in zip(held, (named, own, wide)))
+        ends = np.concatenate([[0], np.flatnonzero((named[1:, :3] != named[:-1, :3]).any(axis=1)) + 1])
+        yield blocks(named, own, wide, ends)
+        held = (named[ends[-1] :], own[ends[-1] :], wide[ends[-1] :])
+    if held is not None:
+        yield blocks(*held, [0, len(held[0])])
 
 
 def jaccard(rows: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -168,10 +209,11 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 1
 
     Each different text (A-Z lower-cased, blanks folded) gets ``tables`` fingerprints of ``bits`` bits (32 or
     fewer) from independent hash families. In each table a fingerprint sends out all variants within one bit;
-    two within two bits share a bucket. In a bucket, and among texts that share a whole fingerprint, each is paired
-    with the first and with the three before it. Pairs are deduplicated, pass a loose bound on the Hamming distance over
-    all tables together (``slack`` below ``least``), and are then verified by the exact Jaccard similarity of their
-    shingle sets, as far as they would join two groups.
+    two within two bits share a bucket, and so do all texts with one fingerprint. Every pair of texts of a bucket that passes a
+    loose bound on the Hamming distance over all tables together (``slack`` below ``least``) counts if the exact
+    Jaccard similarity of the shingle sets is ``least`` or more. Pairs of texts that are linked already change nothing, so the
+    links are made in three steps: neighbours in a bucket's order, then each text's nearest text of another component in each of
+    its buckets, then all pairs that still lie in different components.
     At similarity 0.9 two texts meet in one of 12 tables with probability 0.99, at 0.95 with 0.99997.
 
     component_id is the smallest doc_id reachable. Null texts count as empty and equal each other; a null
@@ -185,50 +227,84 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 1
     prints = cut(prints.groupBy("key").agg(F.min("fp").alias("fp")))  # equal keys have equal fingerprints
     table_bits = [F.shiftrightunsigned(F.col("fp")[k // per], bits * (k % per)).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(tables)]
     short = prints.select("key", F.posexplode(F.array(*table_bits)).alias("t", "fp")).select("key", (F.col("t").cast("long") * (1 << 32) + F.col("fp")).alias("fp"))
-    same = Window.partitionBy("fp").orderBy("key")
-    chained = short.select(F.col("key").alias("y"), F.array(*[F.lag("key", n).over(same) for n in (1, 2, 3)], F.first("key").over(same)).alias("before"))
-    twins = chained.select(F.explode("before").alias("x"), "y").where("x is not null")
-    first = cut(short.groupBy("fp").agg(F.min("key").alias("key")))
+    first = cut(short.groupBy("fp").agg(F.min("key").alias("key"), F.count("*").alias("n")))
     masks = F.posexplode(F.array(*[F.lit(m).cast("long") for m in ball(1, bits)])).alias("bit", "mask")
     sent = first.select("fp", masks).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), F.col("bit").cast("tinyint").alias("bit"))
-    met = sent.repartition("variant").sortWithinPartitions("variant").mapInArrow(bucket_pairs, "a bigint, b bigint").distinct()
-    ends = met.join(first.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b")
-    pairs = ends.select("x", "y").unionAll(twins).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    met = sent.repartition("variant").sortWithinPartitions("variant").mapInArrow(shared_variants, "variant bigint, fp bigint")
+    buckets = cut(met.unionAll(first.where("n > 1").select(F.col("fp").alias("variant"), "fp")).distinct())
+    short = cut(short.join(buckets.select("fp").distinct(), "fp", "left_semi"))
+    texts = cut(keyed.join(short.select("key").distinct(), "key").groupBy("key").agg(F.min("text").alias("text")))
+    wide = cut(prints.join(texts.select("key"), "key"))
 
     # the share of differing bits is the angle over pi; the cosine of two sets of equal size with similarity s is 2s/(1+s)
     low = max(least - slack, 0.0)
     most = int(np.arccos(2 * low / (1 + low)) / np.pi * 64 * ((tables + per - 1) // per))
-    wide = prints.select("key", "fp")
-    near = pairs.join(wide.select(F.col("key").alias("x"), F.col("fp").alias("fx")), "x").join(wide.select(F.col("key").alias("y"), F.col("fp").alias("fy")), "y")
-    apart = F.aggregate(F.zip_with("fx", "fy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, v: acc + v)
-    near = near.where(apart <= most).select("x", "y")
-    near = cut(near)
-    used = near.select(F.col("x").alias("key")).unionAll(near.select("y")).distinct()
-    texts = cut(keyed.join(used, "key").groupBy("key").agg(F.min("text").alias("text")))
-    found = _verified(near, texts, words, least)
-    named = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+    roots = first.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
+    links, roots, _ = _link(_ends(_neighbours(buckets, short, first, wide, most)), texts, words, least, None, roots)
+    links, roots, _ = _link(_across(buckets, short, wide, roots, most, True), texts, words, least, links, roots)
+    rest = _across(buckets, short, wide, roots, most, False)
+    links, roots, tried = _link(_ends(rest), texts, words, least, links, roots)
+    rest = _joining(rest.join(tried, ["x", "y"], "left_anti"), roots)
+    _, roots, _ = _link(rest, texts, words, least, links, roots)
+    named = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
     named = cut(named)
     return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "key", "component_id")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(node, root) of the components that truly similar pairs make.
+def _neighbours(buckets: DataFrame, short: DataFrame, first: DataFrame, wide: DataFrame, most: int) -> DataFrame:
+    """Some pairs (x, y) within ``most`` bits: texts with one fingerprint, and fingerprints of one bucket, each with the first and the one before."""
+    same, order = Window.partitionBy("fp").orderBy("key"), Window.partitionBy("variant").orderBy("fp")
+    twins = short.select(F.col("key").alias("y"), F.array(F.lag("key").over(same), F.first("key").over(same)).alias("before")).select(F.explode("before").alias("x"), "y")
+    near = buckets.select(F.col("fp").alias("b"), F.array(F.lag("fp").over(order), F.first("fp").over(order)).alias("before")).select(F.explode("before").alias("a"), "b").where("a <> b").distinct()
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b")
+    pairs = near.select("x", "y").unionAll(twins.select("x", "y")).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = pairs.join(wide.select(F.col("key").alias("x"), F.col("fp").alias("fx")), "x").join(wide.select(F.col("key").alias("y"), F.col("fp").alias("fy")), "y")
+    apart = F.aggregate(F.zip_with("fx", "fy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, v: acc + v)
+    return cut(pairs.where(apart <= most).select("x", "y"))
+
+
+def _across(buckets: DataFrame, short: DataFrame, wide: DataFrame, roots: DataFrame, most: int, nearest: bool) -> DataFrame:
+    """Pairs (x, y) within ``most`` bits that share a bucket and lie in different components: all, or each text's nearest.
 
-    Not every pair of a group need be verified: in each round every text is compared with one partner that is not yet
-    in its component, the links found are added, and pairs that now lie inside a component, or have failed, drop out.
-    The rounds end when no pair is left, so no link between components is lost.
+    Only buckets with two components or more are looked at. Those of more than BLOCK texts are cut into blocks, and
+    every pair of blocks is compared by itself; pairs over the bound never leave a task.
     """
-    links = roots = None
-    while not pairs.isEmpty():
-        tried = cut(pairs.groupBy("y").agg(F.min("x").alias("x")))
-        sized = tried.join(texts.select(F.col("key").alias("y"), F.col("text").alias("ty")), "y").join(texts.select(F.col("key").alias("x"), F.col("text").alias("tx")), "x")
-        good = sized.select("x", "y", "tx", "ty").mapInArrow(lambda rows: jaccard(batches(rows, "ty"), words), "x bigint, y bigint, similarity double").where(F.col("similarity") >= least).select("x", "y")
-        links = cut(good if links is None else links.unionAll(good))
-        roots = components(links)
-        here = pairs.join(tried.select("x", "y"), ["x", "y"], "left_anti")
-        here = here.join(roots.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x", "left").join(roots.select(F.col("node").alias("y"), F.col("root").alias("ry")), "y", "left")
-        pairs = cut(here.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y"))
-    return roots if roots is not None else pairs.select(F.col("x").alias("node"), F.col("y").alias("root"))
+    named = wide.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    span = short.join(named.select("key", "root"), "key").groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    live = buckets.join(span, "fp").groupBy("variant").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("variant")
+    rows = cut(buckets.join(live, "variant", "left_semi").join(short, "fp").select("variant", "key"))
+    heavy = rows.groupBy("variant").count().where(F.col("count") > BLOCK).select("variant", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
+    rows = rows.join(heavy, "variant", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(named, "key")
+    own = F.pmod(F.xxhash64("key", F.lit(9)), F.col("blocks"))
+    halves = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
+    rows = rows.select("variant", "key", "root", own.alias("own"), "fp", F.explode(halves).alias("p")).select("variant", "p.low", "p.high", "key", "root", "own", "fp")
+    rows = rows.repartition("variant", "low", "high").sortWithinPartitions("variant", "low", "high", "key")
+    pairs = rows.mapInArrow(lambda part: block_links(part, most, nearest), "x bigint, y bigint, apart bigint")
+    if nearest:
+        pairs = pairs.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("to")).select("x", F.col("to.y").alias("y"))
+    return cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (x, y) those with the first and the last partner of each text on either side."""
+    by_x, by_y = (pairs.groupBy(a).agg(F.array(F.min(b), F.max(b)).alias("ends")).select(a, F.explode("ends").alias(b)) for a, b in ("xy", "yx"))
+    return cut(by_x.select("x", "y").unionAll(by_y.select("x", "y")).distinct())
+
+
+def _joining(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of the pairs (x, y) those between two components."""
+    named = pairs.join(roots.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x", "left").join(roots.select(F.col("node").alias("y"), F.col("root").alias("ry")), "y", "left")
+    return cut(named.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y"))
+
+
+def _link(pairs: DataFrame, texts: DataFrame, words: int, least: float, links: DataFrame | None, roots: DataFrame) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """``links`` with the truly similar of the pairs added, (node, root) of the components that they make, and the pairs."""
+    if pairs.isEmpty():
+        return links, roots, pairs
+    sized = pairs.join(texts.select(F.col("key").alias("y"), F.col("text").alias("ty")), "y").join(texts.select(F.col("key").alias("x"), F.col("text").alias("tx")), "x")
+    good = sized.select("x", "y", "tx", "ty").mapInArrow(lambda rows: jaccard(batches(rows, "ty"), words), "x bigint, y bigint, similarity double").where(F.col("similarity") >= least).select("x", "y")
+    links = cut(good if links is None else links.unionAll(good))
+    return links, components(links), pairs
 
 
 def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
