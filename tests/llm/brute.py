@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
@@ -88,6 +88,16 @@ def similar(texts: dict, most: int) -> dict:
     return {d: sets.root(d) for d in ids}
 
 
+def word_runs(text: str) -> list:
+    words = text.split()
+    return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+
+
+def weighted(one: list, two: list) -> float:
+    both = sum((Counter(one) & Counter(two)).values())
+    return both / (len(one) + len(two) - both)
+
+
 def cosine_links(vectors: dict, least: float = 0.9) -> dict:
     """vec_id -> (n_links, component_id)."""
     good = {k: np.array(v, float) for k, v in vectors.items() if v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))}

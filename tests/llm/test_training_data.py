@@ -164,6 +164,23 @@ def test_decontamination(spark, docs):
     assert got == {(i, i) for i in range(30)} | {(202, 3)}
 
 
+def test_edited_items_are_found(spark):
+    rng = random.Random(21)
+    items = {i: prose(rng, rng.randint(90, 200)) for i in range(60)}
+    rows = []
+    for k in range(600):
+        i, size = k % 60, len(items[k % 60].split())
+        rows.append((k, f"{prose(rng, rng.randint(0, 60))} {edited(rng, items[i], max(1, round(size * rng.choice([0.012, 0.018, 0.022]))))} {prose(rng, 50)}"))
+    wanted = set()
+    for k, text in rows:  # every place of the item's size
+        flat, item = (brute.word_runs(x) for x in (text, items[k % 60]))
+        if max(brute.weighted(flat[a : a + len(item)], item) for a in range(len(flat) - len(item) + 1)) >= 0.8:
+            wanted.add((k, k % 60))
+    marked = decontaminate.mark(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    got = {(r.doc_id, m.item_id) for r in marked.collect() for m in r.matches}
+    assert len(wanted) > 400 and got <= wanted and len(got) >= 0.99 * len(wanted), (len(got), len(wanted))
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "http://www.a.example/x", "p" * 200), (2, "http://b.example/", "p" * 200), (3, None, "p" * 200), (4, "http://a.example:81/?q", "short"), (5, "c", "short"), (6, "http://[bad", None), (7, "http://www.a.example/x", "é" * 90), (None, "http://n.example", "z" * 120)]
     got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w")).collect()}

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from threadloom.llm.common import batches, word_codes
 
 WORDS = 5  # words in a shingle
-RADIUS = 11  # bits within which every pair of fingerprints is found
+RADIUS = 19  # bits within which every pair of fingerprints is found; at similarity 0.8 ten differ, with a standard deviation of three
 BLOCKS = 4  # of 16 bits: a pair within RADIUS agrees to RADIUS // BLOCKS bits in one of them
 RATIO = 1.06  # neighbouring window sizes
 ITEMS = 20_000  # items that one pass over the documents holds
@@ -66,6 +66,11 @@ def prints(after: np.ndarray, before: np.ndarray, sizes: np.ndarray | int) -> np
     return np.packbits(above.reshape(-1), bitorder="little").view("<u8")
 
 
+def slack(size):
+    """Places on either side of a window at which an item of ``size`` shingles is verified too."""
+    return np.maximum(2, size // 12)
+
+
 class Items:
     """Items by window size, with tables of the 16-bit blocks near each fingerprint."""
 
@@ -80,6 +85,9 @@ class Items:
                 self.ids.append(item)
                 self.shingles.append(h)
         self.counts = [Counter(h.tolist()) for h in self.shingles]
+        self.known = np.zeros(1 << 22, bool)  # by the top bits of a shingle: whether any item may have it
+        for h in self.shingles:
+            self.known[h >> np.uint64(42)] = True
         near = [m for r in range(RADIUS // BLOCKS + 1) for m in (sum(1 << b for b in c) for c in combinations(range(16), r))]
         near = np.array(near, np.uint16)
         self.classes = []
@@ -93,15 +101,18 @@ class Items:
                 tables.append(table)
             self.classes.append((size, max(1, size // 24), np.array(members), own, tables))
 
-    def candidates(self, hashes: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def candidates(self, hashes: np.ndarray, cuts: np.ndarray, least: float) -> Iterator[tuple[int, int, int]]:
         """(text, shingle position in it, item) of windows within RADIUS bits of an item of their size.
 
         ``hashes`` are the shingles of many texts in a row, cut at ``cuts``. Besides the regular places a text's
-        first and last window are looked at, and the whole text where it is up to a quarter shorter than the items.
+        first and last window are looked at, and the whole text where it is up to a quarter shorter than the items. Left out are places around which too few shingles are
+        in any item for a similarity of ``least``; no place that ``verify`` could find is among them.
         """
         largest = max((c[0] for c in self.classes), default=0)
         text_of, lengths = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), np.diff(cuts)
         span = max(30_000, 4 * largest)
+        known = np.concatenate([[0], np.cumsum(self.known[hashes >> np.uint64(42)])])
+        totals = np.array([len(h) for h in self.shingles], np.int64)
         for low in range(0, len(hashes), span):
             part = hashes[low : low + span + largest]
             sums, here = bit_sums(part, 2 * largest), text_of[low : low + len(part)]
@@ -128,14 +139,18 @@ class Items:
                     some = at[k : k + 4096]
                     i, j = np.nonzero(np.bitwise_count(got[some][:, None] ^ own[None, :]) <= RADIUS)
                     place = starts[some[i]] + low
-                    text = text_of[place]
+                    text, total = text_of[place], totals[members[j]]
+                    size_here, around = np.minimum(total, lengths[text]), slack(total)
+                    have = known[np.minimum(cuts[text + 1], place + around + size_here)] - known[np.maximum(cuts[text], place - around)]
+                    fit = have >= least * (total + size_here) / (1 + least) - 1e-6
+                    place, text, j = place[fit], text[fit], j[fit]
                     yield from zip(text.tolist(), (place - cuts[text]).tolist(), members[j].tolist())
 
-    def verify(self, hashes: np.ndarray, at: int, item: int, slack: int) -> tuple[float, int]:
+    def verify(self, hashes: np.ndarray, at: int, item: int, around: int) -> tuple[float, int]:
         """Best weighted similarity (sum of least over sum of greatest counts) of the item-sized windows around ``at``."""
         size, want = min(len(self.shingles[item]), len(hashes)), self.counts[item]
         total, best = len(self.shingles[item]), (0.0, at)
-        for start in range(max(0, at - slack), min(len(hashes) - size, at + slack) + 1):
+        for start in range(max(0, at - around), min(len(hashes) - size, at + around) + 1):
             have = Counter(hashes[start : start + size].tolist())
             both = sum(min(n, want[h]) for h, n in have.items() if h in want)
             best = max(best, (both / (total + size - both), -start))
@@ -173,9 +188,9 @@ def mark(docs: DataFrame, items: DataFrame, least: float = 0.8, keep: list[str]
                     own = [shingles(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
                     ends = np.concatenate([[0], np.cumsum([len(h) for h in own])]).astype(np.int64)
                     best: list[dict] = [{} for _ in own]
-                    for t, at, item in index.candidates(np.concatenate([*own, np.empty(0, np.uint64)]), ends):
+                    for t, at, item in index.candidates(np.concatenate([*own, np.empty(0, np.uint64)]), ends, least):
                         if best[t].get(item, (0.0,))[0] < 1.0:
-                            got = index.verify(own[t], at, item, max(2, len(index.shingles[item]) // 12))
+                            got = index.verify(own[t], at, item, int(slack(len(index.shingles[item]))))
                             if got[0] >= least and got[0] > best[t].get(item, (0.0,))[0]:
                                 best[t][item] = got
                     result = [[{"item_id": index.ids[i], "start": s, "words": len(index.shingles[i]) + WORDS - 1, "similarity": x} for i, (x, s) in sorted(b.items())] for b in best]
