@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import batches, components, cut
+from threadloom.llm.common import batches, components, cut, shared_dir
 
 SEED = 42
 BLOCK = 1_024  # texts of a bucket that one task compares with each other or with as many others
@@ -303,8 +305,19 @@ def _link(pairs: DataFrame, texts: DataFrame, words: int, least: float, links: D
         return links, roots, pairs
     sized = pairs.join(texts.select(F.col("key").alias("y"), F.col("text").alias("ty")), "y").join(texts.select(F.col("key").alias("x"), F.col("text").alias("tx")), "x")
     good = sized.select("x", "y", "tx", "ty").mapInArrow(lambda rows: jaccard(batches(rows, "ty"), words), "x bigint, y bigint, similarity double").where(F.col("similarity") >= least).select("x", "y")
-    links = cut(good if links is None else links.unionAll(good))
-    return links, components(links), pairs
+    links = _stored(good if links is None else links.unionAll(good))
+    return links, _stored(components(links)), pairs
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    A checkpoint keeps the size that the planner has estimated, a product over all joins; carried from one run of
+    ``components`` to the next it becomes a number of millions of digits, and planning does not end.
+    """
+    path = os.path.join(shared_dir(df.sparkSession), f"links-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
