@@ -181,7 +181,7 @@ def block_links(rows: Iterator[pa.RecordBatch], most: int, nearest: bool) -> Ite
             continue
         named = np.stack([batch.column(i).to_numpy() for i in range(5)], axis=1)
         own = batch.column(5).to_numpy()
-        wide = batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1)
+        wide = batch.column(6).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)  # bitwise_count takes signed numbers without sign
         if held is not None:
             named, own, wide = (np.concatenate(two) for two in zip(held, (named, own, wide)))
         ends = np.concatenate([[0], np.flatnonzero((named[1:, :3] != named[:-1, :3]).any(axis=1)) + 1])
