@@ -290,6 +290,14 @@ def test_all_pairs_of_a_bucket_are_looked_at(spark, monkeypatch):
     assert got == brute.similar(texts, 76)
 
 
+def test_repeated_lines_do_not_hide_a_copy(spark):
+    rng = random.Random(14)
+    plain = [prose(rng, 150) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(plain)] + [(10 + i, t + 60 * (" " + " ".join(t.split()[-12:]))) for i, t in enumerate(plain)]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d % 10 for d, _ in rows}
+
+
 def test_quality(spark):
     rng = random.Random(7)
     rows, labels = [], []

@@ -58,8 +58,11 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int, families: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and fp, an array of ``families`` 64-bit fingerprints of the whole text; a null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int, families: int = 1, keep: tuple[str, ...] = ("doc_id",), repeats: bool = True) -> DataFrame:
+    """``keep`` and fp, an array of ``families`` 64-bit fingerprints of the whole text; a null text counts as empty.
+
+    Without ``repeats`` each different shingle counts once.
+    """
     source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = source.drop("__text").schema.add("fp", T.ArrayType(T.LongType()))
 
@@ -68,6 +71,7 @@ def fingerprints(docs: DataFrame, words: int, families: int = 1, keep: tuple[str
             out = []
             for text in batch.column(len(keep)):
                 h = shingle_hashes(text.as_py(), words)
+                h = h if repeats else np.unique(h)
                 out.append(np.array([fingerprint(derive(h, k)) for k in range(families)], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.list_(pa.int64()))], [*keep, "fp"])
 
@@ -225,7 +229,7 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 1
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", text_key())
     members = cut(keyed.select("doc_id", "key"))
     per = 64 // bits
-    prints = fingerprints(keyed, words, (tables + per - 1) // per, ("key",))
+    prints = fingerprints(keyed, words, (tables + per - 1) // per, ("key",), repeats=False)
     prints = cut(prints.groupBy("key").agg(F.min("fp").alias("fp")))  # equal keys have equal fingerprints
     table_bits = [F.shiftrightunsigned(F.col("fp")[k // per], bits * (k % per)).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(tables)]
     short = prints.select("key", F.posexplode(F.array(*table_bits)).alias("t", "fp")).select("key", (F.col("t").cast("long") * (1 << 32) + F.col("fp")).alias("fp"))
