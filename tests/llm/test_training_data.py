@@ -164,6 +164,15 @@ def test_decontamination(spark, docs):
     assert got == {(i, i) for i in range(30)} | {(202, 3)}
 
 
+@pytest.mark.parametrize("space", ["\r\n", "\t", "\f", "\u00a0", "\u2003", "\u3000", "\x85"])
+def test_any_white_space_cuts_words(space):
+    import pyarrow as pa
+
+    words = prose(random.Random(3), 40).split()
+    flat, cuts = decontaminate.word_hashes(pa.array([" ".join(words), space.join(words), None]))
+    assert cuts.tolist() == [0, 40, 80, 80] and flat[:40].tolist() == flat[40:].tolist()
+
+
 def test_edited_items_are_found(spark):
     rng = random.Random(21)
     items = {i: prose(rng, rng.randint(90, 200)) for i in range(60)}

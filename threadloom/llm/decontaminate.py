@@ -24,10 +24,12 @@ RATIO = 1.06  # neighbouring window sizes
 ITEMS = 20_000  # items that one pass over the documents holds
 MARKS = string.punctuation + "«»‹›“”„‘’‚…–—¿¡·•"  # what is cut from the ends of a word
 
+SPACES = r"[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"  # white space besides blank and line feed
+
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each text without case and outer marks, and offsets by text; bare marks are no words."""
-    codes, words, offsets = word_codes(texts)
+    """Hashes of the words of each text, cut at any white space, without case and outer marks, and offsets by text; bare marks are no words."""
+    codes, words, offsets = word_codes(pc.replace_substring_regex(pc.fill_null(texts, ""), SPACES, " "))
     plain = pc.utf8_lower(pc.utf8_trim(words, characters=MARKS))
     hashed = pd.util.hash_array(plain.to_numpy(zero_copy_only=False), categorize=False)
     hashed[pc.equal(plain, "").to_numpy(zero_copy_only=False)] = 0
