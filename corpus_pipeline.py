@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate, packing, quality, secrets, simhash
-from threadloom.llm.common import shared_dir, table
+from threadloom.llm.common import fresh, shared_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more."""
-    scored = quality.fit_and_score(docs, table(spark, sf_dir, "labels"), docs.columns)
-    return scored.where(F.col("score") >= 0.5).select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    scored = quality.fit_and_score(docs, table(spark, sf_dir, "labels"), docs.columns, score)
+    return scored.where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))
-    return marked.where(F.size("matches") == 0).select(*docs.columns)
+    (matches,) = fresh(docs, "matches")
+    marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"), name=matches)
+    return marked.where(F.size(matches) == 0).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def near(prints: dict, radius: int = 2) -> dict:
 
 
 def similar(texts: dict, most: int) -> dict:
-    """doc_id -> component_id: all pairs within two bits in one of twelve 32-bit tables and within ``most`` bits over all, with Jaccard 0.8 or more."""
+    """doc_id -> component_id: all pairs within two bits in one of twenty 32-bit tables and within ``most`` bits over all, with Jaccard 0.8 or more."""
     from threadloom.llm.simhash import derive
 
     def shingles(text):
@@ -77,7 +77,7 @@ def similar(texts: dict, most: int) -> dict:
     sets, own, wide = Union(), {d: shingles(t) for d, t in texts.items()}, {}
     for d, own_set in own.items():
         h = np.array(sorted(own_set), np.uint64)
-        wide[d] = [sum(1 << b for b in range(64) if 2 * int((derive(h, k) >> np.uint64(b) & np.uint64(1)).sum()) > len(h)) for k in range(6)]
+        wide[d] = [sum(1 << b for b in range(64) if 2 * int((derive(h, k) >> np.uint64(b) & np.uint64(1)).sum()) > len(h)) for k in range(10)]
     ids = sorted(texts)
     for i, a in enumerate(ids):
         for b in ids[:i]:

@@ -296,7 +296,7 @@ def test_all_pairs_of_a_bucket_are_looked_at(spark, monkeypatch):
     texts |= {5000 + i: prose(rng, 200) for i in range(40)}
     monkeypatch.setattr(simhash, "BLOCK", 20)
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert got == brute.similar(texts, 76)
+    assert got == brute.similar(texts, 127)
 
 
 def test_repeated_lines_do_not_hide_a_copy(spark):

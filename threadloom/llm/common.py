@@ -10,9 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.operators.graph import components, cut, shared_dir
+from threadloom.operators.graph import components, cut, shared_dir, stored
 
-__all__ = ["batches", "components", "crc32", "cut", "shared_dir", "table", "word_codes"]
+__all__ = ["batches", "components", "crc32", "cut", "fresh", "shared_dir", "stored", "table", "word_codes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names made of ``names`` that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def batches(rows: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text at most (one row at least)."""
     for batch in rows:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import batches, word_codes
+from threadloom.llm.common import batches, fresh, word_codes
 
 WORDS = 5  # words in a shingle
 RADIUS = 19  # bits within which every pair of fingerprints is found; at similarity 0.8 ten differ, with a standard deviation of three
@@ -159,8 +159,8 @@ class Items:
         return best[0], abs(best[1])
 
 
-def mark(docs: DataFrame, items: DataFrame, least: float = 0.8, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (all, if none are named) and matches: item_id, start, words and similarity of each leaked item.
+def mark(docs: DataFrame, items: DataFrame, least: float = 0.8, keep: list[str] | None = None, name: str = "matches") -> DataFrame:
+    """``keep`` columns of ``docs`` (all, if none are named) and ``name``: item_id, start, words and similarity of each leaked item.
 
     Documents and items are read as words without case and outer marks. Running bit counts give the SimHash
     of windows of every item size, one every 1/24 of it; windows within RADIUS bits of an item of their
@@ -172,7 +172,7 @@ def mark(docs: DataFrame, items: DataFrame, least: float = 0.8, keep: list[str]
     shingle; a null item_id is kept as null; repeated items and rows each give their matches.
     """
     keep = docs.columns if keep is None else keep
-    spark, text = docs.sparkSession, "__text"
+    spark, (text, part_name) = docs.sparkSession, fresh(docs, "whole_text", "found_in_block_")
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     blocks = max(1, -(-rows.count() // ITEMS))
     kind = T.ArrayType(T.StructType().add("item_id", "long").add("start", "integer").add("words", "integer").add("similarity", "double"))
@@ -180,9 +180,9 @@ def mark(docs: DataFrame, items: DataFrame, least: float = 0.8, keep: list[str]
     for block in range(blocks):
         some = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # about ITEMS rows
         shared = spark.sparkContext.broadcast([tuple(r) for r in sorted(some, key=lambda r: (r[0] is None, r[0], r[1]))])
-        name = f"__matches{block}"
+        column = f"{part_name}{block}"
 
-        def run(found: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+        def run(found: Iterator[pa.RecordBatch], shared=shared, column=column) -> Iterator[pa.RecordBatch]:
             index = Items(shared.value)
             for batch in found:
                 for part in batches(iter([batch]), text):
@@ -197,7 +197,7 @@ def mark(docs: DataFrame, items: DataFrame, least: float = 0.8, keep: list[str]
                                 best[t][item] = got
                     result = [[{"item_id": index.ids[i], "start": s, "words": len(index.shingles[i]) + WORDS - 1, "similarity": x} for i, (x, s) in sorted(b.items())] for b in best]
                     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("similarity", pa.float64())]))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(result, arrow)], [*part.schema.names, name])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(result, arrow)], [*part.schema.names, column])
 
-        out = out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(name, kind)]))
-    return out.select(*keep, F.concat(*[F.col(f"__matches{b}") for b in range(blocks)]).alias("matches"))
+        out = out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(column, kind)]))
+    return out.select(*keep, F.concat(*[F.col(f"{part_name}{b}") for b in range(blocks)]).alias(name))

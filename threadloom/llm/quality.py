@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import batches, word_codes
+from threadloom.llm.common import batches, fresh, word_codes
 
 BUCKETS = 1 << 18
 TAIL = regex.compile(r"[^\p{L}\p{N}]+$")
@@ -109,13 +109,13 @@ def train(labelled: DataFrame, most: int = 24_000, shards: int = 6, passes: int
     return out
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all, if none are named) and score (0 to 1) of every row; whole texts, null as empty."""
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` columns (all, if none are named) and ``name``, the score (0 to 1), of every row; whole texts, null as empty."""
     keep = docs.columns if keep is None else keep
-    text = "__text"
+    (text,) = fresh(docs, "whole_text")
     source = docs.select(*keep, F.col("text").cast("string").alias(text))
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS + 1 numbers whatever the input
-    schema = source.drop(text).schema.add("score", "double")
+    schema = source.drop(text).schema.add(name, "double")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -123,16 +123,16 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None) -
             r, i, v = features(batch.column(batch.schema.get_field_index(text)))
             total = np.bincount(r, weights=w[i] * v, minlength=batch.num_rows) + w[-1]
             columns = [batch.column(k) for k, c in enumerate(batch.schema.names) if c != text]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(1.0 / (1.0 + np.exp(-total)))], [*[c for c in batch.schema.names if c != text], "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(1.0 / (1.0 + np.exp(-total)))], [*[c for c in batch.schema.names if c != text], name])
 
     return source.mapInArrow(run, schema)
 
 
-def fit_and_score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def fit_and_score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """Score ``docs`` by a model of ``labels.quality``, learnt without rows whose crc32(doc_id) mod 3 is 1.
 
     Only the text is an input of the score. A null doc_id is not held out and learns nothing.
     """
     known = labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).groupBy("doc_id").agg(F.max("quality").alias("label"))
     learn = docs.select(F.col("doc_id").alias("id"), "text").join(known.withColumnRenamed("doc_id", "id"), "id").select("id", "text", "label")
-    return score(docs, train(learn), keep)
+    return score(docs, train(learn), keep, name)

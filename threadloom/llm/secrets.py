@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import cut
+from threadloom.llm.common import cut, fresh
 
 # Kinds in order, pattern, group that holds the secret, least length of that group.
 KINDS = [
@@ -92,9 +92,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Overlapping spans are merged first. A null text stays null.
     """
-    spans = scan(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_digest"])
-    rows = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left")
+    key, other, digest, found = fresh(docs, "own_key", "other_id", "other_key", "found_spans")
+    spans = scan(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(other), F.col("digest").alias(digest), F.col("spans").alias(found)).dropDuplicates([other, digest])
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(key) == F.col(digest)), "left")
 
     def step(acc, s):
         gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
@@ -102,8 +103,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap), F.array(F.lit(mark)))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    cleaned = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), cleaned).otherwise(F.col("text"))).select(*docs.columns)
+    cleaned = F.aggregate(found, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    return joined.withColumn("text", F.when(F.col(found).isNotNull(), cleaned).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def digest_columns(scanned: DataFrame) -> DataFrame:
