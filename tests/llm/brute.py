@@ -127,3 +127,24 @@ def packed_ids(texts, tokenizer) -> list:
 
 def crc_ids(ids) -> int:
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def licenses(text, notices, least: float = 0.8) -> dict:
+    """license -> containment: every window of 15 words, one every 8, against every passage of 8 words of every notice."""
+    def pairs(words):
+        return list(zip(words, words[1:]))
+
+    def words_of(x):
+        return re.findall(r"[^\W_]+(?:[-.][^\W_]+)*", (x or "").lower())
+
+    own, out = pairs(words_of(text)), {}
+    windows = [set(own[k : k + 14]) for k in range(0, max(len(own) - 14, 0) + 8, 8)]
+    for name, notice in notices:
+        words = words_of(notice)
+        last = max(len(words) - 8, 0)
+        passages = [set(pairs(words[a : a + 8])) for a in sorted({*range(0, last + 1, 8), last})]
+        found = [max((len(p & w) for w in windows), default=0) for p in passages]
+        share = sum(n for n, p in zip(found, passages) if n >= least * len(p) - 1e-9) / sum(map(len, passages))
+        if own and share >= least - 1e-9:
+            out[name] = max(out.get(name, 0), share)
+    return out

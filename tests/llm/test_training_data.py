@@ -328,13 +328,24 @@ def test_quality(spark):
 
 def test_licenses(spark):
     rng = random.Random(4)
-    rows, wanted = [(900, None), (901, ""), (902, "one"), (903, prose(rng, 3000))], set()
-    for i, (name, text) in enumerate(licenses.NOTICES):
-        for k in range(6):
-            rows.append((10 * i + k, f"{prose(rng, 37 * k)} {text.upper() if k % 2 else text} {prose(rng, 20 * k)}"))
-            wanted.add((10 * i + k, name))
-    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == wanted
+    rows = [(900, None), (901, ""), (902, "one"), (903, prose(rng, 3000)), (904, licenses.NOTICES[0][1]), (904, licenses.NOTICES[0][1]), (None, "x " + licenses.NOTICES[0][1])]
+    for i, (_, text) in enumerate(licenses.NOTICES):
+        for k in range(12):
+            words = (text.upper() if k % 2 else text).split()
+            for _ in range(k // 2 * len(words) // 40):  # edits from none to about one word in eight
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            rows.append((20 * i + k, f"{prose(rng, 37 * k)} {' '.join(words)} {prose(rng, 20 * k)}"))
+    wanted = {(d, name): share for d, t in rows for name, share in brute.licenses(t, licenses.NOTICES).items()}
+    got = {(r.doc_id, r.license): r.containment for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) <= set(wanted) and len(wanted) > 150 and len(got) >= 0.99 * len(wanted), (len(got), len(wanted))
+    assert all(abs(got[k] - wanted[k]) < 1e-9 for k in got if wanted[k] == 1.0) and (None, "Apache-2.0") in got
+    assert {(20 * i, name) for i, (name, _) in enumerate(licenses.NOTICES)} <= set(got)
+
+
+def test_licenses_without_rows_or_notices(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, license string, h string")
+    assert licenses.scan(empty).count() == 0
+    assert licenses.scan(spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string"), []).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
