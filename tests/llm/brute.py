@@ -41,6 +41,25 @@ def removed(docs: dict, length: int = 50) -> dict:
     return out
 
 
+def removed_rows(rows: list, length: int = 50) -> dict:
+    """doc_id -> sorted results of its rows; ids may repeat or be null, which is above all others."""
+    last, first, out = 1 << 63, {}, defaultdict(list)
+    for doc, text in rows:
+        data = (text or "").encode()
+        for i in range(len(data) - length + 1):
+            w = data[i : i + length]
+            first[w] = min(first.get(w, last), last if doc is None else doc)
+    for doc, text in rows:
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            if first[data[i : i + length]] < (last if doc is None else doc):
+                gone[i : i + length] = b"\x01" * length
+        kept = bytes(b for b, g in zip(data, gone) if not g)
+        out[doc].append((len(data), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return {d: sorted(v) for d, v in out.items()}
+
+
 def simhash(text, words: int = 3) -> int:
     found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not found:

@@ -71,17 +71,67 @@ def test_shards_of_equal_rows_and_none(spark):
     assert sharding.shard(spark.createDataFrame([], EMPTY), dims, leaves=4).count() == 0
 
 
-def test_removed_substrings(docs, texts):
-    wanted = brute.removed(texts)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect()}
-    assert got == wanted
+def removed_by(rows):
+    """Rows of suffix_dedup by doc_id."""
+    out = defaultdict(list)
+    for r in rows:
+        out[r.doc_id].append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    return {d: sorted(v) for d, v in out.items()}
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])  # with few contexts a name its windows are dealt one by one
+def test_removed_substrings(docs, texts, hot):
+    assert removed_by(suffix_dedup.dedup(docs, 50, hot).collect()) == {d: [r] for d, r in brute.removed(texts).items()}
+
+
+def run_batches(texts, size):
+    import pyarrow as pa
+
+    rows = []
+    for d, t in texts.items():
+        rows += [(k, h, d, 0, s, n) for k, s, n, h in zip(*(c.tolist() for c in suffix_dedup.window_runs(np.frombuffer((t or "").encode(), np.uint8), 50)))]
+    columns = [pa.array(c, k) for c, k in zip(zip(*sorted(rows)), (*[pa.int64()] * 4, pa.int32(), pa.int32()))]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "hash", "doc", "tag", "start", "windows"])
+    return [batch.slice(i, size) for i in range(0, batch.num_rows, size)]
+
+
+@pytest.mark.parametrize("hot", [16_384, 3])
+def test_settled_runs_do_not_depend_on_batches(texts, hot):
+    def rows(size):
+        out = {}
+        for b in suffix_dedup.settle(iter(run_batches(texts, size)), hot):
+            for doc, _, start, _, _, kind in zip(*(b.column(i).to_pylist() for i in range(6))):
+                assert (doc, start) not in out
+                out[doc, start] = kind
+        return out
+
+    whole = rows(1 << 20)
+    assert set(whole.values()) >= {suffix_dedup.SETTLED, suffix_dedup.CONTEXT if hot > 3 else suffix_dedup.WINDOWS}
+    for size in (1, 7, 64):
+        part = rows(size)
+        assert {k for k, v in part.items() if v == suffix_dedup.SETTLED} == {k for k, v in whole.items() if v == suffix_dedup.SETTLED}
+        assert set(part) >= set(whole)
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3])
+def test_removed_substrings_of_odd_rows(spark, hot):
+    """Repeated rows, equal and null ids, a common header with other ends, runs of one letter."""
+    rng = random.Random(31)
+    header = prose(rng, 20)
+    rows = [(i, f"{header} {prose(rng, 12)}") for i in range(40)] + [(7, f"{prose(rng, 9)} {header}")] * 30 + [(7, f"{header} {prose(rng, 8)}")] * 3
+    rows += [(None, f"{prose(rng, 5)} {header} end"), (None, f"{header} other end"), (90, "a" * 3000), (91, "b" + "a" * 2500), (92, None), (93, "")]
+    assert removed_by(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 50, hot).collect()) == brute.removed_rows(rows)
+
+
+def test_removed_substrings_of_no_rows(spark):
+    assert suffix_dedup.dedup(spark.createDataFrame([], "doc_id long, text string, kept string, tag long")).count() == 0
 
 
 def test_removed_substrings_over_small_shards(docs, texts, monkeypatch):
-    rows = sorted((k, d, 0, s, c) for d, t in texts.items() for k, s, c in contexts_of((t or "").encode()))
+    rows = sorted((k, d, 0, s, n, c) for d, t in texts.items() for k, s, n, c in contexts_of((t or "").encode()))
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["key", "doc", "tag", "start", "context"])
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["key", "doc", "tag", "start", "windows", "context"])
     whole = spans_of(suffix_dedup.mark_shards(iter([batch]), 50))
     monkeypatch.setattr(suffix_dedup, "SHARD", 400)
     assert spans_of(suffix_dedup.mark_shards(iter([batch.slice(i, 7) for i in range(0, len(rows), 7)]), 50)) == whole
@@ -89,8 +139,8 @@ def test_removed_substrings_over_small_shards(docs, texts, monkeypatch):
 
 
 def contexts_of(data):
-    keys, starts, counts = suffix_dedup.window_runs(np.frombuffer(data, np.uint8), 50)
-    return [(int(np.int64(np.uint64(k).view(np.int64))) % 7, int(s), data[s : s + n + 49]) for k, s, n in zip(keys, starts, counts)]
+    keys, starts, counts, _ = suffix_dedup.window_runs(np.frombuffer(data, np.uint8), 50)
+    return [(int(k) % 7, int(s), int(n), data[s : s + n + 49]) for k, s, n in zip(keys, starts, counts)]
 
 
 def spans_of(batches):

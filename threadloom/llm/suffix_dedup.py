@@ -15,7 +15,10 @@ from threadloom.llm.common import batches, cut
 GRAM = 16  # bytes of the grams whose least hash stands for a window
 SHARD = 1 << 20  # bytes of context in a shard
 LONGEST = 1_024  # windows in a context
+HOT = 16_384  # different contexts of one name above which its windows are dealt one by one
+SETTLED, CONTEXT, WINDOWS = 0, 1, 2  # what has become of a run: removed, to be looked at, to be looked at window by window
 _A = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of an odd number and of its inverse, grown as texts need them
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -29,29 +32,58 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def window_keys(data: np.ndarray, length: int) -> np.ndarray:
-    """For each window of ``length`` bytes the least hash of its grams; equal windows have equal keys."""
-    if len(data) < length:
-        return np.empty(0, np.uint64)
-    h, width, size = gram_hashes(data), length - GRAM + 1, 1
+def window_keys(h: np.ndarray, length: int) -> np.ndarray:
+    """For each window of ``length`` bytes the least of the hashes ``h`` of its grams; equal windows have equal keys."""
+    width, size = length - GRAM + 1, 1
     while size * 2 <= width:
         h = np.minimum(h[:-size], h[size:])
         size *= 2
     return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if width > size else h
 
 
-def window_runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, starts and numbers of windows of the runs of neighbouring windows with one key, LONGEST windows at most each."""
-    keys = window_keys(data, length)
-    if not len(keys):
-        return keys, keys.astype(np.int64), keys.astype(np.int64)
+def range_hashes(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the bytes under ``counts`` windows from ``starts`` on, from the gram hashes ``h``: their sum weighted by place."""
+    if len(_powers[0]) <= len(h):
+        n, odd = 2 * len(h), 0xD1342543DE82EF95
+        _powers[:] = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, x, np.uint64))) for x in (odd, pow(odd, -1, 1 << 64))]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers[0][: len(h)])])
+    out = (sums[starts + counts + length - GRAM] - sums[starts]) * _powers[1][starts]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
+def window_runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of 48 bits, starts, numbers of windows and hashes of the runs of neighbouring windows with one key, LONGEST windows at most each."""
+    if len(data) < length:
+        none = np.empty(0, np.int64)
+        return none, none, none, none
+    h = gram_hashes(data)
+    keys = window_keys(h, length) >> np.uint64(16)
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     counts = np.diff(np.append(starts, len(keys)))
     if counts.max() > LONGEST:
         pieces = -(-counts // LONGEST)
         at = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         starts, counts = np.repeat(starts, pieces) + at * LONGEST, np.minimum(np.repeat(counts, pieces) - at * LONGEST, LONGEST)
-    return keys[starts], starts, counts
+    return keys[starts].view(np.int64), starts, counts, range_hashes(h, starts, counts, length).view(np.int64)
+
+
+def repeats_of(same: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
+    """Of rows that agree in all of ``same``, those of a document above the least one."""
+    order = np.lexsort([doc, *same[::-1]])
+    new = np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in same], axis=0)])[: len(order)]
+    least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc
+    out = np.empty(len(order), bool)
+    out[order] = doc[order] > least
+    return out
+
+
+def united(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans in order of row and start with those that touch made one; ends must not fall within a row."""
+    if not len(row):
+        return row, start, end
+    lead = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] > end[:-1])]))
+    return row[lead], start[lead], end[np.append(lead[1:], len(row)) - 1]
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +201,7 @@ class Shard:
 def mark_shards(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Spans (doc, tag, start, end) of windows that also start in a smaller document, from contexts sorted by key and document.
 
-    A context seen before under its key with a smaller document is marked whole and takes no further part. The
+    Rows are (key, doc, tag, start, windows, context); those with a key below 0 are settled and only passed on. A context seen before under its key with a smaller document is marked whole and takes no further part. The
     others fill shards of about SHARD bytes. A key whose contexts go on in the next shard leaves its
     sorted windows with their least documents; the next shard's windows are searched in them by bisection. As
     documents come in order, an earlier shard never needs a later one.
@@ -221,7 +253,10 @@ def mark_shards(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
     carried_key = None
     for batch in rows:
-        for k, doc, tag, start, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for k, doc, tag, start, count, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if k < 0:
+                out(doc, tag, start, start + count + length - 1)
+                continue
             if k != key:
                 if shard.size >= SHARD:
                     close(False)
@@ -252,94 +287,156 @@ def windows(joined: bytes, places: np.ndarray, length: int) -> np.ndarray:
     return rows.view(f"S{length + 1}").reshape(-1)
 
 
-def shared_runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of runs (key, doc, ...) sorted by key and document those whose key is in two documents or more.
+def settle(rows: Iterator[pa.RecordBatch], most: int = HOT) -> Iterator[pa.RecordBatch]:
+    """What becomes of each run (key, hash, doc, tag, start, windows), from runs sorted by key, hash and document.
 
-    Of a key that goes on over batches only rows of a single document are held back.
+    Runs with equal hashes have equal bytes: above their least document they are removed whole, SETTLED. Where a key has
+    two different contexts or more, those of the least documents may share single windows: they are CONTEXT, or
+    WINDOWS if the key has more than ``most`` of them. All others match nothing and are left out. Of a key that goes
+    on over batches at most ``most`` rows, and those of one batch, are held back.
     """
-    held, open_key, open_shared = None, None, False
-    for batch in rows:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-        key, doc = table.column(0).to_numpy(), table.column(1).to_numpy()
-        if not len(key):
-            continue
-        lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        tail = np.append(lead[1:], len(key))
-        several = doc[lead] != doc[tail - 1]
-        several[0] |= open_shared and key[0] == open_key
-        yield from table.filter(pa.array(np.repeat(several, tail - lead))).to_batches()
-        open_key, open_shared = key[-1], bool(several[-1])
-        held = None if open_shared else table.slice(lead[-1])
+    names = ["doc", "tag", "start", "windows", "key", "kind"]
+    hash_, least, several, hot, held = None, 0, False, False, []
 
+    def emit(table, kind):
+        kinds = pa.array(np.full(table.num_rows, kind, np.int8))
+        return [pa.RecordBatch.from_arrays([*(b.column(i) for i in (2, 3, 4, 5, 0)), kinds.slice(0, b.num_rows)], names) for b in table.to_batches()]
 
-def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
+    def done():
+        kept = pa.concat_tables(held) if held and (several or hot) else None
+        return emit(kept, WINDOWS if hot else CONTEXT) if kept is not None else []
+
+    open_key = None
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        key, own, doc = (batch.column(i).to_numpy() for i in range(3))
+        passed = key < 0
+        new_key = np.concatenate([[key[0] != open_key], key[1:] != key[:-1]])
+        new_hash = new_key | np.concatenate([[own[0] != hash_], own[1:] != own[:-1]])
+        first = np.maximum.accumulate(np.where(new_hash, np.arange(len(doc)), -1))
+        floor = np.where(first < 0, least, doc[np.maximum(first, 0)])
+        gone = (doc > floor) | passed
+        yield from emit(table.filter(pa.array(gone)), SETTLED)
+        leads = np.flatnonzero(new_key)
+        bounds = np.concatenate([[0], leads[leads > 0], [len(doc)]])
+        hashes = np.add.reduceat(new_hash.astype(np.int64), bounds[:-1])
+        if not new_key[0]:
+            several, hashes[0] = several or bool(hashes[0]), hashes[0] + 1
+            held.append(table.slice(0, bounds[1]).filter(pa.array(~gone[: bounds[1]])))
+            if hot or sum(t.num_rows for t in held) > most:
+                hot = True
+                yield from done()
+                held = []
+        rest = slice(0 if new_key[0] else 1, len(hashes))
+        if len(hashes[rest]):
+            yield from done()
+            held = []
+            sizes = np.diff(bounds)
+            many = np.repeat(hashes > 1, sizes) & ~gone
+            wanted = np.add.reduceat(many.astype(np.int64), bounds[:-1])
+            inner = np.repeat((np.arange(len(hashes)) >= rest.start) & (np.arange(len(hashes)) < len(hashes) - 1), sizes)
+            big = np.repeat(wanted > most, sizes)
+            yield from emit(table.filter(pa.array(many & inner & ~big)), CONTEXT)
+            yield from emit(table.filter(pa.array(many & inner & big)), WINDOWS)
+            at = int(bounds[-2])
+            several, hot = bool(hashes[-1] > 1), False
+            held = [table.slice(at).filter(pa.array(~gone[at:]))]
+        open_key, hash_, least = key[-1], own[-1], int(floor[-1])
+    yield from done()
+
+
+def dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document with a smaller doc_id.
 
     1. A text that equals that of a smaller document goes whole; the others are dealt by doc_id once, and every
        later step reuses that exchange.
     2. Every window of ``length`` bytes is named by the least hash of its 16-byte grams; neighbouring windows of one
-       name form a run. Equal windows have equal names, so a run whose name is in one document only has no
-       match and is left out (names and places alone are shuffled, no text).
-    3. The bytes under the other runs, their contexts, are dealt by name, and each task cuts them into
+       name form a run. Equal windows have equal names, so names, hashes and places of the runs are dealt by name, no text. Runs
+       with equal hashes are settled there (those of one batch of texts even before), and a run whose name has no other context has no
+       match and is left out.
+    3. The bytes under the other runs, their contexts, are cut out of the texts and dealt by name, and each task gathers them into
        shards of bounded size. Each shard gets its suffix array by Larsson-Sadakane refinement and common prefixes by
        Kasai's rule; suffixes with a common prefix of ``length`` form a class, and windows of a document above the
-       least of its class are marked. Contexts of one name in several shards are merged by binary search.
+       least of its class are marked. Contexts of one name in several shards are merged by binary search. A name
+       with more than ``hot`` contexts deals its windows one by one, by their own hash.
     4. The marked windows of a document are united and cut out of its bytes.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for every row. A null
     text is empty; a null doc_id counts as greater than all others; rows with one doc_id do not match each
-    other; an empty table gives no rows.
+    other, and equal ones are worked on once; an empty table gives no rows.
     """
     last = (1 << 63) - 1
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ids = docs.agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("doc_id", F.lit(last))).alias("d")).first()
-    # rows that share a doc_id are told apart by their texts; elsewhere the tag is nothing to shuffle
-    keys = ["doc"] if ids["n"] == ids["d"] else ["doc", "tag"]
-    tag = F.lit(0).cast("long") if len(keys) == 1 else F.xxhash64(text)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), tag.alias("tag"), text.alias("text"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), text.alias("text"))
+    if ids["n"] == ids["d"]:  # the tag is nothing to shuffle
+        keys, base = ["doc"], base.select("doc", F.lit(0).cast("long").alias("tag"), "text", F.lit(1).cast("long").alias("n"))
+    else:  # rows that share a doc_id are told apart by their texts
+        keys, base = ["doc", "tag"], base.groupBy("doc", F.xxhash64("text").alias("tag")).agg(F.first("text").alias("text"), F.count("*").alias("n"))
 
-    names = base.select("doc", "tag", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= length)
+    names = base.select("doc", "tag", "n", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").cast("long").alias("size")).where(F.col("size") >= length)
     names = cut(names)
     firsts = names.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("top")).where("first < top")
-    copies = cut(names.join(firsts, ["h1", "h2"]).where("doc > first").select("doc", "tag", "n"))
-    base = base.join(copies.select(*keys).distinct(), keys, "left_anti")
+    copies = cut(names.join(firsts, ["h1", "h2"]).where("doc > first").select("doc", "tag", "size", "n"))
+    base = base.join(copies.select(*keys), keys, "left_anti")
 
     def runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, most=1 << 20):
-            doc, tags, texts = (batch.column(i) for i in range(3))
-            found = [window_runs(_bytes(t), length) for t in texts]
-            sizes = np.array([len(f[0]) for f in found])
-            row = np.repeat(np.arange(len(found)), sizes)
-            key, start, count = (np.concatenate([f[i] for f in found]) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), doc.take(pa.array(row)), tags.take(pa.array(row)), pa.array(start, pa.int32())], ["key", "doc", "tag", "start"])
-
-    kinds = "key bigint, doc bigint, tag bigint, start int"
-    named = base.select("doc", "tag", "text").mapInArrow(runs, kinds).repartition("key").sortWithinPartitions("key", "doc").mapInArrow(shared_runs, kinds)
-    wanted = named.groupBy(*keys).agg(F.collect_list("start").alias("starts"))
+        for batch in batches(rows):
+            docs_of, tags = (batch.column(i).to_numpy() for i in range(2))
+            found = [window_runs(_bytes(t), length) for t in batch.column(2)]
+            row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            key, start, count, own = (np.concatenate([f[i] for f in found]) for i in range(4))
+            again = repeats_of([key, own], docs_of[row])
+            gone, a, b = united(row[again], start[again], (start + count + length - 1)[again])
+            row = np.concatenate([row[~again], gone])
+            columns = [np.concatenate([key[~again], -1 - (docs_of[gone] & 0xFFFFFF)]), np.concatenate([own[~again], np.zeros(len(gone), np.int64)]), docs_of[row], tags[row]]
+            places = [np.concatenate([start[~again], a]).astype(np.int32), np.concatenate([count[~again], b - a - length + 1]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *places)], ["key", "hash", "doc", "tag", "start", "windows"])
+
+    named = base.select("doc", "tag", "text").mapInArrow(runs, "key bigint, hash bigint, doc bigint, tag bigint, start int, windows int")
+    settled = named.repartition("key").sortWithinPartitions("key", "hash", "doc").mapInArrow(lambda rows: settle(rows, hot), "doc bigint, tag bigint, start int, windows int, key bigint, kind tinyint")
+    wanted = settled.groupBy(*keys).agg(F.collect_list(F.struct("start", "windows", "key", "kind")).alias("runs"))
 
     def contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc", "tag", "start", "context"]
-        for batch in rows:
-            for doc, tag, text, own in zip(*(batch.column(i) for i in range(4)), strict=True):
-                data = text.as_py().encode("utf-8", "surrogatepass")
-                key, start, count = window_runs(np.frombuffer(data, np.uint8), length)
-                keep = np.searchsorted(start, np.sort(own.values.to_numpy()))
-                key, start, count = key[keep], start[keep], count[keep]
-                for at in range(0, len(start), 20_000):
-                    part = slice(at, at + 20_000)
-                    piece = [data[a : a + n + length - 1] for a, n in zip(start[part].tolist(), count[part].tolist())]
-                    n = len(piece)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.repeat(doc, n), pa.repeat(tag, n), pa.array(start[part], pa.int32()), pa.array(piece, pa.binary())], names)
-
-    spread = base.join(wanted, keys).select("doc", "tag", "text", "starts").mapInArrow(contexts, "key bigint, doc bigint, tag bigint, start int, context binary")
+        for batch in batches(rows):
+            docs_of, tags = (batch.column(i).to_numpy() for i in range(2))
+            parts: list[list] = [[], [], [], [], []]  # key, row, start, windows, hash of a window dealt by itself (0: none)
+            texts = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(2)]
+            for row, (data, own) in enumerate(zip(texts, batch.column(3))):
+                start, count, key, kind = (own.values.field(i).to_numpy() for i in range(4))
+                order = np.argsort(start, kind="stable")
+                start, count, key, kind = start[order].astype(np.int64), count[order].astype(np.int64), key[order], kind[order]
+                done = kind == SETTLED
+                a, b = start[done], np.maximum.accumulate(start[done] + count[done] + length - 1) if done.any() else start[done]
+                _, a, b = united(np.zeros(len(a)), a, b)
+                single = np.repeat(start[kind == WINDOWS], count[kind == WINDOWS]) + _counted(count[kind == WINDOWS])
+                hashes = range_hashes(gram_hashes(np.frombuffer(data, np.uint8)), single, np.ones(len(single), np.int64), length).view(np.int64) if len(single) else single
+                some = kind == CONTEXT
+                sizes = np.array([len(a), some.sum(), len(single)])
+                columns = [np.concatenate([np.full(len(a), -1 - (docs_of[row] & 0xFFFFFF)), key[some], hashes & ((1 << 62) - 1)]), np.full(sizes.sum(), row), np.concatenate([a, start[some], single]), np.concatenate([b - a - length + 1, count[some], np.ones(len(single), np.int64)]), np.concatenate([np.zeros(sizes[0] + sizes[1], np.int64), hashes])]
+                for part, column in zip(parts, columns):
+                    part.append(column)
+            key, row, start, count, hashes = (np.concatenate(p) if p else np.empty(0, np.int64) for p in parts)
+            single = np.flatnonzero(hashes != 0)  # equal windows of this batch are settled here
+            again = single[repeats_of([hashes[single]], docs_of[row[single]])]
+            key[again] = -1 - (docs_of[row[again]] & 0xFFFFFF)
+            for at in range(0, len(key), 20_000):
+                part = slice(at, at + 20_000)
+                piece = [texts[r][a : a + n + length - 1] if k >= 0 else b"" for k, r, a, n in zip(key[part].tolist(), row[part].tolist(), start[part].tolist(), count[part].tolist())]
+                columns = [key[part], docs_of[row[part]], tags[row[part]], start[part].astype(np.int32), count[part].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(piece, pa.binary())], ["key", "doc", "tag", "start", "windows", "context"])
+
+    spread = base.join(wanted, keys).select("doc", "tag", "text", "runs").mapInArrow(contexts, "key bigint, doc bigint, tag bigint, start int, windows int, context binary")
     spans = spread.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(lambda rows: mark_shards(rows, length), "doc bigint, tag bigint, start bigint, end bigint")
     spans = spans.groupBy(*keys).agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("spans"))
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        names = ["doc", "n", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        for batch in batches(rows):
             out = []
-            for doc, text, marked in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, n, text, marked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data, kept, at, removed, count = text.encode("utf-8", "surrogatepass"), [], 0, 0, 0
                 for s in sorted(marked or [], key=lambda s: s["start"]):
                     if s["start"] > at or not count:
@@ -351,16 +448,23 @@ def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
                         at = s["end"]
                 kept.append(data[at:])
                 rest = b"".join(kept)
-                out.append((doc, len(data), removed, count, hashlib.sha256(rest).hexdigest(), rest))
+                out.append((doc, n, len(data), removed, count, hashlib.sha256(rest).hexdigest(), rest))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (*[pa.int64()] * 5, pa.string(), pa.binary()))], names)
 
-    own = base.join(spans, keys, "left").select("doc", "text", "spans").mapInArrow(finish, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    whole = copies.select("doc", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    own = base.join(spans, keys, "left").select("doc", "n", "text", "spans").mapInArrow(finish, "doc bigint, n bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    whole = copies.select("doc", "n", F.col("size").alias("n_bytes"), F.col("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
     every = own.unionByName(whole)
+    if len(keys) > 1:
+        every = every.withColumn("n", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))))
     return every.select(F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
+def _counted(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _bytes(text: pa.StringScalar) -> np.ndarray:
     data = text.as_buffer()
     return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
