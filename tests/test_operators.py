@@ -56,11 +56,22 @@ def test_single_fragment_keeps_its_terms(spark):
 
 
 def test_judge_labels(spark):
-    cases = [('Well {"label": "CORRECT"}', "CORRECT"), ("so\nWRONG", "WRONG"), ("not correct", "WRONG"), ("", "WRONG"), (None, "WRONG"), ("This is correct.", "CORRECT")]
+    cases = [('Well {"label": "CORRECT"}', "CORRECT"), ("so\nWRONG", "WRONG"), ("not correct", "WRONG"), ("", "WRONG"), (None, "WRONG"), ("This is correct.", "WRONG"), ("It is correct, I think", "WRONG"), ("one\n correct \ntwo", "CORRECT"), ("CORRECT\nWRONG\n\n", "WRONG"), ('"label": "wrong"\nCORRECT', "WRONG"), ("wrong", "WRONG"), ('{"label": "maybe"}\nCORRECT', "CORRECT")]
     rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, a string").withColumn("l", ev.judge_label(F.col("a")))
     assert [r.l for r in sorted(rows.collect(), key=lambda r: r.i)] == [w for _, w in cases]
 
 
+def test_keywords_drop_possessives_and_outer_marks(spark):
+    row = spark.createDataFrame([("What did Audrey\u2019s (and Bob's) dog-house cost, \"then\" then?",)], "q string").select(tx.keywords(F.col("q")).alias("k"), tx.keyword_hits(F.array(F.lit("audrey x"), F.lit("bob")), F.lit("Audrey\u2019s x and BOB's")).alias("n")).first()
+    assert (row.k, row.n) == (["audrey", "bob", "dog-house", "cost", "then"], 2)
+
+
+def test_message_texts(spark):
+    row = spark.range(1).select(ingest.render(F.lit("A"), F.lit("hi"), F.lit(None).cast("string")).alias("plain"), ingest.render(F.lit("A"), F.lit("hi"), F.lit("10:00"), F.lit("u"), F.lit("cats"), F.lit(None).cast("string")).alias("image")).first()
+    assert row.plain == '【A said: "hi Dialogue time:未知时间】'
+    assert row.image == "【A sent an image: cats. Image content: No description. Dialogue: hi Dialogue time:10:00】"
+
+
 @pytest.mark.parametrize(("most", "kept"), [(120, 2), (0, 3), (10, 0)])
 def test_budget(spark, most, kept):
     blocks = spark.createDataFrame([(1, i, "x" * n) for i, n in enumerate((50, 60, 60))], "q int, i int, t string")

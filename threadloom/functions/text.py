@@ -13,12 +13,12 @@ STOP_WORDS = [
     "into", "is", "it", "its", "no", "not", "of", "on", "or", "our", "she", "so", "that", "the", "their", "them", "then",
     "there", "these", "they", "this", "to", "was", "we", "were", "what", "when", "which", "who", "will", "with", "you",
 ]
-# Words that a question is asked with.
+# Words that do not count among a question's keywords, and the marks cut from a word's ends.
 QUESTION_WORDS = [
-    "about", "and", "are", "can", "could", "did", "does", "for", "from", "had", "has", "have", "how", "into", "not", "that",
-    "the", "their", "them", "then", "there", "they", "this", "was", "were", "what", "when", "where", "which", "who", "why",
-    "will", "with", "would",
+    "all", "and", "any", "are", "been", "but", "can", "did", "does", "for", "from", "had", "has", "have", "her", "his", "how", "not", "she",
+    "some", "than", "that", "the", "them", "they", "this", "was", "were", "what", "which", "who", "will", "with", "you",
 ]
+MARKS = ".,!?()[]\"':;"
 
 
 def words(text: Column) -> Column:
@@ -75,10 +75,11 @@ def cosine(query_counts: DataFrame, weights: DataFrame, norms: DataFrame, idfs:
 
 def keywords(text: Column) -> Column:
     """Different words of a question, without marks, possessives, short and question words, in order."""
-    bare = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), "'s$", ""))
+    bare = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(F.btrim(w, F.lit(MARKS)), "['\u2019]s$", ""))
     return F.array_distinct(F.filter(bare, lambda w: (F.length(w) > 2) & ~w.isin(QUESTION_WORDS)))
 
 
 def keyword_hits(keys: Column, text: Column) -> Column:
-    """How many of the keywords occur in the text."""
-    return F.size(F.filter(keys, lambda k: F.instr(text, k) > 0)).cast("long")
+    """How many of the keywords occur in the text, lower-cased and without possessive endings."""
+    plain = F.regexp_replace(F.lower(text), "['\u2019]s\\b", "")
+    return F.size(F.filter(keys, lambda k: F.instr(plain, k) > 0)).cast("long")

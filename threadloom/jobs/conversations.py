@@ -11,7 +11,7 @@ from threadloom.operators import ingest
 _TURNS = "t AS (SELECT conv_id // 10 AS dialog, conv_id % 10 AS session, turn, role AS speaker, text FROM conversations)"
 _LABELLED = _TURNS + """, m AS (SELECT *, row_number() OVER (PARTITION BY dialog ORDER BY session, turn) AS label,
   row_number() OVER (PARTITION BY dialog, session ORDER BY turn) AS pos FROM t)"""
-_TEXT = """'[' || speaker || ' said: "' || coalesce(text, '') || '" Dialogue time:' || 'session ' || session || ']'"""
+_TEXT = """'【' || speaker || ' said: "' || coalesce(text, '') || ' Dialogue time:' || 'session ' || session || '】'"""
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,8 +151,8 @@ QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
 SQL = {
     "q_session_keys": f"WITH {_TURNS} SELECT DISTINCT dialog, 'session_' || session AS key, session AS session_no FROM t",
     "q_render_messages": f"""WITH {_TURNS} SELECT dialog, session, turn, CASE WHEN speaker = 'system'
-      THEN '[' || speaker || ' said: "' || coalesce(text, '') || '" and shared an image of No description: ' || speaker || ' Dialogue time:' || CASE WHEN session > 0 THEN 'session ' || session ELSE 'unknown time' END || ']'
-      ELSE '[' || speaker || ' said: "' || coalesce(text, '') || '" Dialogue time:' || CASE WHEN session > 0 THEN 'session ' || session ELSE 'unknown time' END || ']' END AS message FROM t""",
+      THEN '【' || speaker || ' sent an image: No description. Image content: ' || speaker || '. Dialogue: ' || coalesce(text, '') || ' Dialogue time:' || CASE WHEN session > 0 THEN 'session ' || session ELSE '未知时间' END || '】'
+      ELSE '【' || speaker || ' said: "' || coalesce(text, '') || ' Dialogue time:' || CASE WHEN session > 0 THEN 'session ' || session ELSE '未知时间' END || '】' END AS message FROM t""",
     "q_label_messages": f"WITH {_LABELLED} SELECT dialog, session, label, pos, {_TEXT} AS message FROM m",
     "q_batches": f"WITH {_LABELLED} SELECT dialog, session, label, (pos - 1) // 3 AS batch_no FROM m",
     "q_batch_context": f"""WITH {_LABELLED}, b AS (SELECT *, (pos - 1) // 3 AS batch_no FROM m), g AS (SELECT dialog, session, batch_no, count(*) AS n_messages, min(label) AS first_label, max(label) AS last_label, min(pos) AS p FROM b GROUP BY ALL)

@@ -163,7 +163,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each text with the keywords that occur in them and in their source's name."""
     best = q_tfidf_cosine(spark, sf_dir).select("item_id", "doc_id")
     keys = table(spark, sf_dir, "benchmark").select("item_id", tx.keywords(F.col("text")).alias("keys"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("body"), F.concat_ws(" ", "lang", "source").alias("edge"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"), F.concat_ws(" ", "lang", "source").alias("edge"))
     return best.join(keys, "item_id").join(docs, "doc_id").select("item_id", "doc_id", F.size("keys").cast("long").alias("n_keys"), tx.keyword_hits(F.col("keys"), F.col("body")).alias("hits"), tx.keyword_hits(F.col("keys"), F.col("edge")).alias("edge_hits"))
 
 
@@ -200,12 +200,13 @@ def q_entity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
 
-_KEYS = f"list_distinct_ordered(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'), '''s$', '')), lambda w: length(w) > 2 AND w NOT IN ({_ASK})))"
+_MARKS = tx.MARKS.replace("'", "''")
+_KEYS = f"list_distinct_ordered(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(trim(w, '{_MARKS}'), '[''\u2019]s$', '')), lambda w: length(w) > 2 AND w NOT IN ({_ASK})))"
 _KEYS = _KEYS.replace("list_distinct_ordered(", "(SELECT list_filter(l, lambda x, i: list_position(l, x) = i) FROM (SELECT ")[:-1] + " AS l))"
 _TOP10 = "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s QUALIFY rank <= 10"
 _CLASS = "c AS (SELECT item_id, coalesce(source, '') AS source, max(score) AS score FROM s JOIN documents USING (doc_id) GROUP BY 1, 2)"
 _HITS = f"""top AS ({_TOP10}), k AS (SELECT item_id, {_KEYS} AS keys FROM benchmark), h AS (SELECT item_id, doc_id, len(keys) AS n_keys,
-  len(list_filter(keys, lambda x: contains(lower(coalesce(text, '')), x))) AS hits, len(list_filter(keys, lambda x: contains(concat_ws(' ', lang, source), x))) AS edge_hits
+  len(list_filter(keys, lambda x: contains(regexp_replace(lower(coalesce(text, '')), '[''\u2019]s\\b', '', 'g'), x))) AS hits, len(list_filter(keys, lambda x: contains(lower(concat_ws(' ', lang, source)), x))) AS edge_hits
   FROM top JOIN k USING (item_id) JOIN documents USING (doc_id))"""
 
 SQL = {

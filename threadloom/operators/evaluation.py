@@ -9,12 +9,15 @@ RIGHT, WRONG = "CORRECT", "WRONG"
 
 
 def judge_label(answer: Column) -> Column:
-    """Label of a judge's answer: a ``label`` field, else a last line that is a label, else words in the text, else WRONG."""
+    """Label of a judge's answer: a ``label`` field, else the last of its lines that is a label and nothing else, else WRONG.
+
+    Words inside a sentence never count, so that "not correct" and "it is correct, I think" are WRONG. Null counts as empty.
+    """
     text = F.coalesce(answer, F.lit(""))
-    field = F.upper(F.regexp_extract(text, r'(?i)"label"\s*:\s*"(correct|wrong)"', 1))
-    last = F.upper(F.trim(F.element_at(F.split(F.trim(text), "\n"), -1)))
-    negated = text.rlike(r"(?i)\b(not correct|incorrect|wrong)\b")
-    return F.when(field != "", field).when(last.isin(RIGHT, WRONG), last).when(~negated & text.rlike(r"(?i)\bcorrect\b"), RIGHT).otherwise(WRONG)
+    field = F.upper(F.regexp_extract(text, r'(?i)"label"\s*:\s*"\s*(correct|wrong)\s*"', 1))
+    lines = F.transform(F.split(text, r"[\r\n\x0B\f\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.upper(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    last = F.try_element_at(F.filter(lines, lambda x: x.isin(RIGHT, WRONG)), F.lit(-1))
+    return F.when(field != "", field).otherwise(F.coalesce(last, F.lit(WRONG)))
 
 
 def accuracy(rows: DataFrame, by: list[str], right: Column) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BATCH, CONTEXT = 10, 3
-NO_TIME, NO_CAPTION = "unknown time", "No description"
+# What stands for a missing time and a missing description.
+NO_TIME, NO_CAPTION = "未知时间", "No description"
 
 
 def session_number(key: Column) -> Column:
@@ -15,12 +16,13 @@ def session_number(key: Column) -> Column:
 
 
 def render(speaker: Column, text: Column, time: Column, image: Column | None = None, query: Column | None = None, caption: Column | None = None) -> Column:
-    """One message as text; with an image, its query and caption stand beside the words."""
-    when = F.coalesce(time, F.lit(NO_TIME))
-    plain = F.concat(F.lit("["), speaker, F.lit(' said: "'), F.coalesce(text, F.lit("")), F.lit('" Dialogue time:'), when, F.lit("]"))
+    """One message as text; with an image, its query and caption stand before the words."""
+    when, said = F.coalesce(time, F.lit(NO_TIME)), F.coalesce(text, F.lit(""))
+    plain = F.concat(F.lit("【"), speaker, F.lit(' said: "'), said, F.lit(" Dialogue time:"), when, F.lit("】"))
     if image is None:
         return plain
-    seen = F.concat(F.lit("["), speaker, F.lit(' said: "'), F.coalesce(text, F.lit("")), F.lit('" and shared an image of '), F.coalesce(query, F.lit(NO_CAPTION)), F.lit(": "), F.coalesce(caption, F.lit(NO_CAPTION)), F.lit(" Dialogue time:"), when, F.lit("]"))
+    asked, shown = (F.coalesce(c, F.lit(NO_CAPTION)) for c in (query, caption))
+    seen = F.concat(F.lit("【"), speaker, F.lit(" sent an image: "), asked, F.lit(". Image content: "), shown, F.lit(". Dialogue: "), said, F.lit(" Dialogue time:"), when, F.lit("】"))
     return F.when(F.coalesce(image, F.lit("")) != "", seen).otherwise(plain)
 
 
