@@ -167,3 +167,30 @@ def licenses(text, notices, least: float = 0.8) -> dict:
         if own and share >= least - 1e-9:
             out[name] = max(out.get(name, 0), share)
     return out
+
+
+def five_words(text) -> set:
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(one, two) -> float:
+    a, b = five_words(one), five_words(two)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def jaccard_groups(texts: dict, least: float = 0.8) -> dict:
+    """doc_id -> smallest doc_id reachable over pairs of that similarity."""
+    sets, ids = Union(), sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if jaccard(texts[a], texts[b]) >= least:
+                sets.join(a, b)
+    return {d: sets.root(d) for d in ids}
+
+
+def holds(text, item, least: float = 0.8) -> bool:
+    """Whether some window of the item's size has a weighted five-word similarity of ``least`` with it; words without outer marks."""
+    plain = lambda t: " ".join(w.strip(".,!?;:").lower() for w in (t or "").split())
+    flat, own = word_runs(plain(text)), word_runs(plain(item))
+    return max((weighted(flat[a : a + len(own)], own) for a in range(len(flat) - len(own) + 1)), default=0) >= least

@@ -141,13 +141,19 @@ def _buckets(rows: Iterator[pa.RecordBatch], fixed: int) -> Iterator[tuple[np.nd
 
 
 def live_prints(rows: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """The fingerprints that share a bucket, from rows (variant, bit) sorted by variant.
+    """The fingerprints that share a bucket, from sorted rows (variant * 64 + bit).
 
     ``bit`` is the one in which the fingerprint differs from the variant, counted from 1; 0 means in none. A
     fingerprint that several texts have sent counts in its own bucket.
     """
     masks = np.array([0, *(1 << k for k in range(bits))], np.int64)
-    for variant, (bit,) in _buckets(rows, 1):
+
+    def parts():
+        for batch in rows:
+            packed = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(packed >> 6), pa.array(packed & 63)], ["variant", "bit"])
+
+    for variant, (bit,) in _buckets(parts(), 1):
         fp = variant ^ masks[bit]
         first = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
         low, high, sizes = np.minimum.reduceat(fp, first), np.maximum.reduceat(fp, first), np.diff(np.append(first, len(fp)))
@@ -174,16 +180,18 @@ def block_links(rows: Iterator[pa.RecordBatch], most: int, nearest: bool) -> Ite
     """Pairs (x, y, apart) of keys of one bucket that have different roots and differ in ``most`` bits or fewer over all tables.
 
     Rows (variant, low, high, key, root, own, fp) are sorted by the first four. A bucket comes in pairs of blocks (low, high); in a
-    pair of two blocks only rows of different blocks (``own``) meet. ``nearest`` gives for each x only the y with the
-    fewest differing bits; else each pair is given once, x < y. One open pair of blocks is carried from batch to batch.
+    pair of two blocks only rows of different blocks (``own``) meet. ``nearest`` gives for each x outside the bucket's
+    largest component only the y with the fewest differing bits; else each pair is given once, x < y. One open pair of blocks is carried from batch to batch.
     """
     held = None
 
     def pairs(named, own, wide, start, stop):
         key, root, own, wide = named[start:stop, 3], named[start:stop, 4], own[start:stop], wide[start:stop]
         cross, out = named[start, 1] != named[start, 2], []
-        for at in range(0, len(key), 256):
-            some = slice(at, at + 256)
+        roots, sizes = np.unique(root, return_counts=True)
+        minor = np.flatnonzero(root != roots[sizes.argmax()])  # every pair of two components has one of these
+        for at in range(0, len(minor), 256):
+            some = minor[at : at + 256]
             fit = root[some, None] != root[None, :]
             if cross:
                 fit &= own[some, None] != own[None, :]
@@ -192,17 +200,18 @@ def block_links(rows: Iterator[pa.RecordBatch], most: int, nearest: bool) -> Ite
             i, j = np.nonzero(fit)
             away = np.zeros(len(i), np.int64)
             for k in range(wide.shape[1]):
-                away += np.bitwise_count(wide[some, k][i] ^ wide[j, k])
+                away += np.bitwise_count(wide[some[i], k] ^ wide[j, k])
             near = away <= most
             i, j, away = i[near], j[near], away[near]
             if nearest:
                 order = np.lexsort((j, away, i))
                 lead = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])] if len(i) else order
                 i, j, away = i[lead], j[lead], away[lead]
-            else:
-                once = key[some][i] < key[j]
-                i, j, away = i[once], j[once], away[once]
-            out.append((key[some][i], key[j], away))
+            x, y = key[some[i]], key[j]
+            if not nearest:  # where both are in ``minor`` the pair comes twice
+                once = (x < y) | (root[j] == roots[sizes.argmax()])
+                x, y, away = x[once], y[once], away[once]
+            out.append((x, y, away))
         return out
 
     def blocks(named, own, wide, ends):
@@ -265,28 +274,31 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 2
     wide, _, _ = stored(members.groupBy("key").agg(F.min("fp").alias("fp")))  # equal keys have equal fingerprints
     table_bits = [F.shiftrightunsigned(F.col("fp")[k // per], bits * (k % per)).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(tables)]
     short = wide.select("key", F.posexplode(F.array(*table_bits)).alias("t", "fp")).select("key", (F.col("t").cast("long") * (1 << 32) + F.col("fp")).alias("fp"))
-    masks = F.posexplode(F.array(*[F.lit(m).cast("long") for m in ball(1, bits)])).alias("bit", "mask")
-    sent = short.select("fp", masks).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), F.col("bit").cast("tinyint").alias("bit"))
-    live = sent.repartition("variant").sortWithinPartitions("variant").mapInArrow(lambda part: live_prints(part, bits), "fp bigint").distinct()
+    bit = F.posexplode(F.array(*[F.lit(m).cast("long") for m in ball(1, bits)])).alias("bit", "mask")
+    sent = short.select("fp", bit).select((F.col("fp").bitwiseXOR(F.col("mask")) * 64 + F.col("bit")).alias("packed"))  # one number a variant, as there are many
+    live = sent.repartition(F.shiftright("packed", 6)).sortWithinPartitions("packed").mapInArrow(lambda part: live_prints(part, bits), "fp bigint").distinct()
     mine, n, _ = stored(short.join(live, "fp", "left_semi").select("fp", "key"))
     roots = wide.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
     if n:
-        texts, _, _ = stored(keyed.join(mine.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))
         wide, _, _ = stored(wide.join(mine.select("key").distinct(), "key", "left_semi"))
         # the share of differing bits is the angle over pi; the cosine of two sets of equal size with similarity s is 2s/(1+s)
         low = max(least - slack, 0.0)
         most = int(np.arccos(2 * low / (1 + low)) / np.pi * 64 * families)
         links = None
-        for step in (_twins(mine), True, False):
-            pairs = step if isinstance(step, DataFrame) else _across(mine, wide, roots, bits, most, step)
-            pairs, n, _ = stored(pairs)
-            if not n:
-                if isinstance(step, DataFrame):
-                    continue
+        for step in ("twins", "nearest", "all"):
+            if step == "nearest":
+                rows, n, _ = stored(_mixed(mine, wide, roots, bits))
+                if not n:
+                    break
+            pairs, n, _ = stored(_twins(mine) if step == "twins" else _across(rows, wide, roots, most, step == "nearest"))
+            if n:
+                used = pairs.select(F.col("x").alias("key")).unionAll(pairs.select(F.col("y").alias("key"))).distinct()
+                texts, _, _ = stored(keyed.join(used, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))
+                good = _verified(pairs, texts, words, least)
+                links, _, _ = stored(good if links is None else links.unionAll(good))
+                roots = components(links)
+            elif step == "nearest":
                 break
-            good = _verified(pairs, texts, words, least)
-            links, _, _ = stored(good if links is None else links.unionAll(good))
-            roots = components(links)
     # a text in no group is its own root; texts without links need no join
     named = members.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
     return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "key", "component_id", "root")
@@ -299,21 +311,30 @@ def _twins(mine: DataFrame) -> DataFrame:
     return before.select(F.explode("before").alias("x"), "y").where("x < y").distinct()
 
 
-def _across(mine: DataFrame, wide: DataFrame, roots: DataFrame, bits: int, most: int, nearest: bool) -> DataFrame:
-    """Pairs (x, y) within ``most`` bits that share a bucket and lie in different components: all, or each text's nearest.
+def _named(wide: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, root and all fingerprints of each text; a text without links is its own root."""
+    return wide.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.col("fp").alias("wide"))
 
-    Only buckets with two components or more are looked at. Those of more than BLOCK texts are cut into blocks, and
-    every pair of blocks is compared by itself; pairs over the bound never leave a task.
-    """
-    named = wide.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.col("fp").alias("wide"))
-    rooted = mine.join(named.select("key", "root"), "key")
-    span = rooted.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+
+def _mixed(mine: DataFrame, wide: DataFrame, roots: DataFrame, bits: int) -> DataFrame:
+    """(variant, key) of the buckets that hold texts of two components or more."""
+    span = mine.join(_named(wide, roots).select("key", "root"), "key").groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     mask = F.explode(F.array(*[F.lit(m).cast("long") for m in ball(1, bits)])).alias("mask")
     sent = span.select("fp", "low", "high", mask).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp", "low", "high")
     mixed = sent.repartition("variant").sortWithinPartitions("variant", "fp").mapInArrow(mixed_buckets, "variant bigint, fp bigint")
-    rows, _, _ = stored(mixed.join(mine, "fp").select("variant", "key"))
-    heavy = rows.groupBy("variant").count().where(F.col("count") > BLOCK).select("variant", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
-    rows = rows.join(heavy, "variant", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).join(named, "key")
+    return mixed.join(mine, "fp").select("variant", "key")
+
+
+def _across(rows: DataFrame, wide: DataFrame, roots: DataFrame, most: int, nearest: bool) -> DataFrame:
+    """Pairs (x, y) within ``most`` bits that share a bucket and lie in different components: all, or nearest ones.
+
+    Only buckets (variant, key) with two components or more are looked at. Those of more than BLOCK texts are cut into blocks, and
+    every pair of blocks is compared by itself; pairs over the bound never leave a task.
+    """
+    named = _named(wide, roots)
+    seen = rows.join(named.select("key", "root"), "key").groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    live = seen.where("low <> high").select("variant", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    rows = rows.join(live, "variant").join(named, "key")
     own = F.pmod(F.xxhash64("key", F.lit(9)), F.col("blocks"))
     halves = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
     rows = rows.select("variant", "key", "root", own.alias("own"), "wide", F.explode(halves).alias("p")).select("variant", "p.low", "p.high", "key", "root", "own", "wide")
