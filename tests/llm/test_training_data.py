@@ -113,6 +113,18 @@ def test_settled_runs_do_not_depend_on_batches(texts, hot):
         assert set(part) >= set(whole)
 
 
+def test_names_of_several_texts():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    packed = sorted(2 * rng.randrange(60) + (rng.random() < 0.2) for _ in range(90))
+    count = Counter(p >> 1 for p in packed)
+    wanted = sorted(k for k, n in count.items() if n > 1 or 2 * k + 1 in packed)
+    for size in (1, 2, 3, 90):
+        parts = [pa.RecordBatch.from_arrays([pa.array(packed[i : i + size], pa.int64())], ["packed"]) for i in range(0, 90, size)]
+        assert [k for b in suffix_dedup.names_of_several(iter(parts)) for k in b.column(0).to_pylist()] == wanted
+
+
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3])
 def test_removed_substrings_of_odd_rows(spark, hot):
     """Repeated rows, equal and null ids, a common header with other ends, runs of one letter."""

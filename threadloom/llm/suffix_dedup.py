@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import batches, cut
+from threadloom.llm.common import batches, cut, stored
 
 GRAM = 16  # bytes of the grams whose least hash stands for a window
 SHARD = 1 << 20  # bytes of context in a shard
 LONGEST = 1_024  # windows in a context
+FILTER = 28  # a filter of names has 2 ** FILTER bits at most, 32 MB
 HOT = 16_384  # different contexts of one name above which its windows are dealt one by one
 SETTLED, CONTEXT, WINDOWS = 0, 1, 2  # what has become of a run: removed, to be looked at, to be looked at window by window
 _A = 0x9E3779B97F4A7C15
@@ -68,6 +69,52 @@ def window_runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
     return keys[starts].view(np.int64), starts, counts, range_hashes(h, starts, counts, length).view(np.int64)
 
 
+def names_of(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The different keys of each batch of texts, twice each, plus one if two texts of the batch have the key."""
+    for batch in batches(rows):
+        own = [np.unique(window_runs(_bytes(t), length)[0]) for t in batch.column(0)]
+        keys, texts = np.unique(np.concatenate([np.empty(0, np.int64), *own]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(2 * keys + (texts > 1))], ["packed"])
+
+
+def names_of_several(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys that occur twice or are marked, from sorted rows of ``names_of``."""
+    last, open_ = -1, False  # the open key, and whether it has been given out
+    for batch in rows:
+        packed = batch.column(0).to_numpy()
+        if not len(packed):
+            continue
+        key = packed >> 1
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        several = (np.diff(np.append(first, len(key))) > 1) | (np.maximum.reduceat(packed & 1, first) == 1)
+        if key[0] == last:
+            several[0], given = not open_, open_
+            open_ = True
+        else:
+            given = False
+        yield pa.RecordBatch.from_arrays([pa.array(key[first[several]])], ["key"])
+        if len(first) > 1 or key[0] != last:
+            open_ = bool(several[-1])
+        last = int(key[-1])
+
+
+def filter_of(keys: DataFrame, count: int) -> np.ndarray:
+    """A bitmap over the low bits of the keys, sixteen bits a key as far as 2 ** FILTER bits allow."""
+    bits = min(max(16 * count, 1 << 16).bit_length(), FILTER)
+    at = F.col("key").bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    found = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in found.toLocalIterator():  # 2 ** FILTER / 8 bytes at most, in pieces of 4 KB
+        part = np.frombuffer(r["bits"], np.uint8)
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = part
+    return out
+
+
+def in_filter(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (8 * len(filter_) - 1)
+    return (filter_[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def repeats_of(same: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
     """Of rows that agree in all of ``same``, those of a document above the least one."""
     order = np.lexsort([doc, *same[::-1]])
@@ -353,9 +400,10 @@ def dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     1. A text that equals that of a smaller document goes whole; the others are dealt by doc_id once, and every
        later step reuses that exchange.
     2. Every window of ``length`` bytes is named by the least hash of its 16-byte grams; neighbouring windows of one
-       name form a run. Equal windows have equal names, so names, hashes and places of the runs are dealt by name, no text. Runs
-       with equal hashes are settled there (those of one batch of texts even before), and a run whose name has no other context has no
-       match and is left out.
+       name form a run. Equal windows have equal names. First the names alone are dealt, and those of two texts or more go into a
+       filter of bounded size; where it says too much, only more runs are dealt. Names, hashes and places of
+       the runs that pass it are dealt by name, no text. Runs with equal hashes are settled there (those of one batch of
+       texts even before), and a run whose name has no other context has no match and is left out.
     3. The bytes under the other runs, their contexts, are cut out of the texts and dealt by name, and each task gathers them into
        shards of bounded size. Each shard gets its suffix array by Larsson-Sadakane refinement and common prefixes by
        Kasai's rule; suffixes with a common prefix of ``length`` form a class, and windows of a document above the
@@ -372,20 +420,26 @@ def dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     ids = docs.agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("doc_id", F.lit(last))).alias("d")).first()
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), text.alias("text"))
     if ids["n"] == ids["d"]:  # the tag is nothing to shuffle
-        keys, base = ["doc"], base.select("doc", F.lit(0).cast("long").alias("tag"), "text", F.lit(1).cast("long").alias("n"))
+        keys, base = ["doc"], base.select("doc", F.lit(0).cast("long").alias("tag"), "text")
     else:  # rows that share a doc_id are told apart by their texts
         keys, base = ["doc", "tag"], base.groupBy("doc", F.xxhash64("text").alias("tag")).agg(F.first("text").alias("text"), F.count("*").alias("n"))
 
-    names = base.select("doc", "tag", "n", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").cast("long").alias("size")).where(F.col("size") >= length)
+    count = F.col("n") if "n" in base.columns else F.lit(1).cast("long")
+    names = base.select("doc", "tag", count.alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").cast("long").alias("size")).where(F.col("size") >= length)
     names = cut(names)
     firsts = names.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("top")).where("first < top")
     copies = cut(names.join(firsts, ["h1", "h2"]).where("doc > first").select("doc", "tag", "size", "n"))
     base = base.join(copies.select(*keys), keys, "left_anti")
 
+    packed = docs.select(text.alias("text")).mapInArrow(lambda rows: names_of(rows, length), "packed bigint")
+    several, found, _ = stored(packed.repartition(F.shiftright("packed", 1)).sortWithinPartitions("packed").mapInArrow(names_of_several, "key bigint"))
+    known = docs.sparkSession.sparkContext.broadcast(filter_of(several, found))
+
     def runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             docs_of, tags = (batch.column(i).to_numpy() for i in range(2))
             found = [window_runs(_bytes(t), length) for t in batch.column(2)]
+            found = [[c[keep] for c in f] for f in found for keep in [in_filter(known.value, f[0])]]
             row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             key, start, count, own = (np.concatenate([f[i] for f in found]) for i in range(4))
             again = repeats_of([key, own], docs_of[row])
@@ -452,7 +506,7 @@ def dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (*[pa.int64()] * 5, pa.string(), pa.binary()))], names)
 
-    own = base.join(spans, keys, "left").select("doc", "n", "text", "spans").mapInArrow(finish, "doc bigint, n bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    own = base.join(spans, keys, "left").select("doc", count.alias("n"), "text", "spans").mapInArrow(finish, "doc bigint, n bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     whole = copies.select("doc", "n", F.col("size").alias("n_bytes"), F.col("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
     every = own.unionByName(whole)
     if len(keys) > 1:
