@@ -419,26 +419,30 @@ def dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ids = docs.agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("doc_id", F.lit(last))).alias("d")).first()
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), text.alias("text"))
-    if ids["n"] == ids["d"]:  # the tag is nothing to shuffle
-        keys, base = ["doc"], base.select("doc", F.lit(0).cast("long").alias("tag"), "text")
+    if ids["n"] == ids["d"]:  # no tag, as a column more on one side would make the exchange of texts another one
+        keys = ["doc"]
     else:  # rows that share a doc_id are told apart by their texts
         keys, base = ["doc", "tag"], base.groupBy("doc", F.xxhash64("text").alias("tag")).agg(F.first("text").alias("text"), F.count("*").alias("n"))
 
     count = F.col("n") if "n" in base.columns else F.lit(1).cast("long")
-    names = base.select("doc", "tag", count.alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").cast("long").alias("size")).where(F.col("size") >= length)
+    names = base.select(*keys, count.alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").cast("long").alias("size")).where(F.col("size") >= length)
     names = cut(names)
     firsts = names.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("top")).where("first < top")
-    copies = cut(names.join(firsts, ["h1", "h2"]).where("doc > first").select("doc", "tag", "size", "n"))
+    copies = cut(names.join(firsts, ["h1", "h2"]).where("doc > first").select(*keys, "size", "n"))
     base = base.join(copies.select(*keys), keys, "left_anti")
 
     packed = docs.select(text.alias("text")).mapInArrow(lambda rows: names_of(rows, length), "packed bigint")
     several, found, _ = stored(packed.repartition(F.shiftright("packed", 1)).sortWithinPartitions("packed").mapInArrow(names_of_several, "key bigint"))
     known = docs.sparkSession.sparkContext.broadcast(filter_of(several, found))
 
+    def tagged(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        doc = batch.column(0).to_numpy()
+        return doc, batch.column(1).to_numpy() if len(keys) > 1 else np.zeros(len(doc), np.int64)
+
     def runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            docs_of, tags = (batch.column(i).to_numpy() for i in range(2))
-            found = [window_runs(_bytes(t), length) for t in batch.column(2)]
+            docs_of, tags = tagged(batch)
+            found = [window_runs(_bytes(t), length) for t in batch.column(len(keys))]
             found = [[c[keep] for c in f] for f in found for keep in [in_filter(known.value, f[0])]]
             row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             key, start, count, own = (np.concatenate([f[i] for f in found]) for i in range(4))
@@ -449,16 +453,16 @@ def dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
             places = [np.concatenate([start[~again], a]).astype(np.int32), np.concatenate([count[~again], b - a - length + 1]).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *places)], ["key", "hash", "doc", "tag", "start", "windows"])
 
-    named = base.select("doc", "tag", "text").mapInArrow(runs, "key bigint, hash bigint, doc bigint, tag bigint, start int, windows int")
+    named = base.select(*keys, "text").mapInArrow(runs, "key bigint, hash bigint, doc bigint, tag bigint, start int, windows int")
     settled = named.repartition("key").sortWithinPartitions("key", "hash", "doc").mapInArrow(lambda rows: settle(rows, hot), "doc bigint, tag bigint, start int, windows int, key bigint, kind tinyint")
     wanted = settled.groupBy(*keys).agg(F.collect_list(F.struct("start", "windows", "key", "kind")).alias("runs"))
 
     def contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            docs_of, tags = (batch.column(i).to_numpy() for i in range(2))
+            docs_of, tags = tagged(batch)
             parts: list[list] = [[], [], [], [], []]  # key, row, start, windows, hash of a window dealt by itself (0: none)
-            texts = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(2)]
-            for row, (data, own) in enumerate(zip(texts, batch.column(3))):
+            texts = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(len(keys))]
+            for row, (data, own) in enumerate(zip(texts, batch.column(len(keys) + 1))):
                 start, count, key, kind = (own.values.field(i).to_numpy() for i in range(4))
                 order = np.argsort(start, kind="stable")
                 start, count, key, kind = start[order].astype(np.int64), count[order].astype(np.int64), key[order], kind[order]
@@ -482,7 +486,7 @@ def dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
                 columns = [key[part], docs_of[row[part]], tags[row[part]], start[part].astype(np.int32), count[part].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(piece, pa.binary())], ["key", "doc", "tag", "start", "windows", "context"])
 
-    spread = base.join(wanted, keys).select("doc", "tag", "text", "runs").mapInArrow(contexts, "key bigint, doc bigint, tag bigint, start int, windows int, context binary")
+    spread = base.join(wanted, keys).select(*keys, "text", "runs").mapInArrow(contexts, "key bigint, doc bigint, tag bigint, start int, windows int, context binary")
     spans = spread.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(lambda rows: mark_shards(rows, length), "doc bigint, tag bigint, start bigint, end bigint")
     spans = spans.groupBy(*keys).agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("spans"))
 
