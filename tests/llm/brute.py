@@ -194,3 +194,36 @@ def holds(text, item, least: float = 0.8) -> bool:
     plain = lambda t: " ".join(w.strip(".,!?;:").lower() for w in (t or "").split())
     flat, own = word_runs(plain(text)), word_runs(plain(item))
     return max((weighted(flat[a : a + len(own)], own) for a in range(len(flat) - len(own) + 1)), default=0) >= least
+
+
+def quality_features(text, buckets: int) -> dict:
+    """Bucket -> value: words, pairs of words, shapes and pairs of shapes, each count over the number of words."""
+    from threadloom.llm.quality import _shape
+
+    h = lambda kind, x: xxhash.xxh32_intdigest(f"{kind} {x}".encode())
+    pair = lambda a, b: (both := (a * 0x9E3779B1 + b * 31 + 7) & 0xFFFFFFFF) ^ both >> 15
+    words, out = (text or "").replace("\n", " ").split(" "), Counter()
+    words = [w for w in words if w]
+    before_word, before_shape, last = h("word", ""), h("shape", "start"), None
+    for w in words:
+        word = h("word", w.lower())
+        shape = h("shape", "again" if word == last else _shape(w))
+        for x in (word, pair(before_word, word), shape, pair(before_shape, shape)):
+            out[x % buckets] += 1 / len(words)
+        before_word, before_shape, last = word, shape, word
+    return dict(out)
+
+
+def ftrl(rows: list, labels: list, passes: int, buckets: int, alpha=1.0, beta=1.0, l1=1e-4, l2=1e-3) -> list:
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - (l1 if z[k] > 0 else -l1)) / ((beta + n[k] ** 0.5) / alpha + l2)
+    for _ in range(passes):
+        for row, y in zip(rows, labels):
+            x = {**row, buckets: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-min(max(sum(w[k] * x[k] for k in x), -35), 35)))
+            for k in x:
+                g = (p - y) * x[k]
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / alpha * w[k]
+                n[k] += g * g
+    return [weight(k) for k in range(buckets + 1)]

@@ -71,6 +71,30 @@ def test_shards_of_equal_rows_and_none(spark):
     assert sharding.shard(spark.createDataFrame([], EMPTY), dims, leaves=4).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[None] * 3000, [7] * 3000, [i % 3 for i in range(3000)]])
+def test_shards_of_null_and_equal_ids(spark, ids):
+    rng = random.Random(1)
+    rows = [(i, "same", "en", "a", 4) for i in ids] + [(10_000 + i, prose(rng, 3), None, None, None) for i in range(100)]
+    dims = {"lang": F.crc32("lang"), "source": F.crc32("source"), "length": F.col("n_chars"), "arrival": F.col("doc_id")}
+    found = sharding.shard(spark.createDataFrame(rows, EMPTY), dims, leaves=4).collect()
+    sizes, slots = Counter(), defaultdict(list)
+    for r in found:
+        sizes[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert len(found) == 3100 and len(sizes) == 4 and max(sizes.values()) - min(sizes.values()) <= 80
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_cuts_are_exact_weighted_medians(spark):
+    """One dimension, two leaves: the cut of the operator is that of a sorted list."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(6, 30)), None, None, rng.randrange(50)) for i in range(500)]
+    placed = {r.doc_id: (r.shard, r["size"]) for r in sharding.shard(spark.createDataFrame(rows, EMPTY), {"length": F.col("n_chars")}, leaves=2).collect()}
+    total, left = sum(n for _, n in placed.values()), sum(n for s, n in placed.values() if s == 0)
+    assert abs(left - total / 2) <= max(n for _, n in placed.values()) / 2
+    assert max(r[4] for r in rows if placed[r[0]][0] == 0) <= min(r[4] for r in rows if placed[r[0]][0] == 1)
+
+
 def removed_by(rows):
     """Rows of suffix_dedup by doc_id."""
     out = defaultdict(list)
@@ -197,6 +221,36 @@ def test_packing(docs, texts):
     assert set(own) == set(texts) and len(bins) <= 1.1 * sum(map(len, ids.values())) / 256 + 1
 
 
+def test_packing_of_odd_rows(spark):
+    rng = random.Random(6)
+    rows = [(None, "a b c"), (None, "a b c"), (1, None), (1, ""), (2, "ab" * 30_000), (3, "中文测试" * 3000)] + [(9, prose(rng, 300))] * 40
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    wanted = sum(len(i) for i in brute.packed_ids([t for _, t in rows], tokenizer))
+    for size in (1, 20_000):  # pieces a bucket
+        found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), 256, rows=size).collect()
+        assert sum(r.length for r in found) == wanted and len({(r.sequence_id, r.offset) for r in found}) == len(found)
+        ends = Counter()
+        for r in found:
+            ends[r.sequence_id] += r.length
+        assert max(ends.values()) <= 256 and len(ends) <= wanted / 256 * 1.1 + 1
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_plan_is_near_the_least_number_of_sequences():
+    """Against best fit document by document, and the bound of the summed lengths."""
+    rng = random.Random(9)
+    for most in (50, 100):
+        lengths = [rng.randint(1, most) for _ in range(400)]
+        used = {first + r // each for length, _, n, first, each, _ in packing.plan(dict(Counter(lengths)), most) for r in range(n)}
+        rooms = []
+        for length in sorted(lengths, reverse=True):
+            fit = [r for r in rooms if r >= length]
+            if fit:
+                rooms.remove(min(fit))
+            rooms.append((min(fit) if fit else most) - length)
+        assert -(-sum(lengths) // most) <= len(used) <= len(rooms)
+
+
 def test_plan_uses_each_rank_once():
     rng = random.Random(3)
     histogram = {rng.randint(1, 100): rng.randint(1, 500) for _ in range(40)}
@@ -265,6 +319,13 @@ def test_archives(spark, tmp_path):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e")).count() == 0
 
 
+def test_records_are_handed_on_in_small_parts(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.example/{i}", f"{i} " * 300) for i in range(120)]
+    monkeypatch.setattr(warc, "GIVEN", 1000)
+    got = {r.page_id: bytes(r.payload) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w")).collect()}
+    assert got == {i: h.encode() for i, _, h in rows}
+
+
 def test_lookup_crosses_blocks(spark, tmp_path, monkeypatch):
     rows = [(i, f"http://h{i % 3}.example/{i % 5}", f"body {i}") for i in range(200)]
     monkeypatch.setattr(warc, "LINES", 7)
@@ -286,6 +347,23 @@ def test_vector_links(spark):
     assert vectors.link(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 8, 16, 64])
+def test_vector_links_in_few_dimensions(spark, dim):
+    rng = np.random.default_rng(dim)
+    v = {i: rng.standard_normal(dim).tolist() for i in range(300)}
+    for i in range(300, 400):  # about the threshold
+        v[i] = (np.array(v[i - 300]) / np.linalg.norm(v[i - 300]) + 0.45 * (y := rng.standard_normal(dim)) / np.linalg.norm(y)).tolist()
+    got = {r.vec_id: r.n_links for r in vectors.link(spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")).collect()}
+    wanted = {k: n for k, (n, _) in brute.cosine_links(v).items()}
+    assert all(got[k] <= wanted[k] for k in v) and sum(got.values()) >= 0.99 * sum(wanted.values()) > 0
+
+
+def test_vectors_with_equal_and_null_ids(spark):
+    rows = [(5, [1.0, 0.0]), (5, [1.0, 0.01]), (None, [1.0, 0.02]), (9, [0.0, 1.0]), (9, None), (None, None)]
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == Counter([(5, 2, 5, True), (5, 2, 5, True), (None, 2, 5, False), (9, 0, 9, True), (9, 0, 9, True), (None, 0, None, False)])
+
+
 def test_secrets(spark):
     rng = random.Random(1)
     own = "".join(rng.choice("ABCdef0123456789") for _ in range(30))
@@ -369,6 +447,22 @@ def test_repeated_lines_do_not_hide_a_copy(spark):
     assert got == {d: d % 10 for d, _ in rows}
 
 
+def test_features_and_training_equal_their_plain_forms():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = ["One two two, THREE!! 4x  five\nsix", "", None, "word", "a a a b"] + [prose(rng, 30) for _ in range(300)]
+    cuts, index, value = quality.compact(pa.array(texts), 1 << 12)
+    for row, text in enumerate(texts):
+        wanted = brute.quality_features(text, 1 << 12)
+        own = slice(cuts[row], cuts[row + 1])
+        assert dict(zip(index[own].tolist(), np.round(value[own], 9).tolist())) == {k: round(v, 9) for k, v in wanted.items()}
+    labels = np.array([float(i % 3 == 0) for i in range(len(texts))])
+    got = quality.ftrl(cuts, index, value, labels, 2, 1 << 12)
+    plain = brute.ftrl([brute.quality_features(t, 1 << 12) for t in texts], labels.tolist(), 2, 1 << 12)
+    assert np.allclose(got, plain, atol=1e-9)
+
+
 def test_quality(spark):
     rng = random.Random(7)
     rows, labels = [], []
@@ -384,6 +478,8 @@ def test_quality(spark):
     assert len(scored) == len(rows) and all(0 <= s <= 1 for s in scored.values())
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum((scored[i] >= 0.5) == (i % 3 > 0) for i in held) / len(held) > 0.97
+    again = {r.doc_id: r.score for r in quality.fit_and_score(docs.repartition(7).unionAll(docs), spark.createDataFrame(labels, "doc_id long, quality int"), ["doc_id"]).collect()}
+    assert set(again) == set(scored)  # repeated rows repeat
     none = quality.fit_and_score(docs, spark.createDataFrame([], "doc_id long, quality int"), ["doc_id"])
     assert {r.score for r in none.collect()} == {0.5}
 
@@ -410,6 +506,20 @@ def test_licenses_without_rows_or_notices(spark):
     assert licenses.scan(spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string"), []).count() == 0
 
 
+def test_joins_spread_over_tasks(spark):
+    rows = spark.createDataFrame([(i % 3, i, "x") for i in range(300)] + [(None, 1, "y")], "k long, v long, salt string")
+    facts = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k long, f string")
+    got = sorted((r.k, r.v, r.salt, r.f) for r in common.spread_join(rows, facts, "k").collect())
+    assert got == sorted((i % 3, i, "x", "ab"[i % 3]) for i in range(300) if i % 3 < 2)
+
+
+@pytest.mark.parametrize("name", ["op1_kd_shards", "op2_suffix_dedup", "op3_best_fit_packing", "op4_decontaminate", "op8_simhash_groups", "op9_quality", "op10_license_scan"])
+def test_queries_without_sql_run_over_whole_tables(spark, data, name):
+    rows = queries.QUERIES[name](spark, data).collect()
+    docs = spark.read.parquet(f"{data}/documents.parquet").count()
+    assert len({r.doc_id for r in rows}) == docs if name not in ("op4_decontaminate", "op10_license_scan") else 0 < len(rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows_as_sql(spark, data, name):
     from oracle import compare, connect

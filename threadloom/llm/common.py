@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadloom.operators.graph import components, cut, shared_dir, stored
 
-__all__ = ["batches", "components", "crc32", "cut", "fresh", "shared_dir", "stored", "table", "word_codes"]
+__all__ = ["batches", "components", "crc32", "cut", "fresh", "shared_dir", "spread_join", "stored", "table", "word_codes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, by: str, salts: int = 1024) -> DataFrame:
+    """``rows`` joined to ``facts``, which has one row for each value of ``by``; a value that many rows have is spread over tasks.
+
+    Rows are salted by a hash of their other columns; a fact goes only to the salts that rows with its value have,
+    so there are never more copies of facts than rows, and no group lands in one task.
+    """
+    (salt,) = fresh(rows, "salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*[c for c in rows.columns if c != by]), F.lit(salts)).cast("int"))
+    used = salted.select(by, salt).distinct().groupBy(by).agg(F.collect_list(salt).alias(salt))
+    return salted.join(facts.join(used, by).withColumn(salt, F.explode(salt)), [by, salt]).drop(salt)
+
+
 def batches(rows: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text at most (one row at least)."""
     for batch in rows:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -26,6 +27,8 @@ MARKS = string.punctuation + "«»‹›“”„‘’‚…–—¿¡·•"  #
 
 SPACES = r"[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"  # white space besides blank and line feed
 
+_items: dict = {}  # the last items a worker has made tables of
+
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text, cut at any white space, without case and outer marks, and offsets by text; bare marks are no words."""
@@ -182,8 +185,13 @@ def mark(docs: DataFrame, items: DataFrame, least: float = 0.8, keep: list[str]
         shared = spark.sparkContext.broadcast([tuple(r) for r in sorted(some, key=lambda r: (r[0] is None, r[0], r[1]))])
         column = f"{part_name}{block}"
 
-        def run(found: Iterator[pa.RecordBatch], shared=shared, column=column) -> Iterator[pa.RecordBatch]:
-            index = Items(shared.value)
+        key = uuid.uuid4().hex
+
+        def run(found: Iterator[pa.RecordBatch], shared=shared, column=column, key=key) -> Iterator[pa.RecordBatch]:
+            if key not in _items:  # once a worker, not once a task
+                _items.clear()
+                _items[key] = Items(shared.value)
+            index = _items[key]
             for batch in found:
                 for part in batches(iter([batch]), text):
                     flat, cuts = word_hashes(part.column(part.schema.get_field_index(text)))

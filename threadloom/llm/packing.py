@@ -21,6 +21,8 @@ from threadloom.llm.common import batches, cut, word_codes
 
 MARKS = ".,!?;:#$%&*"  # marks that end a word and stand alone as a token run
 CACHE = 150_000  # different words after which a worker's memory of ids starts anew, with the last ones as its older half
+BYTES = 16 << 20  # the same for bytes of words and ids
+LONG = 256  # characters of a word that is not remembered
 _state: dict = {}
 
 
@@ -43,6 +45,7 @@ class WordIds:
         self.encode = Tokenizer.from_file(path).encode_batch_fast
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def split(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Stem and trailing marks of each word; a word that cannot be cut safely is all stem."""
@@ -53,8 +56,8 @@ class WordIds:
 
     def ids(self, words: list[str]) -> list[bytes]:
         """Ids of different words as little-endian 32-bit numbers."""
-        if len(self.known) > CACHE:  # words that are met again come back from the older half
-            self.known, self.older = {}, self.known
+        if len(self.known) > CACHE or self.held > BYTES:  # words that are met again come back from the older half
+            self.known, self.older, self.held = {}, self.known, 0
         known = self.known
         found = list(map(known.get, words))
         missing = [i for i, ids in enumerate(found) if ids is None]
@@ -65,7 +68,10 @@ class WordIds:
             made += [array("I", e.ids).tobytes() for e in self.encode(new[at : at + 1024], add_special_tokens=False)]
         fresh = iter(made)
         for i, ids in zip(missing, older):
-            found[i] = known[words[i]] = next(fresh) if ids is None else ids
+            found[i] = next(fresh) if ids is None else ids
+            if len(words[i]) <= LONG:
+                known[words[i]] = found[i]
+                self.held += len(words[i]) + len(found[i])
         return found
 
 
@@ -157,36 +163,26 @@ def plan(histogram: dict[int, int], most: int) -> list[tuple[int, int, int, int,
     return out
 
 
-def pack(docs: DataFrame, most: int = 2048, tokenizer: str | None = None, parts: int = 32) -> DataFrame:
+def pack(docs: DataFrame, most: int = 2048, tokenizer: str | None = None, rows: int = 20_000) -> DataFrame:
     """Every piece of every document with its sequence and its offset there.
 
-    Each piece gets a rank among those of its length: pieces fall into ``parts`` buckets by a hash, the driver
-    gathers the number of pieces by length and bucket (at most most * parts numbers, whatever the input),
-    and ranks inside a bucket come from a window over it. ``plan`` packs the counts; its entries, cut at the
-    buckets, are joined to the pieces on length and bucket, and the rank picks the entry. A hot length
-    is thus spread over ``parts`` tasks. ``parts`` grows with the number of pieces.
-    Repeated rows are packed each for itself; an empty table gives no rows.
+    Each piece gets a rank among those of its length: pieces fall into buckets of about ``rows`` by a hash, so that a
+    hot length is spread over tasks; ranks inside a bucket come from a window over it, and the buckets' first ranks
+    from a running sum of their counts. The driver gathers the number of pieces by length alone, ``most`` numbers
+    whatever the input; ``plan`` packs them into a few entries a length, which are joined to the pieces on length,
+    and the rank picks the entry. The plan is broadcast while it has at most 200,000 entries.
+    Repeated rows are packed each for itself; a null doc_id is kept; an empty table gives no rows.
     """
     made = cut(pieces(docs, most, tokenizer))
-    spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")
-    made = made.withColumn("bucket", bucket)
-    counted = made.groupBy("length", "bucket").count().collect()
-    by_length: dict[int, int] = defaultdict(int)
-    base = {}
-    for r in sorted(counted, key=lambda r: (r["length"], r["bucket"])):
-        base[r["length"], r["bucket"]] = (by_length[r["length"]], r["count"])
-        by_length[r["length"]] += r["count"]
-    entries = defaultdict(list)
-    for e in plan(by_length, most):
-        entries[e[0]].append(e)
-    slots = []
-    for (length, b), (low, count) in base.items():
-        for _, rank, n, first, each, offset in entries[length]:
-            if rank < low + count and low < rank + n:
-                slots.append((length, b, max(rank - low, 0), min(rank + n - low, count), first, each, offset, low - rank))
-    layout = spark.createDataFrame(slots, "length bigint, bucket int, low bigint, high bigint, first bigint, each bigint, base bigint, shift bigint")
+    by_length = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}
+    buckets = max(1, -(-max(by_length.values(), default=1) // rows))
+    made = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    counted = made.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    before = counted.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     ranked = made.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    joined = ranked.join(F.broadcast(layout), ["length", "bucket"]).where("rank >= low and rank < high")  # bounded by the histogram
-    place = F.col("rank") + F.col("shift")
+    placed = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    entries = [(length, low, low + n, first, each, offset) for length, low, n, first, each, offset in plan(by_length, most)]
+    layout = docs.sparkSession.createDataFrame(entries, "length bigint, low bigint, high bigint, first bigint, each bigint, base bigint")
+    joined = placed.join(F.broadcast(layout) if len(entries) <= 200_000 else layout, "length").where("rank >= low and rank < high")
+    place = F.col("rank") - F.col("low")
     return joined.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.floor(place / F.col("each"))).cast("long").alias("sequence_id"), (F.col("base") + place % F.col("each") * F.col("length")).cast("long").alias("offset"))

@@ -26,9 +26,9 @@ def _shape(word: str) -> str:
 
 
 def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, bucket numbers and values of hashed n-grams: words, word shapes, and pairs of neighbouring shapes.
+    """Rows, bucket numbers and values of hashed n-grams: words, pairs of neighbouring words, word shapes, and pairs of neighbouring shapes.
 
-    In the pairs a word equal to the one before it has the shape "again". A value is the n-gram's count over
+    In the pairs of shapes a word equal to the one before it has the shape "again". A value is the n-gram's count over
     the number of words, so a long text weighs as much as a short one; a text without words has no features.
     """
     codes, words, offsets = word_codes(texts)
@@ -51,24 +51,40 @@ def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
     shape_h = np.where(again, h("shape", "again"), shape_h)
     first = np.concatenate([[True], rows[1:] != rows[:-1]])
     before = np.where(first, h("shape", "start"), np.concatenate([[0], shape_h[:-1]]))
-    pair_h = (before * 0x9E3779B1 + shape_h * 31 + 7) & 0xFFFFFFFF
-    pair_h ^= pair_h >> 15
-    index = np.concatenate([word_h, shape_h, pair_h]) % buckets
-    return np.tile(rows, 3), index, np.tile(1.0 / np.maximum(sizes, 1)[rows], 3)
-
-
-def ftrl(rows: np.ndarray, index: np.ndarray, value: np.ndarray, labels: np.ndarray, passes: int, buckets: int = BUCKETS, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> np.ndarray:
-    """Weights after ``passes`` over the rows in the order given, one update a row; the last weight is the bias."""
-    key = rows.astype(np.int64) * buckets + index
-    unique, inverse = np.unique(key, return_inverse=True)
-    summed = np.bincount(inverse, weights=value, minlength=len(unique))
-    r, i = unique // buckets, unique % buckets
-    cuts = np.searchsorted(r, np.arange(len(labels) + 1))
+    word_before = np.where(first, h("word", ""), np.concatenate([[0], word_h[:-1]]))
+    index = np.concatenate([word_h, _paired(word_before, word_h), shape_h, _paired(before, shape_h)]) % buckets
+    return np.tile(rows, 4), index, np.tile(1.0 / np.maximum(sizes, 1)[rows], 4)
+
+
+def _paired(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of two hashes in order."""
+    both = (one * 0x9E3779B1 + two * 31 + 7) & 0xFFFFFFFF
+    return both ^ (both >> 15)
+
+
+def compact(texts: pa.Array, buckets: int = BUCKETS, step: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all texts with repeats summed: where each text's begin, bucket numbers and values; made ``step`` texts at a time."""
+    sizes, index, value = [np.zeros(1, np.int64)], [np.empty(0, np.int32)], [np.empty(0)]
+    for at in range(0, len(texts), step):
+        part = texts.slice(at, step)
+        r, i, v = features(part, buckets)
+        unique, inverse = np.unique(r * buckets + i, return_inverse=True)
+        sizes.append(np.bincount(unique // buckets, minlength=len(part)))
+        index.append((unique % buckets).astype(np.int32))
+        value.append(np.bincount(inverse, weights=v, minlength=len(unique)))
+    return np.cumsum(np.concatenate(sizes)), np.concatenate(index), np.concatenate(value)
+
+
+def ftrl(cuts: np.ndarray, index: np.ndarray, value: np.ndarray, labels: np.ndarray, passes: int, buckets: int = BUCKETS, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> np.ndarray:
+    """Weights after ``passes`` over the rows in the order given, one update a row; the last weight is the bias.
+
+    The features of a row lie between its cut and the next, each bucket once.
+    """
     z, n = np.zeros(buckets + 1), np.zeros(buckets + 1)
     for _ in range(passes):
         for row, y in enumerate(labels):
-            at = np.append(i[cuts[row] : cuts[row + 1]], buckets)
-            x = np.append(summed[cuts[row] : cuts[row + 1]], 1.0)
+            at = np.append(index[cuts[row] : cuts[row + 1]], buckets)
+            x = np.append(value[cuts[row] : cuts[row + 1]], 1.0)
             w = np.where(np.abs(z[at]) <= l1, 0.0, -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - y) * x
@@ -97,11 +113,13 @@ def train(labelled: DataFrame, most: int = 24_000, shards: int = 6, passes: int
 
     def fit(group: pa.Table) -> pa.Table:
         group = group.sort_by("order")
-        w = ftrl(*features(group.column("text").combine_chunks()), group.column("label").to_numpy(), passes)
+        w = ftrl(*compact(group.column("text").combine_chunks()), group.column("label").to_numpy(), passes)
         kept = np.flatnonzero(w)
         return pa.table({"index": kept.astype(np.int32), "w": w[kept]})
 
-    weights = parts.groupBy("shard").applyInArrow(fit, "index int, w double").groupBy("index").agg(F.sum("w").alias("w"))
+    found = parts.groupBy("shard").applyInArrow(fit, "index int, w double")
+    in_order = F.aggregate(F.array_sort(F.collect_list("w")), F.lit(0.0), lambda acc, w: acc + w)  # at most ``shards`` numbers, always summed alike
+    weights = found.groupBy("index").agg(in_order.alias("w"))
     used = min(shards, parts.select("shard").distinct().count())
     out = np.zeros(BUCKETS + 1)
     found = weights.toPandas()  # at most BUCKETS + 1 rows whatever the input
@@ -119,7 +137,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None, n
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in batches(rows, text):
+        for batch in batches(rows, text, 1 << 20):
             r, i, v = features(batch.column(batch.schema.get_field_index(text)))
             total = np.bincount(r, weights=w[i] * v, minlength=batch.num_rows) + w[-1]
             columns = [batch.column(k) for k, c in enumerate(batch.schema.names) if c != text]

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import cut
+from threadloom.llm.common import cut, spread_join
 
 BINS = 1024  # bins a node's histogram has in a refinement round
 FEW = 2_000  # rows a node's open interval may have when they are sorted on the driver
-TIES = ("_group", "_row")  # what orders rows of equal dimension: equal texts side by side, then a hash of the id
+TIES = ("_group", "_row", "_seq")  # what orders rows of equal dimension: equal texts side by side, then a hash of the id, then a number that no two rows share
 NAMES = ("_size", *TIES)
 
 
@@ -27,16 +27,16 @@ def _points(docs: DataFrame, dims: dict[str, Column], size: Column) -> DataFrame
     """One narrow row a row of ``docs``: its size, its group (hash of the text) and the group's point in metadata space.
 
     Rows with equal texts take the point of one of them, the least by its metadata, so copies lie together. The group's
-    point comes from a map-side combined minimum, so that a hot group is only joined, never listed.
+    point comes from a map-side combined minimum, and the join back to a hot group is spread over tasks.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         "doc_id", size.alias("_size"), F.crc32(F.encode(text, "UTF-8")).alias("_crc"), F.xxhash64(text, F.lit(3)).alias("_group"),
         F.xxhash64(F.col("doc_id"), F.lit(5)).alias("_row"), F.struct(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in dims.items()]).alias("_point"),
     )
-    rows = cut(rows)
+    rows = cut(rows.withColumn("_seq", F.monotonically_increasing_id()))  # fixed by being written here
     firsts = rows.groupBy("_group").agg(F.min("_point").alias("_first"))
-    return cut(rows.join(firsts, "_group").select("doc_id", "_size", "_crc", "_group", "_row", *[F.col(f"_first.{n}").alias(n) for n in dims]))
+    return cut(spread_join(rows, firsts, "_group").select("doc_id", "_size", "_crc", *TIES, *[F.col(f"_first.{n}").alias(n) for n in dims]))
 
 
 def _refine(points: DataFrame, todo: dict[int, dict]) -> None:
@@ -80,7 +80,7 @@ def _refine(points: DataFrame, todo: dict[int, dict]) -> None:
                     exact = few_or_one[0]
                 t["fixed"] = [*t["fixed"], exact]
                 if len(t["fixed"]) == len(t["key"]):
-                    t["cut"] = tuple(t["fixed"])  # rows that agree in the whole key, repeated rows, stay together
+                    t["cut"] = tuple(t["fixed"])
                 else:
                     t |= {"low": -(2.0**63), "high": 2.0**63}
         if few:
@@ -110,8 +110,8 @@ def shard(docs: DataFrame, dims: dict[str, Column], leaves: int | None = None, t
     about one row. Equal texts share a point and lie side by side, so a group is only cut where a boundary
     falls inside it. ``slot`` numbers a shard's rows from 0 without gaps.
 
-    Null metadata counts as 0, a null text as size 8, a null doc_id as any other id. Repeated rows that agree in
-    everything go to one shard. An empty table gives no rows.
+    Null metadata counts as 0, a null text as size 8, a null doc_id as any other id. Rows that agree in everything,
+    with null, equal or no ids, are told apart by their place in the input, so that they too are split evenly. An empty table gives no rows.
     """
     weight = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long") + 8 if size is None else size
     points = _points(docs, dims, weight)
@@ -145,9 +145,9 @@ def shard(docs: DataFrame, dims: dict[str, Column], leaves: int | None = None, t
 
     # Slots: ranks inside small blocks of a shard plus the sizes of the blocks before.
     blocks = max(1, -(-(over["n"] or 0) // max(1, leaves) // 20_000))
-    placed = points.withColumn("_block", F.pmod("_row", F.lit(blocks)).cast("int"))
+    placed = points.withColumn("_block", F.pmod(F.xxhash64("_row", "_seq"), F.lit(blocks)).cast("int"))
     counted = placed.groupBy("_node", "_block").count()
     before = counted.select("_node", "_block", (F.sum("count").over(Window.partitionBy("_node").orderBy("_block")) - F.col("count")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_node", "_block").orderBy("_row", "doc_id", "_group")) - 1
+    rank = F.row_number().over(Window.partitionBy("_node", "_block").orderBy("_row", "_seq")) - 1
     ranked = placed.withColumn("_rank", rank).join(before, ["_node", "_block"])
     return ranked.select("doc_id", F.col("_size").alias("size"), F.col("_crc").cast("long").alias("text_crc32"), F.col("_node").alias("shard"), (F.col("_rank") + F.col("_before")).cast("long").alias("slot"))

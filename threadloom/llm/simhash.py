@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import batches, components, cut, fresh, stored
+from threadloom.llm.common import batches, components, cut, fresh, spread_join, stored
 
 SEED = 42
 BLOCK = 1_024  # texts of a bucket that one task compares with each other or with as many others
@@ -111,7 +111,7 @@ def groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     roots = unique.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(prints, named, "fp").select("doc_id", "fp", "component_id")  # a third of all rows may be copies
 
 
 def _buckets(rows: Iterator[pa.RecordBatch], fixed: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -300,8 +300,9 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 2
             elif step == "nearest":
                 break
     # a text in no group is its own root; texts without links need no join
-    named = members.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
-    return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "key", "component_id", "root")
+    facts = members.select("key").distinct().join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    named = spread_join(members.select("doc_id", "key"), facts, "key").select("doc_id", "key", "root")
+    return spread_join(named, named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "key", "component_id", "root")
 
 
 def _twins(mine: DataFrame) -> DataFrame:
@@ -364,7 +365,7 @@ def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame
     each, _, _ = stored(found.groupBy("doc_id", "key", "root").agg(F.count("*").alias("n")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     first = each.groupBy("root").agg(F.min(order).alias("first"))
-    judged = each.join(first, "root").select("doc_id", "key", F.when(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")), F.col("n")).otherwise(F.lit(0)).alias("n"))
+    judged = spread_join(each, first, "root").select("doc_id", "key", F.when(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")), F.col("n")).otherwise(F.lit(0)).alias("n"))
     own, other, key, n = fresh(docs, "own_key", "other_id", "other_key", "n_rows")
     judged = judged.where("n <> 1").select(F.col("doc_id").alias(other), F.col("key").alias(key), F.col("n").alias(n))
     rows = docs.withColumn(own, text_key())

@@ -16,11 +16,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import batches as sized
 from threadloom.llm.common import cut, shared_dir
 
 LEAST = 100  # bytes a payload must have to be revisited
 LINES = 1_000  # captures in a block of the index
 ARCHIVE = 256 << 20  # bytes after which a task opens the next archive
+GIVEN = 8 << 20  # bytes of payloads that a task holds before it hands them on
 
 
 def url_key(url: str | None) -> str:
@@ -96,7 +98,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         fs.create_dir(f"{root}/warc", recursive=True)
         sink = None
         try:
-            for batch in batches:
+            for batch in sized(batches, "payload"):
                 out = []
                 for page, url, payload, digest, refers, kind in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                     if sink is None or at > ARCHIVE:
@@ -198,39 +200,53 @@ def lookup(wanted: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(folder)
         file, rows, handle, block, lines, archives = None, [], None, None, [], {}
-        for batch in batches:
-            out = []
-            for part, key, page, at, length in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if part != file:
-                    file, rows, handle, block = part, [], fs.open_input_file(f"{root}/{part}"), None
-                if at is not None:
-                    rows.append((_order(key, page), at, length))
-                    continue
-                want = _order(key, page)
-                k = max(0, bisect_right([r[0] for r in rows] if block is None else tops, want) - 1)
-                if block is None:
-                    tops = [r[0] for r in rows]
-                if (k, file) != block:
-                    block = (k, file)
-                    lines = [json.loads(x) for x in zlib.decompress(handle.read_at(rows[k][2], rows[k][1])).decode("utf-8", "surrogatepass").split("\n")]
-                    keys = [_order(x[0], x[1]) for x in lines]
-                hit = bisect_right(keys, want) - 1
-                while True:  # captures with the same key and page may reach back over blocks
-                    while hit >= 0 and keys[hit] == want:
-                        _, _, name, place, size = lines[hit]
-                        if name not in archives:
-                            if len(archives) > 64:
-                                archives.clear()
-                            archives[name] = fs.open_input_file(f"{root}/{name}")
-                        out.append(parse(archives[name].read_at(size, place)))
-                        hit -= 1
-                    if hit >= 0 or k == 0:
-                        break
-                    k -= 1
-                    lines = [json.loads(x) for x in zlib.decompress(handle.read_at(rows[k][2], rows[k][1])).decode("utf-8", "surrogatepass").split("\n")]
-                    keys = [_order(x[0], x[1]) for x in lines]
-                    block, hit = (k, file), len(keys) - 1
-            yield pa.RecordBatch.from_pylist([{c: r[n] for c, n in (("page_id", "page_id"), ("payload_bytes", "bytes"), ("payload_digest", "digest"), ("record_type", "type"), ("refers_to", "refers"), ("payload", "payload"))} for r in out], schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]))
+        kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        fields = ("page_id", "bytes", "digest", "type", "refers", "payload")
+        give = lambda out: pa.RecordBatch.from_pylist([dict(zip(kinds.names, (r[n] for n in fields))) for r in out], schema=kinds)
+
+        def load(k):
+            found = [json.loads(x) for x in zlib.decompress(handle.read_at(rows[k][2], rows[k][1])).decode("utf-8", "surrogatepass").split("\n")]
+            return found, [_order(x[0], x[1]) for x in found]
+
+        try:
+            for batch in batches:
+                out, held = [], 0
+                for part, key, page, at, length in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                    if part != file:
+                        if handle:
+                            handle.close()
+                        file, rows, tops, handle, block = part, [], [], fs.open_input_file(f"{root}/{part}"), None
+                    if at is not None:
+                        rows.append((_order(key, page), at, length))
+                        tops.append(rows[-1][0])
+                        continue
+                    want = _order(key, page)
+                    k = max(0, bisect_right(tops, want) - 1)
+                    if block != k:
+                        block, (lines, keys) = k, load(k)
+                    hit = bisect_right(keys, want) - 1
+                    while True:  # captures with the same key and page may reach back over blocks
+                        while hit >= 0 and keys[hit] == want:
+                            _, _, name, place, size = lines[hit]
+                            if name not in archives:
+                                if len(archives) >= 64:
+                                    archives.pop(next(iter(archives))).close()
+                                archives[name] = fs.open_input_file(f"{root}/{name}")
+                            out.append(parse(archives[name].read_at(size, place)))
+                            held += len(out[-1]["payload"]) + 200
+                            if held > GIVEN:
+                                yield give(out)
+                                out, held = [], 0
+                            hit -= 1
+                        if hit >= 0 or k == 0:
+                            break
+                        k -= 1
+                        block, (lines, keys) = k, load(k)
+                        hit = len(keys) - 1
+                yield give(out)
+        finally:
+            for open_file in (*archives.values(), *([handle] if handle else [])):
+                open_file.close()
 
     return dealt.mapInArrow(read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
 
