@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.graph import stored
+
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 # Words that carry no topic.
@@ -34,9 +36,16 @@ def ngrams(unigrams: Column) -> Column:
     return F.concat(unigrams, F.zip_with(leading, following, lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def term_counts(fragments: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    """Count of each term in each fragment; ``by`` names the corpus columns and the fragment's key."""
-    exploded = fragments.select(*by, F.explode(ngrams(words(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
+def term_counts(fragments: DataFrame, by: list[str], text: str = "text", hashed: bool = True) -> DataFrame:
+    """Count of each term in each fragment; ``by`` names the corpus columns and the fragment's key.
+
+    Texts are dealt by ``by`` once, before they are cut into terms, so that counting needs no exchange of terms. ``hashed`` terms are
+    64-bit hashes, which all joins can do with.
+    """
+    term = F.explode(ngrams(words(F.coalesce(F.col(text), F.lit(""))))).alias("term")
+    exploded = fragments.select(*by, text).repartition(*by).select(*by, term)
+    if hashed:
+        exploded = exploded.withColumn("term", F.xxhash64("term"))
     return exploded.groupBy(*by, "term").agg(F.count("*").alias("tf"))
 
 
@@ -53,24 +62,30 @@ def idf(counts: DataFrame, sizes: DataFrame, corpus: list[str], max_df: float =
 
 
 def weigh(counts: DataFrame, idfs: DataFrame, corpus: list[str], fragment: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Weights (tf * idf) of each fragment's terms, and the norm of each fragment."""
+    """Weights (tf * idf) of each fragment's terms, written once for all that read them, and the norm of each fragment."""
     weights = counts.join(idfs.select(*corpus, "term", "idf"), [*corpus, "term"]).select(*fragment, *[c for c in corpus if c not in fragment], "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weights, _, _ = stored(weights)
     norms = weights.groupBy(*fragment).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weights, norms
 
 
+def asked(query_counts: DataFrame, idfs: DataFrame, corpus: list[str]) -> DataFrame:
+    """Weights of each query's terms over its norm (qid, corpus, term, qw), without terms outside the corpus's vocabulary; a table of its own, of known size."""
+    known = query_counts.join(idfs.select(*corpus, "term", "idf"), [*[c for c in corpus if c in query_counts.columns], "term"])
+    known = known.select("qid", *corpus, "term", (F.col("tf") * F.col("idf")).alias("qw"))
+    own = known.groupBy("qid", *corpus).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    return stored(known.join(own, ["qid", *corpus]).select("qid", *corpus, "term", (F.col("qw") / F.col("qnorm")).alias("qw")))[0]
+
+
 def cosine(query_counts: DataFrame, weights: DataFrame, norms: DataFrame, idfs: DataFrame, corpus: list[str], fragment: list[str]) -> DataFrame:
     """T4: cosine of each query (qid) with each fragment that shares a term with it; others are 0 and left out.
 
     Query terms outside the corpus's vocabulary are dropped before the query's norm is taken. Terms meet by
-    an equi-join, so work follows the postings of the query terms.
+    an equi-join, so work follows the postings of the query terms; with few queries their terms go to the weights, which then stay where they are.
     """
-    asked = query_counts.join(idfs.select(*corpus, "term", "idf"), [*[c for c in corpus if c in query_counts.columns], "term"])
-    asked = asked.select("qid", *corpus, "term", (F.col("tf") * F.col("idf")).alias("qw"))
-    own = asked.groupBy("qid", *corpus).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = asked.join(weights, [*corpus, "term"]).groupBy("qid", *corpus, *[c for c in fragment if c not in corpus]).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    scored = dots.join(own, ["qid", *corpus]).join(norms, fragment)
-    return scored.select("qid", *dict.fromkeys([*corpus, *fragment]), (F.col("dot") / (F.col("qnorm") * F.col("norm"))).alias("score"))
+    keys = ["qid", *corpus, *[c for c in fragment if c not in corpus]]
+    dots = weights.join(asked(query_counts, idfs, corpus), [*corpus, "term"]).groupBy(*keys).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    return dots.join(norms, fragment).select("qid", *dict.fromkeys([*corpus, *fragment]), (F.col("dot") / F.col("norm")).alias("score"))
 
 
 def keywords(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as tx
 from threadloom.jobs.tables import table
 from threadloom.operators import ranking
-from threadloom.operators.graph import neighbour_score
+from threadloom.operators.graph import neighbour_score, stored
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 _ASK = ", ".join(f"'{w}'" for w in tx.QUESTION_WORDS)
@@ -28,13 +28,11 @@ _SCORE = "s AS (SELECT item_id, doc_id, round(sum(qw * w) / any_value(qnorm) / a
 _BASE = f"{_DOC_TERMS}, {_SIZE}, {_IDF}, {_W}, {_Q}, {_SCORE}"
 
 
-def _doc_model(spark: SparkSession, sf_dir: str):
+def _doc_model(spark: SparkSession, sf_dir: str, hashed: bool = True):
+    """Counts and inverse document frequencies of the documents' terms, the latter a table that is read several times."""
     docs = table(spark, sf_dir, "documents")
-    counts = tx.term_counts(docs, ["doc_id"])
-    sizes = docs.agg(F.count("*").alias("n"))
-    idfs = tx.idf(counts, sizes, [])
-    weights, norms = tx.weigh(counts, idfs, [], ["doc_id"])
-    return docs, counts, idfs, weights, norms
+    counts = tx.term_counts(docs, ["doc_id"], hashed=hashed)
+    return counts, stored(tx.idf(counts, docs.agg(F.count("*").alias("n")), []))[0]
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +40,9 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, idfs, weights, norms = _doc_model(spark, sf_dir)
-    asked = tx.term_counts(_questions(spark, sf_dir), ["qid"])
-    scored = tx.cosine(asked, weights, norms, idfs, [], ["doc_id"])
+    counts, idfs = _doc_model(spark, sf_dir)
+    weights, norms = tx.weigh(counts, idfs, [], ["doc_id"])
+    scored = tx.cosine(tx.term_counts(_questions(spark, sf_dir), ["qid"]), weights, norms, idfs, [], ["doc_id"])
     return scored.select(F.col("qid").alias("item_id"), "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -56,7 +54,7 @@ def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many terms have which document frequency, and its weight."""
-    idfs = _doc_model(spark, sf_dir)[2]
+    _, idfs = _doc_model(spark, sf_dir, hashed=False)
     return idfs.groupBy("df").agg(F.count("*").alias("n_terms"), F.round(F.max("idf"), 6).alias("idf"), F.min("term").alias("first_term"))
 
 
@@ -71,7 +69,7 @@ def q_idf_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T3."""
-    _, counts, idfs, weights, norms = _doc_model(spark, sf_dir)
+    _, norms = tx.weigh(*_doc_model(spark, sf_dir), [], ["doc_id"])
     return norms.select("doc_id", F.round("norm", 5).alias("norm"))
 
 
@@ -85,16 +83,16 @@ def q_best_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "text")).where(F.trim("text") != "")
     counts = tx.term_counts(lines, ["doc_id", "line"])
-    idfs = tx.idf(counts, lines.agg(F.count("*").alias("n")), [])
+    idfs, _, _ = stored(tx.idf(counts, lines.agg(F.count("*").alias("n")), []))
     weights, norms = tx.weigh(counts, idfs, [], ["doc_id", "line"])
     scored = tx.cosine(tx.term_counts(_questions(spark, sf_dir), ["qid"]), weights, norms, idfs, [], ["doc_id", "line"])
     best = ranking.best_fragment(scored, ["qid", "doc_id"], "line")
     return ranking.top(best, ["qid"], 3, ["doc_id"]).select(F.col("qid").alias("item_id"), F.col("rank").cast("long").alias("rank"), "doc_id", F.col("line").cast("long").alias("line"), "score")
 
 
-def _class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _class_scores(spark: SparkSession, sf_dir: str, scores: DataFrame | None = None) -> DataFrame:
     owner = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
-    return _doc_scores(spark, sf_dir).join(owner, "doc_id").groupBy("item_id", "source").agg(F.max("score").alias("score"))
+    return (_doc_scores(spark, sf_dir) if scores is None else scores).join(owner, "doc_id").groupBy("item_id", "source").agg(F.max("score").alias("score"))
 
 
 def q_class_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,22 +124,23 @@ def q_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     A source is a corpus of its own in the first stage, so its weights are fitted once and shared by all texts
     that pick it. The second stage leaves out what the first has found.
     """
-    picked = ranking.top(_class_scores(spark, sf_dir), ["item_id"], 1, ["source"]).select(F.col("item_id").alias("qid"), "source")
+    scores, _, _ = stored(_doc_scores(spark, sf_dir))
+    picked = ranking.top(_class_scores(spark, sf_dir, scores), ["item_id"], 1, ["source"]).select(F.col("item_id").alias("qid"), "source")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
     counts = tx.term_counts(docs, ["source", "doc_id"])
-    idfs = tx.idf(counts, docs.groupBy("source").agg(F.count("*").alias("n")), ["source"])
+    idfs, _, _ = stored(tx.idf(counts, docs.groupBy("source").agg(F.count("*").alias("n")), ["source"]))
     weights, norms = tx.weigh(counts, idfs, ["source"], ["source", "doc_id"])
     asked = tx.term_counts(_questions(spark, sf_dir), ["qid"]).join(picked, "qid")
     inside = ranking.top(tx.cosine(asked, weights, norms, idfs, ["source"], ["source", "doc_id"]), ["qid"], 5, ["doc_id"])
     inside = inside.select(F.col("qid").alias("item_id"), "doc_id", "score", F.lit(1).cast("long").alias("stage"), F.col("rank").cast("long").alias("rank"))
-    rest = _doc_scores(spark, sf_dir).join(inside, ["item_id", "doc_id"], "left_anti")
+    rest = scores.join(inside, ["item_id", "doc_id"], "left_anti")
     outside = ranking.top(rest, ["item_id"], 5, ["doc_id"]).select("item_id", "doc_id", "score", F.lit(2).cast("long").alias("stage"), F.col("rank").cast("long").alias("rank"))
     return inside.unionByName(outside)
 
 
 def q_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten heaviest terms of each document."""
-    _, _, _, weights, _ = _doc_model(spark, sf_dir)
+    weights, _ = tx.weigh(*_doc_model(spark, sf_dir, hashed=False), [], ["doc_id"])
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("w", 6)), "term"))
     kept = weights.withColumn("rank", rank).where("rank <= 10")
     return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), "|").alias("tags"))
