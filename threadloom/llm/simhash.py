@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from threadloom.llm.common import batches, components, cut, fresh, spread_join, stored
 
 SEED = 42
+SORTED = 1 << 20  # variants that a task sorts, on average
 BLOCK = 1_024  # texts of a bucket that one task compares with each other or with as many others
 # Odd multipliers that derive further hashes from a shingle's first one (golden-ratio multiples).
 MIX = [(0x9E3779B97F4A7C15 * k | 1) & 0xFFFFFFFFFFFFFFFF for k in range(1, 17)]
@@ -270,13 +271,14 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 2
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", text_key())
     per = 64 // bits
     families = (tables + per - 1) // per
-    members, rows, _ = stored(fingerprints(keyed, words, families, ("doc_id", "key"), repeats=False))
-    wide, _, _ = stored(members.groupBy("key").agg(F.min("fp").alias("fp")))  # equal keys have equal fingerprints
+    members, _, _ = stored(fingerprints(keyed, words, families, ("doc_id", "key"), repeats=False))
+    wide, different, _ = stored(members.groupBy("key").agg(F.min("fp").alias("fp")))  # equal keys have equal fingerprints
     table_bits = [F.shiftrightunsigned(F.col("fp")[k // per], bits * (k % per)).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(tables)]
     short = wide.select("key", F.posexplode(F.array(*table_bits)).alias("t", "fp")).select("key", (F.col("t").cast("long") * (1 << 32) + F.col("fp")).alias("fp"))
     bit = F.posexplode(F.array(*[F.lit(m).cast("long") for m in ball(1, bits)])).alias("bit", "mask")
     sent = short.select("fp", bit).select((F.col("fp").bitwiseXOR(F.col("mask")) * 64 + F.col("bit")).alias("packed"))  # one number a variant, as there are many
-    live = sent.repartition(F.shiftright("packed", 6)).sortWithinPartitions("packed").mapInArrow(lambda part: live_prints(part, bits), "fp bigint").distinct()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-different * tables * (bits + 1) // SORTED))
+    live = sent.repartition(parts, F.shiftright("packed", 6)).sortWithinPartitions("packed").mapInArrow(lambda part: live_prints(part, bits), "fp bigint").distinct()
     mine, n, _ = stored(short.join(live, "fp", "left_semi").select("fp", "key"))
     roots = wide.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
     if n:
