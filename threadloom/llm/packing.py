@@ -58,20 +58,25 @@ class WordIds:
         """Ids of different words as little-endian 32-bit numbers."""
         if len(self.known) > CACHE or self.held > BYTES:  # words that are met again come back from the older half
             self.known, self.older, self.held = {}, self.known, 0
-        known = self.known
-        found = list(map(known.get, words))
+        found = list(map(self.known.get, words))
         missing = [i for i, ids in enumerate(found) if ids is None]
-        older = list(map(self.older.get, [words[i] for i in missing]))
-        new = [words[i] for i, ids in zip(missing, older) if ids is None]
-        made = []
-        for at in range(0, len(new), 1024):
-            made += [array("I", e.ids).tobytes() for e in self.encode(new[at : at + 1024], add_special_tokens=False)]
-        fresh = iter(made)
-        for i, ids in zip(missing, older):
-            found[i] = next(fresh) if ids is None else ids
-            if len(words[i]) <= LONG:
-                known[words[i]] = found[i]
-                self.held += len(words[i]) + len(found[i])
+        if not missing:
+            return found
+        sought = [words[i] for i in missing]
+        if self.older:
+            again = {w: ids for w in sought if (ids := self.older.get(w)) is not None}
+            new = [w for w in sought if w not in again]
+        else:
+            again, new = {}, sought
+        made = [array("I", e.ids).tobytes() for at in range(0, len(new), 1024) for e in self.encode(new[at : at + 1024], add_special_tokens=False)]
+        again.update(zip(new, made))
+        for i, ids in zip(missing, map(again.get, sought)):
+            found[i] = ids
+        long = [w for w in new if len(w) > LONG]
+        for w in long:
+            del again[w]
+        self.known.update(again)
+        self.held += sum(map(len, again)) + sum(map(len, again.values()))
         return found
 
 
@@ -101,7 +106,7 @@ def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> D
         path = tokenizer or default_tokenizer()
         if path not in _state:
             _state[path] = WordIds(path)
-        for batch in batches(rows, most=1 << 20):
+        for batch in batches(rows, most=2 << 20):
             ids, sizes = token_ids(batch.column(1), _state[path])
             ids = ids.astype("<u4")
             count = -(-sizes // most)
