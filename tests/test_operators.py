@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from threadloom.functions import json_repair, model
 from threadloom.functions import text as tx
 from threadloom.functions import vectors as vx
+from threadloom.operators import build as bd
 from threadloom.operators import cover, ingest, ranking
 from threadloom.operators import edges as ed
 from threadloom.operators import evaluation as ev
+from threadloom.operators import expand as ex
 from threadloom.operators import graph as gr
 from threadloom.sources import conversations as src
 from threadloom.sources import store
@@ -154,8 +156,44 @@ def test_model_calls_keep_rows(spark):
 
     rows = spark.createDataFrame([(i, f"p{i}") for i in range(50)], "i int, p string")
     assert {r.status for r in model.ask(rows, "p", Down).collect()} == {"empty"}
-    states = [r.status for r in model.ask(rows, "p", model.Stub).collect()]
-    assert len(states) == 50 and set(states) == {"ok", "empty", "bad_json"}
+    replies = spark.createDataFrame([(0, '{"a": 1}'), (1, '{"a": '), (2, ""), (3, None)], "i int, p string")
+    assert [r.status for r in sorted(model.ask(replies, "p", model.Recorded).collect())] == ["ok", "bad_json", "empty", "empty"]
+
+
+def messages(spark, texts, size=2):
+    """Messages (dialog, step, label, message, context) of one session a dialog."""
+    rows = [(d, i // size, i + 1, t, "") for d, own in texts.items() for i, t in enumerate(own)]
+    return spark.createDataFrame(rows, "dialog long, step long, label long, message string, context string")
+
+
+def test_a_build_goes_on_where_it_stopped(spark, tmp_path):
+    m = messages(spark, {1: ["red apples grow", "on old trees", "red apples grow fast", "blue whales swim", "blue whales swim far", "old trees"], 2: ["alone"]})
+    whole = sorted(map(str, bd.build(m, 0.3, 3, str(tmp_path / "a")).collect()))
+    assert bd.build(m, 0.3, 3, str(tmp_path / "b"), upto=2).select("step").distinct().count() == 2 and bd.done_steps(spark, str(tmp_path / "b")) == 2
+    assert sorted(map(str, bd.build(m, 0.3, 3, str(tmp_path / "b")).collect())) == whole and len(whole) >= 4
+    assert bd.build(m.limit(0)).count() == 0
+
+
+def test_sweep_falls_back_to_the_first_class(spark):
+    state = spark.createDataFrame([(1, 1, 1, "Unclassified", [1], "red apples", 0), (1, 2, 1, "Unclassified", [2], "blue whales", 0), (1, 2, 2, "Unclassified", [3], "whales sing", 1)], bd.STATE)
+    m = spark.createDataFrame([(1, 4, "the blue whales went by here again and again"), (1, 5, "nothing at all in common with those others"), (1, 6, "blue whales"), (2, 1, "a dialog without any class at all, long enough")], "dialog long, label long, message string")
+    got = {r["labels"][0]: (r.class_no, r.instance_no) for r in bd.sweep(m, state).collect()}
+    assert got == {4: (2, 3), 5: (1, 2)}
+
+
+def test_ranked_expansion_follows_what_scores(spark):
+    near = spark.createDataFrame([(a, b) for x, y in [(1, 2), (1, 3), (2, 4), (3, 5), (4, 6)] for a, b in ((x, y), (y, x))], "node long, near long")
+    scores = spark.createDataFrame([(2, 0.0), (3, 0.5), (4, 0.0), (5, 0.5), (6, 0.9)], "node long, score double")
+    run = lambda hops, most: [(r.node, r.hop) for r in sorted(ex.ranked(spark.createDataFrame([(7, 1)], "qid long, node long"), near, lambda r: r.join(scores, "node"), hops, most).collect(), key=lambda r: r["rank"])]
+    assert run(1, 9) == [(3, 1), (2, 1)]
+    assert run(3, 9) == [(3, 1), (5, 2), (2, 1), (4, 2)]  # node 4 scores nothing, so 6 is not reached
+    assert run(3, 2) == [(5, 2), (3, 1)]  # where not all fit, a later step counts a little more
+
+
+def test_acyclic(spark):
+    edges = lambda *e: spark.createDataFrame(list(e), "src long, dst long")
+    assert gr.acyclic(edges((1, 2), (2, 3), (1, 3), (9, 3))) and gr.acyclic(edges((1, 2)).limit(0))
+    assert not gr.acyclic(edges((0, 1), (1, 2), (2, 1), (2, 5))) and not gr.acyclic(edges((4, 4)))
 
 
 def test_conversation_file(spark, tmp_path):

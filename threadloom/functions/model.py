@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -16,19 +16,15 @@ class Client(Protocol):
     def complete(self, prompt: str) -> str: ...
 
 
-class Stub:
-    """Answers by the prompt's hash: mostly JSON, now and then nothing or broken JSON, always the same."""
+class Recorded:
+    """A client without a network: its prompts are replies that were recorded before, and it gives them back."""
 
     def complete(self, prompt: str) -> str:
-        n = int(hashlib.sha256(prompt.encode()).hexdigest()[:8], 16)
-        if n % 10 == 8:
-            return ""
-        body = json.dumps({"label": "CORRECT" if n % 2 else "WRONG", "n": n % 100})
-        return body[:-1] + ",}" if n % 10 == 9 else body
+        return prompt
 
 
-def ask(rows: DataFrame, prompt: str, make_client: Callable[[], Client], tries: int = 2) -> DataFrame:
-    """``rows`` with answer and status (ok, empty, bad_json), one client a task, ``tries`` calls a row.
+def ask(rows: DataFrame, prompt: str, make_client: Callable[[], Client], tries: int = 2, wait: float = 0.0) -> DataFrame:
+    """``rows`` with answer and status (ok, empty, bad_json), one client a task, ``tries`` calls a row, n times ``wait`` seconds after the n-th.
 
     Rows come in Arrow batches; a call that raises counts as empty after the last try, and no row is lost.
     """
@@ -39,7 +35,9 @@ def ask(rows: DataFrame, prompt: str, make_client: Callable[[], Client], tries:
             answers, states = [], []
             for text in batch[prompt]:
                 answer, state = "", "empty"
-                for _ in range(tries):
+                for n in range(tries):
+                    if n and wait:
+                        time.sleep(n * wait)
                     try:
                         answer = client.complete(text or "")
                     except Exception:

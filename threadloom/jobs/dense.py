@@ -143,7 +143,7 @@ def q_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_ranked_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of each class's vectors by the weight of their best link, 48 at most."""
+    """Neighbours of each class's vectors by the weight of their best link, 48 at most, one step away."""
     p, label = _pairs(spark, sf_dir), _vectors(spark, sf_dir).select("vec_id", "label")
     arcs = p.select(F.col("u").alias("vec_id"), F.col("v").alias("near"), "weight").unionAll(p.select("v", "u", "weight"))
     seeds = arcs.join(label, "vec_id").select("label", "near", "weight")

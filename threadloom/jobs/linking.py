@@ -92,10 +92,11 @@ def q_cross_class_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_edge_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Star edges of the records against those of cliques whose hub comes first; both differences."""
-    star = _star(spark, sf_dir).select("src", "dst").distinct()
+    """Star edges of the records against an export that lacks labels divisible by seven and has those of one more record; both differences."""
     h = _hyper(spark, sf_dir)
-    export = h.select(F.array_min("members").alias("src"), F.explode("members").alias("dst")).where("src <> dst").distinct()
+    star = ed.star(h, ["label"]).select("src", "dst").distinct()
+    more = h.where("label = 1").select(F.element_at("members", -1).alias("src"), F.lit("class:export").alias("dst"))
+    export = ed.star(h.where("label % 7 <> 0"), ["label"]).select("src", "dst").distinct().unionAll(more)
     a, b = ed.differences(star, export, ["src", "dst"])
     return a.agg(F.count("*").alias("only_records")).crossJoin(b.agg(F.count("*").alias("only_export"))).withColumn("consistent", F.col("only_records") + F.col("only_export") == 0)  # a row each
 
@@ -125,13 +126,11 @@ def q_instance_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_serialize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instances of each class as one text with numbered heads and defaults for what is missing."""
-
-
+    """Instances of each class as texts with numbered heads and defaults for what is missing, a hundred instances a text, so that no class is gathered whole."""
     p = _parts(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
     block = F.concat(F.lit("\n--- instance "), F.col("i").cast("string"), F.lit(": "), F.coalesce("p_name", F.lit("none")), F.lit(" ---\nDescription: "), F.coalesce("p_type", F.lit("no description")), F.lit(";Value: "), F.coalesce(F.col("p_size").cast("string"), F.lit("no value")))
-    whole = p.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("i", block.alias("t")))).alias("all"))
-    return whole.select("p_brand", F.sha2(F.array_join(F.transform("all", lambda x: x["t"]), ""), 256).alias("text_sha256"))
+    whole = p.groupBy("p_brand", F.floor((F.col("i") - 1) / 100).cast("long").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("i", block.alias("t")))).alias("all"))
+    return whole.select("p_brand", "chunk", F.sha2(F.array_join(F.transform("all", lambda x: x["t"]), ""), 256).alias("text_sha256"))
 
 
 def q_serialize_kw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,12 +150,12 @@ def q_instance_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_new_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users that the second half of the events has and the first has not."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    """Pairs of user and day of event time that the second half of the events has and the first has not."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     half = e.agg((F.max("event_id") / 2).cast("long").alias("half"))
     tagged = e.crossJoin(F.broadcast(half))  # one row
-    before, after = tagged.where("event_id <= half").select("user_id").distinct(), tagged.where("event_id > half")
-    return after.join(before, "user_id", "left_anti").groupBy("user_id").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n_events"))
+    before, after = tagged.where("event_id <= half").select("user_id", "day").distinct(), tagged.where("event_id > half")
+    return after.join(before, ["user_id", "day"], "left_anti").groupBy("user_id", "day").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n_events"))
 
 
 def q_snapshot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,18 +219,19 @@ SQL = {
     "q_adjacency": f"WITH {_H}, a AS (SELECT DISTINCT x AS node, y AS near FROM (SELECT x, unnest(members) AS y FROM (SELECT members, unnest(members) AS x FROM h)) WHERE x <> y) SELECT node, count(*) AS n_near, min(near) AS first_near FROM a GROUP BY 1",
     "q_cross_class_sweep": """WITH b AS (SELECT DISTINCT l_orderkey AS label, p_brand AS c, l_partkey AS i FROM lineitem JOIN part ON l_partkey = p_partkey),
       p AS (SELECT a.i AS u, b.i AS v, count(*) AS shared, list(a.label ORDER BY a.label) AS l FROM b a JOIN b USING (label) WHERE a.i < b.i AND a.c <> b.c GROUP BY ALL HAVING count(*) >= 2) SELECT u, v, shared, array_to_string(l[1:3], ',') AS label FROM p""",
-    "q_edge_consistency": f"""WITH {_S}, a AS (SELECT DISTINCT src, dst FROM s), e AS (SELECT DISTINCT list_min(members) AS src, dst FROM (SELECT members, unnest(members) AS dst FROM h) WHERE dst <> list_min(members))
-      SELECT (SELECT count(*) FROM (FROM a EXCEPT FROM e)) AS only_records, (SELECT count(*) FROM (FROM e EXCEPT FROM a)) AS only_export, (SELECT count(*) FROM (FROM a EXCEPT FROM e)) + (SELECT count(*) FROM (FROM e EXCEPT FROM a)) = 0 AS consistent""",
+    "q_edge_consistency": f"""WITH {_S}, a AS (SELECT DISTINCT src, dst FROM s), e AS (SELECT DISTINCT src, dst FROM s WHERE label % 7 <> 0 UNION ALL SELECT list_max(members), 'class:export' FROM h WHERE label = 1)
+      SELECT *, only_records + only_export = 0 AS consistent FROM (SELECT (SELECT count(*) FROM (FROM a EXCEPT FROM e)) AS only_records, (SELECT count(*) FROM (FROM e EXCEPT FROM a)) AS only_export)""",
     "q_class_summary": "SELECT p_brand, string_agg(DISTINCT ('size ' || p_size), '|' ORDER BY ('size ' || p_size)) AS containers, count(*) AS n_instances FROM part GROUP BY 1",
     "q_class_fragments": """WITH f AS (SELECT DISTINCT p_brand, 'name' AS kind, 0 AS place, p_brand AS text FROM part UNION SELECT p_brand, 'attribute', 1, p_type FROM part UNION SELECT p_brand, 'operation', 2, ('size ' || p_size) FROM part)
       SELECT p_brand, kind, text, row_number() OVER (PARTITION BY p_brand ORDER BY place, text) AS frag_ord FROM f WHERE trim(text) <> ''""",
     "q_instance_fragments": """SELECT p_partkey, 0::BIGINT AS frag_ord, p_name AS text FROM part UNION ALL SELECT p_partkey, 1, 'size ' || p_size FROM part UNION ALL SELECT p_partkey, 2, 'type ' || p_type || ' ' || ('size ' || p_size) FROM part""",
     "q_serialize": r"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part)
-      SELECT p_brand, sha256(string_agg(E'\n--- instance ' || i || ': ' || p_name || E' ---\nDescription: ' || p_type || ';Value: ' || p_size, '' ORDER BY i)) AS text_sha256 FROM n GROUP BY 1""",
+      SELECT p_brand, (i - 1) // 100 AS chunk, sha256(string_agg(E'\n--- instance ' || i || ': ' || p_name || E' ---\nDescription: ' || p_type || ';Value: ' || p_size, '' ORDER BY i)) AS text_sha256 FROM n GROUP BY 1, 2""",
     "q_serialize_kw": "SELECT p_partkey, p_name || ' ' || p_type || '; ' || p_size || '; ' || ('size ' || p_size) AS text FROM part",
     "q_instance_ids": """WITH k AS (SELECT p_brand, count(*) AS have FROM part WHERE p_partkey <= 100 GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_partkey > 100)
       SELECT p_partkey, 'instance_' || (coalesce(have, 0) + n) AS instance_id FROM n LEFT JOIN k USING (p_brand)""",
-    "q_new_instances": "WITH h AS (SELECT max(event_id) // 2 AS half FROM events) SELECT user_id, min(event_id) AS first_event, count(*) AS n_events FROM events, h WHERE event_id > half AND user_id NOT IN (SELECT user_id FROM events, h WHERE event_id <= half) GROUP BY 1",
+    "q_new_instances": """WITH h AS (SELECT max(event_id) // 2 AS half FROM events), e AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day FROM events)
+      SELECT user_id, day, min(event_id) AS first_event, count(*) AS n_events FROM e, h WHERE event_id > half AND NOT EXISTS (SELECT 1 FROM e o, h WHERE o.user_id = e.user_id AND o.day = e.day AND o.event_id <= half) GROUP BY ALL""",
     "q_snapshot_stats": """SELECT p_brand, '{"n_instances":' || count(*) || ',"first":' || min(p_partkey) || ',"last":' || max(p_partkey) || '}' AS record FROM part GROUP BY 1""",
     "q_entity_graph": f"""WITH {_S}, d AS (SELECT DISTINCT src, dst FROM s) SELECT src, '{{"belief":"unknown","edges_p":["' || string_agg(dst, '","' ORDER BY dst) || '"]}}' AS entity FROM d GROUP BY src""",
     "q_merge_ids": """WITH a AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS n FROM lineitem GROUP BY ALL) SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY n, l_partkey) AS ids FROM a GROUP BY 1""",

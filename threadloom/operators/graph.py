@@ -79,13 +79,18 @@ def expand(seeds: DataFrame, near: DataFrame, hops: int) -> DataFrame:
 
 
 def acyclic(edges: DataFrame) -> bool:
-    """Whether the directed edges (src, dst) have no cycle: peel nodes without incoming edges until none is left."""
-    e = cut(edges.select("src", "dst").distinct())
-    while not e.isEmpty():
-        left = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
-        if left.count() == e.count():
-            return False
-        e = left
+    """Whether the directed edges (src, dst) have no cycle.
+
+    A cycle's nodes have edges in and out, so edges from nodes without a way in and into nodes without a way out are
+    peeled, from both ends at once and in one job a round, until none is left or none can go.
+    """
+    e, rows, _ = stored(edges.select("src", "dst").distinct())
+    while rows:
+        inner = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        kept, left, _ = stored(inner.select("src", "dst"))
+        if left == rows:
+            return False  # every node left has a way in and a way out
+        e, rows = kept, left
     return True
 
 
@@ -122,7 +127,7 @@ def neighbour_score(instance_hits: Column, edge_hits: Column, n_keywords: Column
 
 
 
-def creates_cycle(edges: DataFrame, candidates: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def creates_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates (src, dst) with whether adding each alone would close a cycle in acyclic ``edges``.
 
     A self-loop does, an edge that is there already does not; others do if the source can be reached from the
@@ -130,14 +135,12 @@ def creates_cycle(edges: DataFrame, candidates: DataFrame, most_rounds: int = 10
     """
     asked = candidates.select("src", "dst").distinct()
     near = edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
-    frontier = cut(asked.where("src <> dst").select("src", "dst", F.col("dst").alias("at")))
+    frontier, left, _ = stored(asked.where("src <> dst").select("src", "dst", F.col("dst").alias("at")))
     seen = frontier
-    for _ in range(most_rounds):
-        if frontier.isEmpty():
-            break
+    while left:  # nothing is reached twice, so this ends
         step = frontier.where("src <> at").join(near, "at").select("src", "dst", F.col("next").alias("at")).distinct()
-        frontier = cut(step.join(seen, ["src", "dst", "at"], "left_anti"))
-        seen = cut(seen.unionAll(frontier))
+        frontier, left, _ = stored(step.join(seen, ["src", "dst", "at"], "left_anti"))
+        seen, _, _ = stored(seen.unionAll(frontier))
     hit = seen.where("src = at").select("src", "dst", F.lit(True).alias("hit")).distinct()
     known = edges.select("src", "dst", F.lit(True).alias("known")).distinct()
     out = asked.join(hit, ["src", "dst"], "left").join(known, ["src", "dst"], "left")
