@@ -98,3 +98,8 @@ def keyword_hits(keys: Column, text: Column) -> Column:
     """How many of the keywords occur in the text, lower-cased and without possessive endings."""
     plain = F.regexp_replace(F.lower(text), "['\u2019]s\\b", "")
     return F.size(F.filter(keys, lambda k: F.instr(plain, k) > 0)).cast("long")
+
+
+def keyword_forms(keys: Column) -> Column:
+    """Keywords with blanks for underscores, trimmed, without repeats and empty ones, in order."""
+    return F.array_distinct(F.filter(F.transform(keys, lambda k: F.trim(F.replace(k, F.lit("_"), F.lit(" ")))), lambda k: k != ""))

@@ -72,3 +72,20 @@ def adjacency(hyper: DataFrame, members: str = "members") -> DataFrame:
 def differences(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows of one edge set that the other lacks, both ways."""
     return left.join(right, on, "left_anti").select(*on), right.join(left, on, "left_anti").select(*on)
+
+
+def has_label(labels: Column, label: Column) -> Column:
+    """whether a list of labels holds one, both compared as trimmed text."""
+    return F.array_contains(F.transform(labels, lambda x: F.trim(x.cast("string"))), F.trim(label.cast("string")))
+
+
+def p_record(label: Column, content: Column, members: Column) -> Column:
+    """A record of leg P: its members in order, and the first one's pairs with each other."""
+    hub = F.transform(F.slice(members, 2, F.greatest(F.size(members) - 1, F.lit(0))), lambda d: F.struct(members[0].alias("src"), d.alias("dst")))
+    return F.struct(F.lit("P").alias("edge_leg"), label.alias("label"), content.alias("content"), members.alias("connections"), hub.alias("pairs"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("string").alias("provenance"))
+
+
+def a_record(label: Column, members: Column, weight: Column, provenance: Column) -> Column:
+    """A record of leg A: two members without direction, their weight and where it comes from."""
+    none = F.array().cast("array<struct<src:string,dst:string>>")
+    return F.struct(F.lit("A").alias("edge_leg"), label.alias("label"), F.lit("").alias("content"), F.array_sort(members).alias("connections"), none.alias("pairs"), weight.alias("weight"), provenance.alias("provenance"))

@@ -36,3 +36,9 @@ def token_f1(gold: Column, said: Column) -> Column:
     a, b = (F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) for c in (gold, said))
     both = F.size(F.array_intersect(a, b))
     return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
+
+
+def latex_row(*cells: Column) -> Column:
+    """Cells as a row of a LaTeX table, with its special marks escaped."""
+    plain = [F.regexp_replace(F.coalesce(c, F.lit("--")), r"([&%$#_{}])", r"\\$1") for c in cells]
+    return F.concat(F.concat_ws(" & ", *plain), F.lit(r" \\"))

@@ -56,6 +56,12 @@ def head(messages: DataFrame, most: int, by: str = "dialog", order: str = "label
     return messages.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_rank") <= most).drop("_rank")
 
 
+def first_sessions(messages: DataFrame, most: int, by: str = "dialog") -> DataFrame:
+    """Messages of the first ``most`` sessions of each dialog."""
+    rank = F.dense_rank().over(Window.partitionBy(by).orderBy("session"))
+    return messages.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
 def tail(messages: DataFrame, most: int, by: list[str], order: str = "label") -> DataFrame:
     """The last ``most`` messages of each group."""
     return messages.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).where(F.col("_rank") <= most).drop("_rank")

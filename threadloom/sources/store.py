@@ -46,3 +46,17 @@ def fingerprint(rows: DataFrame) -> str:
     """Order-free fingerprint of a table: a hash of the number of rows and the sum of their hashes."""
     one = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("s"))
     return one.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.coalesce(F.col("s").cast("string"), F.lit("0"))), 256)).first()[0]
+
+
+def remove(spark: SparkSession, folder: str) -> bool:
+    """Delete a saved state; whether there was one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def merged_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The JSON lines of all finished parts (folders with a success mark) below ``folder``."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    parts = sorted(str(f.getPath().getParent()) for f in found)
+    return spark.read.schema(schema).json(parts) if parts else spark.createDataFrame([], schema)
