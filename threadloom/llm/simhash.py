@@ -141,11 +141,11 @@ def _buckets(rows: Iterator[pa.RecordBatch], fixed: int) -> Iterator[tuple[np.nd
         yield held[0], held[1:]
 
 
-def live_prints(rows: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """The fingerprints that share a bucket, from sorted rows (variant * 64 + bit).
+def live_buckets(rows: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(variant, fp) of the buckets in which texts meet, from sorted rows (variant * 64 + bit).
 
-    ``bit`` is the one in which the fingerprint differs from the variant, counted from 1; 0 means in none. A
-    fingerprint that several texts have sent counts in its own bucket.
+    ``bit`` is the one in which the fingerprint differs from the variant, counted from 1; 0 means in none. Several texts with
+    one fingerprint meet in its own bucket only.
     """
     masks = np.array([0, *(1 << k for k in range(bits))], np.int64)
 
@@ -158,23 +158,51 @@ def live_prints(rows: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         fp = variant ^ masks[bit]
         first = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
         low, high, sizes = np.minimum.reduceat(fp, first), np.maximum.reduceat(fp, first), np.diff(np.append(first, len(fp)))
-        live = (low != high) | ((sizes > 1) & (low == variant[first]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(fp[np.repeat(live, sizes)]))], ["fp"])
+        live = np.repeat((low != high) | ((sizes > 1) & (low == variant[first])), sizes)
+        variant, fp = variant[live], fp[live]
+        order = np.lexsort((fp, variant))
+        variant, fp = variant[order], fp[order]
+        once = np.concatenate([[True], (variant[1:] != variant[:-1]) | (fp[1:] != fp[:-1])])[: len(fp)]
+        yield pa.RecordBatch.from_arrays([pa.array(variant[once]), pa.array(fp[once])], ["variant", "fp"])
+
+
+def with_roots(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets with the roots of their fingerprints, from rows sorted by fp: first one with variant -1 and the roots, then one a bucket."""
+    last = None
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if last is None else [last, batch])
+        variant = table.column(1).to_numpy()
+        head = np.flatnonzero(variant < 0)
+        place = np.flatnonzero(variant >= 0)
+        of = head[np.searchsorted(head, place, "right") - 1]
+        out = [table.column(c).to_numpy()[of] for c in range(2, 6)]
+        yield pa.RecordBatch.from_arrays([pa.array(variant[place]), pa.array(table.column(0).to_numpy()[place]), *map(pa.array, out)], MIXED)
+        last = table.slice(int(head[-1]), 1).to_batches()[0]
+
+
+MIXED = ["variant", "fp", "low", "low_key", "high", "high_key"]
 
 
 def mixed_buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(variant, fp) of the buckets that hold two components, from rows (variant, fp, low, high) sorted by variant.
+    """Of buckets (MIXED, sorted by variant and fp) the rows of fingerprints that meet another component there.
 
-    ``low`` and ``high`` are the least and the greatest root of the texts with that fingerprint. A fingerprint
-    alone in a bucket counts in its own bucket only, as its texts meet there.
+    ``low`` and ``high`` are the least and the greatest root of the texts with that fingerprint. Two fingerprints share two
+    buckets; only that counts in which the smaller one differs from the variant in the lower bit (or in none). Texts with one fingerprint
+    meet in its own bucket.
     """
-    for variant, (fp, low, high) in _buckets(rows, 1):
+    for variant, (fp, low, low_key, high, high_key) in _buckets(rows, 1):
         first = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
         sizes = np.diff(np.append(first, len(fp)))
-        live = np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first)
-        live &= (np.minimum.reduceat(fp, first) != np.maximum.reduceat(fp, first)) | (fp[first] == variant[first])
-        live = np.repeat(live, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(variant[live]), pa.array(fp[live])], ["variant", "fp"])
+        keep = (low != high) & (fp == variant)
+        several = np.flatnonzero(np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first))
+        for at in several[sizes[several] > 1]:
+            part = slice(first[at], first[at] + sizes[at])
+            bit, l, h = fp[part] ^ variant[part], low[part], high[part]  # sorted by fp: row i is the smaller of (i, j > i)
+            pair = np.triu(bit[:, None] < bit[None, :], 1) & ~((l[:, None] == h[None, :]) & (h[:, None] == l[None, :]))
+            keep[part] |= pair.any(axis=0) | pair.any(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (variant, fp, low, low_key, high, high_key)], MIXED)
 
 
 def block_links(rows: Iterator[pa.RecordBatch], most: int, nearest: bool) -> Iterator[pa.RecordBatch]:
@@ -258,8 +286,8 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 2
     two within two bits share a bucket. Every pair of texts of a bucket that passes a loose bound on
     the Hamming distance over all tables together (``slack`` below ``least``) counts if the exact Jaccard
     similarity of the shingle sets is ``least`` or more. Pairs of texts that are linked already change nothing, so
-    links are made in three steps: some pairs of texts with one fingerprint, then each text's nearest text of another
-    component in each of its buckets, then all pairs that still lie in different components.
+    links are made in three steps: some pairs of texts with one fingerprint, then for two texts of each fingerprint the nearest of another
+    component in each of their buckets, then all pairs that still lie in different components.
 
     By the angle between two sets of equal size, two texts meet in one of 20 tables with probability 0.92 at
     similarity 0.8, 0.99 at 0.85 and 0.9999 at 0.9.
@@ -278,29 +306,33 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 2
     bit = F.posexplode(F.array(*[F.lit(m).cast("long") for m in ball(1, bits)])).alias("bit", "mask")
     sent = short.select("fp", bit).select((F.col("fp").bitwiseXOR(F.col("mask")) * 64 + F.col("bit")).alias("packed"))  # one number a variant, as there are many
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-different * tables * (bits + 1) // SORTED))
-    live = sent.repartition(parts, F.shiftright("packed", 6)).sortWithinPartitions("packed").mapInArrow(lambda part: live_prints(part, bits), "fp bigint").distinct()
-    mine, n, _ = stored(short.join(live, "fp", "left_semi").select("fp", "key"))
+    buckets = sent.repartition(parts, F.shiftright("packed", 6)).sortWithinPartitions("packed").mapInArrow(lambda part: live_buckets(part, bits), "variant bigint, fp bigint")
+    buckets, n, _ = stored(buckets)
     roots = wide.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
     if n:
+        mine, _, _ = stored(short.join(buckets.select("fp").distinct(), "fp", "left_semi").select("fp", "key"))
         wide, _, _ = stored(wide.join(mine.select("key").distinct(), "key", "left_semi"))
         # the share of differing bits is the angle over pi; the cosine of two sets of equal size with similarity s is 2s/(1+s)
         low = max(least - slack, 0.0)
         most = int(np.arccos(2 * low / (1 + low)) / np.pi * 64 * families)
         links = None
         for step in ("twins", "nearest", "all"):
-            if step == "nearest":
-                rows, n, _ = stored(_mixed(mine, wide, roots, bits))
+            if step == "twins":
+                pairs = _twins(mine)
+            else:
+                mixed, n, _ = stored(_mixed(buckets, mine, wide, roots))
                 if not n:
                     break
-            pairs, n, _ = stored(_twins(mine) if step == "twins" else _across(rows, wide, roots, most, step == "nearest"))
+                ends = mixed.select("variant", F.explode(F.array("low_key", "high_key")).alias("key")).distinct()
+                rows = ends if step == "nearest" else mixed.select("variant", "fp").join(mine, "fp").select("variant", "key")
+                pairs = _across(stored(rows)[0], wide, roots, most, step == "nearest")
+            pairs, n, _ = stored(pairs)
             if n:
                 used = pairs.select(F.col("x").alias("key")).unionAll(pairs.select(F.col("y").alias("key"))).distinct()
                 texts, _, _ = stored(keyed.join(used, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))
                 good = _verified(pairs, texts, words, least)
                 links, _, _ = stored(good if links is None else links.unionAll(good))
                 roots = components(links)
-            elif step == "nearest":
-                break
     # a text in no group is its own root; texts without links need no join
     facts = members.select("key").distinct().join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
     named = spread_join(members.select("doc_id", "key"), facts, "key").select("doc_id", "key", "root")
@@ -319,13 +351,16 @@ def _named(wide: DataFrame, roots: DataFrame) -> DataFrame:
     return wide.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.col("fp").alias("wide"))
 
 
-def _mixed(mine: DataFrame, wide: DataFrame, roots: DataFrame, bits: int) -> DataFrame:
-    """(variant, key) of the buckets that hold texts of two components or more."""
-    span = mine.join(_named(wide, roots).select("key", "root"), "key").groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    mask = F.explode(F.array(*[F.lit(m).cast("long") for m in ball(1, bits)])).alias("mask")
-    sent = span.select("fp", "low", "high", mask).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp", "low", "high")
-    mixed = sent.repartition("variant").sortWithinPartitions("variant", "fp").mapInArrow(mixed_buckets, "variant bigint, fp bigint")
-    return mixed.join(mine, "fp").select("variant", "key")
+def _mixed(buckets: DataFrame, mine: DataFrame, wide: DataFrame, roots: DataFrame) -> DataFrame:
+    """MIXED rows of the buckets (variant, fp) in which texts of two components or more meet."""
+    own = F.struct("root", "key")
+    span = mine.join(_named(wide, roots).select("key", "root"), "key").groupBy("fp").agg(F.min(own).alias("low"), F.max(own).alias("high"))
+    span = span.select("fp", F.lit(-1).cast("long").alias("variant"), F.col("low.root").alias("low"), F.col("low.key").alias("low_key"), F.col("high.root").alias("high"), F.col("high.key").alias("high_key"))
+    schema = ", ".join(f"{c} bigint" for c in MIXED)
+    zero = F.lit(0).cast("long")
+    both = span.unionByName(buckets.select("fp", "variant", *[zero.alias(c) for c in MIXED[2:]]))
+    met = both.select("fp", "variant", *MIXED[2:]).repartition("fp").sortWithinPartitions("fp", "variant").mapInArrow(with_roots, schema)
+    return met.repartition("variant").sortWithinPartitions("variant", "fp").mapInArrow(mixed_buckets, schema)
 
 
 def _across(rows: DataFrame, wide: DataFrame, roots: DataFrame, most: int, nearest: bool) -> DataFrame:
