@@ -51,7 +51,9 @@ class WordIds:
         """Stem and trailing marks of each word; a word that cannot be cut safely is all stem."""
         stem = pc.utf8_rtrim(words, characters=MARKS)
         safe = pc.and_(pc.match_substring_regex(words, r"^[\x{00}-\x{FF}]*$"), pc.match_substring_regex(stem, r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]$"))
-        tail = pc.if_else(safe, pc.replace_substring_regex(words, r"^(?s:.*?)([.,!?;:#$%&*]*)$", r"\1"), "")
+        cut_off = pc.and_(safe, pc.not_equal(stem, words))
+        tails = pc.replace_substring_regex(words.filter(cut_off), r"^(?s:.*?)([.,!?;:#$%&*]*)$", r"\1")
+        tail = pc.replace_with_mask(pa.repeat("", len(words)), cut_off, tails)
         return pc.if_else(safe, pc.utf8_lower(stem), words), tail
 
     def ids(self, words: list[str]) -> list[bytes]:
@@ -106,7 +108,7 @@ def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> D
         path = tokenizer or default_tokenizer()
         if path not in _state:
             _state[path] = WordIds(path)
-        for batch in batches(rows, most=2 << 20):
+        for batch in batches(rows):
             ids, sizes = token_ids(batch.column(1), _state[path])
             ids = ids.astype("<u4")
             count = -(-sizes // most)
