@@ -88,9 +88,9 @@ def q_sentence_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dedup_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the first of the messages of a dialog that share a text."""
-    m = _messages(spark, sf_dir)
-    return m.groupBy("dialog", "text").agg(F.min("label").alias("label"), F.count("*").alias("n_messages"))
+    """of messages with one label in a batch the first; two turns of a session share a label here."""
+    m = ingest.batch(_messages(spark, sf_dir), 5).withColumn("label", F.floor(F.col("turn") / 2).cast("long"))
+    return ingest.first_of_label(m, ["dialog", "session", "batch_no"], "label", "pos").select("dialog", "session", "batch_no", "label", "pos", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def q_merge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ SQL = {
     "q_sentence_batches": r"""WITH s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), '.')) AS raw, generate_subscripts(string_split(coalesce(text, ''), '.'), 1) AS place FROM documents),
       k AS (SELECT doc_id, place, trim(raw, E' \n\t') AS sentence FROM s WHERE trim(raw, E' \n\t') <> ''), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n FROM k)
       SELECT doc_id, (n - 1) // 5 AS group_no, count(*) AS n_sentences, sum(length(sentence))::BIGINT AS n_chars, arg_min(sentence, n) AS first_sentence FROM n GROUP BY ALL""",
-    "q_dedup_labels": f"WITH {_LABELLED} SELECT dialog, text, min(label) AS label, count(*) AS n_messages FROM m GROUP BY dialog, text",
+    "q_dedup_labels": f"WITH {_LABELLED}, b AS (SELECT dialog, session, (pos - 1) // 5 AS batch_no, turn // 2 AS label, pos, text FROM m) SELECT dialog, session, batch_no, label, pos, sha256(coalesce(text, '')) AS text_sha256 FROM b QUALIFY row_number() OVER (PARTITION BY dialog, session, batch_no, label ORDER BY pos) = 1",
     "q_merge_labels": f"""WITH {_TURNS}, s AS (SELECT dialog, session, list(turn ORDER BY turn) AS turns FROM t GROUP BY ALL)
       SELECT a.dialog, a.session, array_to_string(list_concat(b.turns, list_filter(a.turns, lambda x: NOT list_contains(b.turns, x))), ',') AS labels FROM s a JOIN s b ON a.dialog = b.dialog AND a.session = b.session + 1""",
     "q_label_lookup": f"WITH {_LABELLED} SELECT a.dialog, a.label, b.text AS later FROM m a LEFT JOIN m b ON a.dialog = b.dialog AND b.label = a.label + 3",

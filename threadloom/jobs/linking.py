@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.jobs.tables import baskets, table
 from threadloom.operators import edges as ed
+from threadloom.operators import graph as gr
 
 
 def _hyper(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +75,12 @@ def q_edge_leg_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes, different edges and density."""
-    s = ed.undirected(_star(spark, sf_dir), "src", "dst")
+    """Nodes, different edges, density, and whether the directed edges have no cycle."""
+    arcs = _star(spark, sf_dir).select("src", "dst")
+    s = ed.undirected(arcs, "src", "dst")
     nodes = s.select("u").unionAll(s.select("v")).distinct().agg(F.count("*").alias("n_nodes"))
     m = s.agg(F.count("*").alias("n_edges"))
-    return nodes.crossJoin(m).withColumn("density", F.coalesce(F.round(2 * F.col("n_edges") / F.nullif(F.col("n_nodes") * (F.col("n_nodes") - 1), F.lit(0)), 8), F.lit(0.0)))  # a row each
+    return nodes.crossJoin(m).withColumn("density", F.coalesce(F.round(2 * F.col("n_edges") / F.nullif(F.col("n_nodes") * (F.col("n_nodes") - 1), F.lit(0)), 8), F.lit(0.0))).withColumn("dag_valid", F.lit(gr.acyclic(arcs)))  # a row each
 
 
 def q_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +217,7 @@ SQL = {
       SELECT src, count(*) AS n_edges, min(dst) AS first_edge, any_value(n) AS n_undirected FROM d LEFT JOIN (SELECT u AS src, count(*) AS n FROM u GROUP BY 1) USING (src) GROUP BY src""",
     "q_leg_filter": "WITH e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'P' END AS leg FROM events) SELECT leg, count(*) AS n_edges, max(event_id) AS last_edge FROM e WHERE coalesce(leg, 'P') = 'P' GROUP BY leg",
     "q_edge_leg_counts": f"WITH {_H} SELECT leg, CASE leg WHEN 'P' THEN (SELECT count(*) FROM h) ELSE 0 END AS n_edges FROM (VALUES ('P'), ('A')) t(leg)",
-    "q_graph_stats": f"WITH {_S}, u AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM s), n AS (SELECT count(DISTINCT x) AS n_nodes FROM (SELECT u AS x FROM u UNION SELECT v FROM u)), m AS (SELECT count(*) AS n_edges FROM u) SELECT n_nodes, n_edges, round(2 * n_edges / (n_nodes * (n_nodes - 1)), 8) AS density FROM n, m",
+    "q_graph_stats": f"WITH {_S}, u AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM s), n AS (SELECT count(DISTINCT x) AS n_nodes FROM (SELECT u AS x FROM u UNION SELECT v FROM u)), m AS (SELECT count(*) AS n_edges FROM u) SELECT n_nodes, n_edges, round(2 * n_edges / (n_nodes * (n_nodes - 1)), 8) AS density, (SELECT count(*) = 0 FROM s WHERE src >= dst) AS dag_valid FROM n, m",
     "q_adjacency": f"WITH {_H}, a AS (SELECT DISTINCT x AS node, y AS near FROM (SELECT x, unnest(members) AS y FROM (SELECT members, unnest(members) AS x FROM h)) WHERE x <> y) SELECT node, count(*) AS n_near, min(near) AS first_near FROM a GROUP BY 1",
     "q_cross_class_sweep": """WITH b AS (SELECT DISTINCT l_orderkey AS label, p_brand AS c, l_partkey AS i FROM lineitem JOIN part ON l_partkey = p_partkey),
       p AS (SELECT a.i AS u, b.i AS v, count(*) AS shared, list(a.label ORDER BY a.label) AS l FROM b a JOIN b USING (label) WHERE a.i < b.i AND a.c <> b.c GROUP BY ALL HAVING count(*) >= 2) SELECT u, v, shared, array_to_string(l[1:3], ',') AS label FROM p""",

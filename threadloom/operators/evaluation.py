@@ -20,6 +20,13 @@ def judge_label(answer: Column) -> Column:
     return F.when(field != "", field).otherwise(F.coalesce(last, F.lit(WRONG)))
 
 
+def asked(questions: DataFrame, order: str, most: int = 0, skip: int | None = None, only: int | None = None, category: str = "category") -> DataFrame:
+    """The questions to ask: the first ``most`` in order (0: all), and of these none of category ``skip`` or just those of ``only``."""
+    first = questions.orderBy(order).limit(most) if most else questions
+    keep = F.lit(True) if skip is None else F.col(category) != skip
+    return first.where(keep if only is None else keep & (F.col(category) == only))
+
+
 def accuracy(rows: DataFrame, by: list[str], right: Column) -> DataFrame:
     """A1, A2: right, wrong, total and accuracy; an empty group has accuracy 0."""
     out = rows.groupBy(*by).agg(F.sum(right.cast("long")).alias("n_right"), F.count("*").alias("n_total"))

@@ -36,6 +36,12 @@ def batch(messages: DataFrame, size: int = BATCH) -> DataFrame:
     return messages.withColumn("batch_no", F.floor((F.col("pos") - 1) / size).cast("long"))
 
 
+def first_of_label(messages: DataFrame, by: list[str], label: str, order: str) -> DataFrame:
+    """of messages of a batch with one label the first."""
+    rank = F.row_number().over(Window.partitionBy(*by, label).orderBy(order))
+    return messages.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
 def batch_context(messages: DataFrame, size: int = BATCH, context: int = CONTEXT) -> DataFrame:
     """Each batch with the labels of the last ``context`` messages before it in its session, in order."""
     session = Window.partitionBy("dialog", "session").orderBy("pos").rowsBetween(-context, -1)
