@@ -42,7 +42,8 @@ def test_oriented_pairs_override_the_star(spark):
 
 @pytest.mark.parametrize(("values", "wanted"), [([2, 4, 3], [0, 1, 0.5]), ([5, 5], [0.5, 0.5]), ([], [])])
 def test_min_max(spark, values, wanted):
-    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double").withColumn("s", vx.min_max(F.col("v"), []))
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
+    rows = vx.min_max(rows, [], s=F.col("v"))
     assert [r.s for r in sorted(rows.collect())] == wanted
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLOOR = 1e-12
@@ -31,16 +31,27 @@ def normalise(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / length)
 
 
-def min_max(value: Column, by: list[str]) -> Column:
-    """To 0..1 inside each group; a group of one value gets 0.5."""
-    over = Window.partitionBy(*by)
-    low, high = F.min(value).over(over), F.max(value).over(over)
-    return F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.5))
+def min_max(rows: DataFrame, by: list[str], **values: Column) -> DataFrame:
+    """``rows`` with each of ``values`` brought to 0..1 inside its group, under its name; a group of one value gets 0.5.
 
-
-def fuse(text_score: Column, vector_score: Column, weight: float, by: list[str]) -> Column:
-    """(1 - weight) of the min-max of one score and weight of that of the other."""
-    return (1 - weight) * min_max(text_score, by) + weight * min_max(vector_score, by)
+    The bounds of a group are combined before they are shuffled and joined back, so that no group is gathered.
+    """
+    plain = {f"__{n}": c for n, c in values.items()}
+    rows = rows.withColumns(plain)
+    groups = {f"__by_{c}": F.col(c) for c in by}
+    ends = rows.groupBy(*[c.alias(n) for n, c in groups.items()]).agg(*[f(n).alias(f"{n}_{k}") for n in plain for k, f in (("low", F.min), ("high", F.max))])
+    same = F.lit(True)
+    for n, c in groups.items():
+        same = same & c.eqNullSafe(F.col(n))
+    joined = rows.join(ends, same) if by else rows.crossJoin(F.broadcast(ends))  # without groups one row
+    scaled = {n: F.when(F.col(f"__{n}_high") > F.col(f"__{n}_low"), (F.col(f"__{n}") - F.col(f"__{n}_low")) / (F.col(f"__{n}_high") - F.col(f"__{n}_low"))).otherwise(F.lit(0.5)) for n in values}
+    return joined.withColumns(scaled).drop(*plain, *groups, *[f"{n}_{k}" for n in plain for k in ("low", "high")])
+
+
+def fuse(rows: DataFrame, by: list[str], text_score: Column, vector_score: Column, weight: float, name: str) -> DataFrame:
+    """``rows`` with (1 - weight) of the min-max of one score and weight of that of the other."""
+    both = min_max(rows, by, __text=text_score, __vector=vector_score)
+    return both.withColumn(name, (1 - weight) * F.col("__text") + weight * F.col("__vector")).drop("__text", "__vector")
 
 
 def centroid(rows: DataFrame, by: list[str], vector: str) -> DataFrame:

@@ -63,7 +63,7 @@ def q_class_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosines with the own class's centroid, from 0 to 1 in each class."""
     own = _to_class(spark, sf_dir).where("label = other")
-    return own.select("vec_id", "label", F.round(vx.min_max(F.col("score"), ["label"]), 6).alias("scaled"))
+    return vx.min_max(own, ["label"], scaled=F.col("score")).select("vec_id", "label", F.round("scaled", 6).alias("scaled"))
 
 
 def q_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,8 @@ def q_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = s.groupBy("vec_id", "label").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("score"))).alias("own"), F.max(F.when(F.col("label") != F.col("other"), F.col("score"))).alias("far"))
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("own"), "vec_id"))
     pooled = both.withColumn("pool", place <= 600)
-    fused = vx.fuse(F.col("own"), F.col("far"), 0.3, ["label", "pool"])
-    return pooled.select("vec_id", "label", F.round(F.when(F.col("pool"), fused).otherwise(F.col("own")), 6).alias("score"))
+    pooled = vx.fuse(pooled, ["label", "pool"], F.col("own"), F.col("far"), 0.3, "fused")
+    return pooled.select("vec_id", "label", F.round(F.when(F.col("pool"), F.col("fused")).otherwise(F.col("own")), 6).alias("score"))
 
 
 def q_pair_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
