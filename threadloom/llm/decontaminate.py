@@ -110,44 +110,62 @@ class Items:
         """(text, shingle position in it, item) of windows within RADIUS bits of an item of their size.
 
         ``hashes`` are the shingles of many texts in a row, cut at ``cuts``. Besides the regular places a text's
-        first and last window are looked at, and the whole text where it is up to a quarter shorter than the items. Left out are places around which too few shingles are
-        in any item for a similarity of ``least``; no place that ``verify`` could find is among them.
+        first and last window are looked at, and the whole text where it is up to a quarter shorter than the items. Places around which too few shingles are
+        in any item for a similarity of ``least`` are left out before fingerprints are made; no place that ``verify`` could find is among them.
         """
         largest = max((c[0] for c in self.classes), default=0)
         text_of, lengths = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), np.diff(cuts)
         span = max(30_000, 4 * largest)
         known = np.concatenate([[0], np.cumsum(self.known[hashes >> np.uint64(42)])])
         totals = np.array([len(h) for h in self.shingles], np.int64)
+
+        def enough(place, text, total, most):
+            """Whether the shingles around each place allow the similarity, for items of ``total`` shingles, searched as far as for ``most``."""
+            around, size_here = slack(most), np.minimum(most, lengths[text])
+            have = known[np.minimum(cuts[text + 1], place + around + size_here)] - known[np.maximum(cuts[text], place - around)]
+            return have >= least * (total + np.minimum(total, lengths[text])) / (1 + least) - 1e-6
+
         for low in range(0, len(hashes), span):
             part = hashes[low : low + span + largest]
-            sums, here = bit_sums(part, 2 * largest), text_of[low : low + len(part)]
+            here = text_of[low : low + len(part)]
+            if known[low + len(part)] == known[low]:
+                continue
             inside = np.flatnonzero((cuts[:-1] < low + span) & (cuts[1:] > low) & (lengths > 0))
+            todo, used = [], np.zeros(len(part) + 1, np.int32)
             for size, stride, members, own, tables in self.classes:
                 grid = np.arange(0, max(min(span, len(part) - size + 1), 0), stride)
-                whole = here[::stride][: len(grid)] == here[size - 1 :: stride][: len(grid)]
+                grid = grid[here[::stride][: len(grid)] == here[size - 1 :: stride][: len(grid)]]
                 long, short = inside[lengths[inside] >= size], inside[(lengths[inside] < size) & (4 * lengths[inside] >= 3 * size)]
                 edge = np.concatenate([cuts[long] - low, cuts[long + 1] - size - low])
                 edge = edge[(edge >= 0) & (edge < span) & (edge + size <= len(part))]
                 short = short[cuts[short] >= low]
                 starts = np.concatenate([grid, edge, cuts[short] - low])
-                if not len(starts):
-                    continue
-                extra = starts[len(grid) :]
-                sizes = np.concatenate([np.full(len(edge), size), lengths[short]])
-                got = np.concatenate([prints(sums[size::stride][: len(grid)], sums[: len(sums) - size : stride][: len(grid)], size), prints(sums[extra + sizes], sums[extra], sizes)])
+                sizes = np.concatenate([np.full(len(grid) + len(edge), size), lengths[short]])
+                fit = enough(starts + low, here[starts], totals[members].min(), totals[members].max())
+                starts, sizes = starts[fit], sizes[fit]
+                if len(starts):
+                    todo.append((starts, sizes, members, own, tables))
+                    np.add.at(used, starts, 1)
+                    np.add.at(used, starts + sizes, -1)
+            if not todo:
+                continue
+            # running counts over the shingles of these windows only; a window stays in one piece
+            used = np.cumsum(used[:-1]) > 0
+            place_of = np.concatenate([[0], np.cumsum(used)])
+            sums = bit_sums(part[used], 2 * largest)
+            for starts, sizes, members, own, tables in todo:
+                first = place_of[starts]
+                got = prints(sums[first + sizes], sums[first], sizes)
                 halves, hit = got.view(np.uint16).reshape(-1, BLOCKS), np.zeros(len(got), bool)
                 for b, table in enumerate(tables):
                     hit |= table[halves[:, b]]
-                hit[: len(grid)] &= whole
                 at = np.flatnonzero(hit)
                 for k in range(0, len(at), 4096):
                     some = at[k : k + 4096]
                     i, j = np.nonzero(np.bitwise_count(got[some][:, None] ^ own[None, :]) <= RADIUS)
                     place = starts[some[i]] + low
                     text, total = text_of[place], totals[members[j]]
-                    size_here, around = np.minimum(total, lengths[text]), slack(total)
-                    have = known[np.minimum(cuts[text + 1], place + around + size_here)] - known[np.maximum(cuts[text], place - around)]
-                    fit = have >= least * (total + size_here) / (1 + least) - 1e-6
+                    fit = enough(place, text, total, total)
                     place, text, j = place[fit], text[fit], j[fit]
                     yield from zip(text.tolist(), (place - cuts[text]).tolist(), members[j].tolist())
 
