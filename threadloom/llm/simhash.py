@@ -166,8 +166,8 @@ def live_buckets(rows: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(variant[once]), pa.array(fp[once])], ["variant", "fp"])
 
 
-def with_roots(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets with the roots of their fingerprints, from rows sorted by fp: first one with variant -1 and the roots, then one a bucket."""
+def with_facts(rows: Iterator[pa.RecordBatch], facts: int) -> Iterator[pa.RecordBatch]:
+    """Buckets with the facts of their fingerprints, from rows (fp, variant, facts ...) sorted by both: first one with variant -1 and the facts, then one a bucket."""
     last = None
     for batch in rows:
         if not batch.num_rows:
@@ -177,22 +177,22 @@ def with_roots(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(variant < 0)
         place = np.flatnonzero(variant >= 0)
         of = head[np.searchsorted(head, place, "right") - 1]
-        out = [table.column(c).to_numpy()[of] for c in range(2, 6)]
-        yield pa.RecordBatch.from_arrays([pa.array(variant[place]), pa.array(table.column(0).to_numpy()[place]), *map(pa.array, out)], MIXED)
+        out = [table.column(c).to_numpy()[of] for c in range(2, 2 + facts)]
+        yield pa.RecordBatch.from_arrays([pa.array(variant[place]), pa.array(table.column(0).to_numpy()[place]), *map(pa.array, out)], SPANS)
         last = table.slice(int(head[-1]), 1).to_batches()[0]
 
 
-MIXED = ["variant", "fp", "low", "low_key", "high", "high_key"]
+SPANS, MIXED = ["variant", "fp", "low", "high", "texts"], ["fp", "variant", "blocks"]
 
 
 def mixed_buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of buckets (MIXED, sorted by variant and fp) the rows of fingerprints that meet another component there.
+    """Of buckets (SPANS, sorted by variant and fp) the fingerprints that meet another component there (MIXED).
 
-    ``low`` and ``high`` are the least and the greatest root of the texts with that fingerprint. Two fingerprints share two
+    ``low`` and ``high`` are the least and the greatest root of the texts with that fingerprint, ``texts`` their number. Two fingerprints share two
     buckets; only that counts in which the smaller one differs from the variant in the lower bit (or in none). Texts with one fingerprint
-    meet in its own bucket.
+    meet in its own bucket. ``blocks`` is how many blocks of BLOCK texts a bucket is compared in.
     """
-    for variant, (fp, low, low_key, high, high_key) in _buckets(rows, 1):
+    for variant, (fp, low, high, texts) in _buckets(rows, 1):
         first = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
         sizes = np.diff(np.append(first, len(fp)))
         keep = (low != high) & (fp == variant)
@@ -202,7 +202,51 @@ def mixed_buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bit, l, h = fp[part] ^ variant[part], low[part], high[part]  # sorted by fp: row i is the smaller of (i, j > i)
             pair = np.triu(bit[:, None] < bit[None, :], 1) & ~((l[:, None] == h[None, :]) & (h[:, None] == l[None, :]))
             keep[part] |= pair.any(axis=0) | pair.any(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (variant, fp, low, low_key, high, high_key)], MIXED)
+        blocks = np.repeat(-(-np.add.reduceat(np.where(keep, texts, 0), first) // BLOCK), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (fp, variant, blocks)], MIXED)
+
+
+def texts_of_buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``block_links`` from rows (fp, kind, variant, blocks, key, root, wide) sorted by fp and kind: first a fingerprint's buckets, then its texts.
+
+    The buckets of one fingerprint are a ball at most and are held; its texts, however many, go by.
+    """
+    names = ["variant", "low", "high", "key", "root", "own", "wide"]
+    held_fp, held = None, None  # the open fingerprint and its buckets
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        fp, kind, variant, blocks, key, root = (batch.column(i).to_numpy() for i in range(6))
+        ends = np.concatenate([[0], np.flatnonzero(fp[1:] != fp[:-1]) + 1, [len(fp)]])
+        of, text = [], []
+        more_v, more_b = [variant], [blocks]
+        base = len(variant)
+        for start, stop in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            cut_ = start + int(np.searchsorted(kind[start:stop], 1))
+            own = np.arange(start, cut_)
+            if fp[start] == held_fp:
+                more_v.append(held[0])
+                more_b.append(held[1])
+                own = np.concatenate([np.arange(base, base + len(held[0])), own])
+                base += len(held[0])
+            if stop > cut_ and len(own):
+                of.append(np.tile(own, stop - cut_))
+                text.append(np.repeat(np.arange(cut_, stop), len(own)))
+            last = own
+        every_v, every_b = np.concatenate(more_v), np.concatenate(more_b)
+        held_fp, held = fp[-1], (every_v[last], every_b[last])
+        if not of:
+            continue
+        of, text = np.concatenate(of), np.concatenate(text)
+        n = every_b[of]
+        mine = (key[text].view(np.uint64) >> np.uint64(17)).astype(np.int64) % n
+        of, text, mine, n = (np.repeat(c, n) for c in (of, text, mine, n))
+        new = np.concatenate([[True], (of[1:] != of[:-1]) | (text[1:] != text[:-1])])
+        other = np.arange(len(of)) - np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))  # every block meets every block
+        for at in range(0, len(of), 20_000):
+            p = slice(at, at + 20_000)
+            columns = [every_v[of[p]], np.minimum(mine[p], other[p]), np.maximum(mine[p], other[p]), key[text[p]], root[text[p]], mine[p]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(6).take(pa.array(text[p]))], names)
 
 
 def block_links(rows: Iterator[pa.RecordBatch], most: int, nearest: bool) -> Iterator[pa.RecordBatch]:
@@ -286,8 +330,8 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 2
     two within two bits share a bucket. Every pair of texts of a bucket that passes a loose bound on
     the Hamming distance over all tables together (``slack`` below ``least``) counts if the exact Jaccard
     similarity of the shingle sets is ``least`` or more. Pairs of texts that are linked already change nothing, so
-    links are made in three steps: some pairs of texts with one fingerprint, then for two texts of each fingerprint the nearest of another
-    component in each of their buckets, then all pairs that still lie in different components.
+    links are made in three steps: some pairs of texts with one fingerprint, then each text's nearest text of another component
+    in each bucket where its own is not the largest, then all pairs that still lie in different components.
 
     By the angle between two sets of equal size, two texts meet in one of 20 tables with probability 0.92 at
     similarity 0.8, 0.99 at 0.85 and 0.9999 at 0.9.
@@ -320,12 +364,11 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 2
             if step == "twins":
                 pairs = _twins(mine)
             else:
-                mixed, n, _ = stored(_mixed(buckets, mine, wide, roots))
+                named = mine.join(_named(wide, roots), "key").select("fp", "key", "root", "wide")
+                mixed, n, _ = stored(_mixed(buckets, named))
                 if not n:
                     break
-                ends = mixed.select("variant", F.explode(F.array("low_key", "high_key")).alias("key")).distinct()
-                rows = ends if step == "nearest" else mixed.select("variant", "fp").join(mine, "fp").select("variant", "key")
-                pairs = _across(stored(rows)[0], wide, roots, most, step == "nearest")
+                pairs = _across(mixed, named, most, step == "nearest")
             pairs, n, _ = stored(pairs)
             if n:
                 used = pairs.select(F.col("x").alias("key")).unionAll(pairs.select(F.col("y").alias("key"))).distinct()
@@ -340,10 +383,26 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 2
 
 
 def _twins(mine: DataFrame) -> DataFrame:
-    """Some pairs (x, y) of texts with one fingerprint: each with the one before it and the first, in slots of a hot one."""
-    order = Window.partitionBy("fp", F.pmod("key", F.lit(64))).orderBy("key")
-    before = mine.select(F.col("key").alias("y"), F.array(F.lag("key").over(order), F.first("key").over(order)).alias("before"))
-    return before.select(F.explode("before").alias("x"), "y").where("x < y").distinct()
+    """Some pairs (x, y) of texts with one fingerprint: each with the one before it and the first.
+
+    Rows are dealt by ranges of fingerprint and key, so that a hot fingerprint is spread over tasks.
+    """
+
+    def chain(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # fingerprint, its first key and the last one
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            fp, key = (batch.column(i).to_numpy() for i in range(2))
+            new = np.concatenate([[last is None or fp[0] != last[0]], fp[1:] != fp[:-1]])
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(fp)), -1))
+            first = np.where(lead < 0, key[0] if last is None else last[1], key[np.maximum(lead, 0)])
+            before = np.concatenate([[key[0] if last is None else last[2]], key[:-1]])
+            y, x = np.concatenate([key[~new], key[~new]]), np.concatenate([first[~new], before[~new]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+            last = (fp[-1], first[-1], key[-1])
+
+    return mine.repartitionByRange("fp", "key").sortWithinPartitions("fp", "key").mapInArrow(chain, "x bigint, y bigint").distinct()
 
 
 def _named(wide: DataFrame, roots: DataFrame) -> DataFrame:
@@ -351,31 +410,26 @@ def _named(wide: DataFrame, roots: DataFrame) -> DataFrame:
     return wide.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.col("fp").alias("wide"))
 
 
-def _mixed(buckets: DataFrame, mine: DataFrame, wide: DataFrame, roots: DataFrame) -> DataFrame:
-    """MIXED rows of the buckets (variant, fp) in which texts of two components or more meet."""
-    own = F.struct("root", "key")
-    span = mine.join(_named(wide, roots).select("key", "root"), "key").groupBy("fp").agg(F.min(own).alias("low"), F.max(own).alias("high"))
-    span = span.select("fp", F.lit(-1).cast("long").alias("variant"), F.col("low.root").alias("low"), F.col("low.key").alias("low_key"), F.col("high.root").alias("high"), F.col("high.key").alias("high_key"))
-    schema = ", ".join(f"{c} bigint" for c in MIXED)
-    zero = F.lit(0).cast("long")
-    both = span.unionByName(buckets.select("fp", "variant", *[zero.alias(c) for c in MIXED[2:]]))
-    met = both.select("fp", "variant", *MIXED[2:]).repartition("fp").sortWithinPartitions("fp", "variant").mapInArrow(with_roots, schema)
-    return met.repartition("variant").sortWithinPartitions("variant", "fp").mapInArrow(mixed_buckets, schema)
+def _mixed(buckets: DataFrame, named: DataFrame) -> DataFrame:
+    """MIXED rows of the buckets (variant, fp) in which texts (fp, key, root, ...) of two components or more meet."""
+    span = named.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("texts")).withColumn("variant", F.lit(-1).cast("long"))
+    both = span.unionByName(buckets.select("fp", "variant", *[F.lit(0).cast("long").alias(c) for c in SPANS[2:]]))
+    kinds = lambda names: ", ".join(f"{c} bigint" for c in names)
+    met = both.select("fp", "variant", *SPANS[2:]).repartition("fp").sortWithinPartitions("fp", "variant").mapInArrow(lambda rows: with_facts(rows, 3), kinds(SPANS))
+    return met.repartition("variant").sortWithinPartitions("variant", "fp").mapInArrow(mixed_buckets, kinds(MIXED))
 
 
-def _across(rows: DataFrame, wide: DataFrame, roots: DataFrame, most: int, nearest: bool) -> DataFrame:
+def _across(mixed: DataFrame, named: DataFrame, most: int, nearest: bool) -> DataFrame:
     """Pairs (x, y) within ``most`` bits that share a bucket and lie in different components: all, or nearest ones.
 
-    Only buckets (variant, key) with two components or more are looked at. Those of more than BLOCK texts are cut into blocks, and
+    The texts of a fingerprint go to all its mixed buckets in one pass over both. Buckets of more than BLOCK texts are cut into blocks, and
     every pair of blocks is compared by itself; pairs over the bound never leave a task.
     """
-    named = _named(wide, roots)
-    seen = rows.join(named.select("key", "root"), "key").groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    live = seen.where("low <> high").select("variant", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    rows = rows.join(live, "variant").join(named, "key")
-    own = F.pmod(F.xxhash64("key", F.lit(9)), F.col("blocks"))
-    halves = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
-    rows = rows.select("variant", "key", "root", own.alias("own"), "wide", F.explode(halves).alias("p")).select("variant", "p.low", "p.high", "key", "root", "own", "wide")
+    none, zero = F.lit(None).cast("array<bigint>"), F.lit(0).cast("long")
+    held = mixed.select("fp", zero.alias("kind"), "variant", "blocks", zero.alias("key"), zero.alias("root"), none.alias("wide"))
+    texts = named.select("fp", F.lit(1).cast("long").alias("kind"), zero.alias("variant"), zero.alias("blocks"), "key", "root", "wide")
+    both = held.unionByName(texts).repartition("fp").sortWithinPartitions("fp", "kind")
+    rows = both.mapInArrow(texts_of_buckets, "variant bigint, low bigint, high bigint, key bigint, root bigint, own bigint, wide array<bigint>")
     rows = rows.repartition("variant", "low", "high").sortWithinPartitions("variant", "low", "high", "key")
     pairs = rows.mapInArrow(lambda part: block_links(part, most, nearest), "x bigint, y bigint, apart bigint")
     if nearest:
