@@ -58,6 +58,13 @@ def test_single_fragment_keeps_its_terms(spark):
     assert tx.idf(counts, spark.createDataFrame([(1,)], "n long"), []).count() == 1
 
 
+def test_cross_class_sweep_over_blocks(spark):
+    rows = spark.createDataFrame([(label, f"c{i % 3}", i) for label in (1, 2, 3) for i in range(40)], "label long, c string, i long")
+    whole = {(r.u, r.v): (r.shared, r.label) for r in ed.cross_class_pairs(rows, "label", "c", "i").collect()}
+    assert whole == {(i, j): (3, "1,2,3") for i in range(40) for j in range(i + 1, 40) if i % 3 != j % 3}
+    assert {(r.u, r.v): (r.shared, r.label) for r in ed.cross_class_pairs(rows, "label", "c", "i", block=7).collect()} == whole
+
+
 def test_judge_labels(spark):
     cases = [('Well {"label": "CORRECT"}', "CORRECT"), ("so\nWRONG", "WRONG"), ("not correct", "WRONG"), ("", "WRONG"), (None, "WRONG"), ("This is correct.", "WRONG"), ("It is correct, I think", "WRONG"), ("one\n correct \ntwo", "CORRECT"), ("CORRECT\nWRONG\n\n", "WRONG"), ('"label": "wrong"\nCORRECT', "WRONG"), ("wrong", "WRONG"), ('{"label": "maybe"}\nCORRECT', "CORRECT")]
     rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, a string").withColumn("l", ev.judge_label(F.col("a")))

@@ -48,15 +48,20 @@ def holders(rows: DataFrame, label: str, owner: str, instance: str) -> DataFrame
     return held.groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("members")).where(F.size("members") > 1)
 
 
-def cross_class_pairs(rows: DataFrame, label: str, owner: str, instance: str, least: int = 2, known: DataFrame | None = None) -> DataFrame:
+def cross_class_pairs(rows: DataFrame, label: str, owner: str, instance: str, least: int = 2, known: DataFrame | None = None, block: int = 1_000) -> DataFrame:
     """Pairs of instances of different classes that share ``least`` labels or more, with the first three labels.
 
-    The self-join is on the label, so a label held by m instances makes m * (m - 1) / 2 rows; labels are a few
-    instances each here. Counting is combined before the shuffle. Pairs in ``known`` are left out.
+    The self-join is on the label; one with more than ``block`` instances is cut into blocks and joined as pairs of blocks, so
+    that no task meets it whole. A label held by m instances still makes up to m * (m - 1) / 2 rows, which are what is
+    asked for. Counting is combined before the shuffle. Pairs in ``known`` are left out.
     """
     held = rows.select(F.col(label).alias("label"), F.col(owner).alias("c"), F.col(instance).alias("i")).distinct()
-    other = held.select("label", F.col("c").alias("c2"), F.col("i").alias("i2"))
-    met = held.join(other, "label").where("i < i2 and c <> c2")
+    blocks = held.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")
+    halves = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
+    dealt = held.join(blocks, "label").select("label", "c", "i", own.alias("own"), F.explode(halves).alias("p")).select("label", "p.low", "p.high", "own", "c", "i")
+    other = dealt.select("label", "low", "high", F.col("own").alias("own2"), F.col("c").alias("c2"), F.col("i").alias("i2"))
+    met = dealt.join(other, ["label", "low", "high"]).where("i < i2 and c <> c2 and (low = high or own <> own2)")
     found = met.groupBy(F.col("i").alias("u"), F.col("i2").alias("v")).agg(F.count("*").alias("shared"), F.array_sort(F.collect_list("label")).alias("labels")).where(F.col("shared") >= least)
     if known is not None:
         found = found.join(known.select("u", "v"), ["u", "v"], "left_anti")

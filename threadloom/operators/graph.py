@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = sc._jsc.sc().getCheckpointDir()
     if not found.isDefined():
         named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
+        if not named and sc.master.split("[")[0] != "local":  # local-cluster has executors of its own
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
         found = sc._jsc.sc().getCheckpointDir()
