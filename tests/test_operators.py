@@ -180,6 +180,8 @@ def test_a_build_goes_on_where_it_stopped(spark, tmp_path):
     assert bd.build(m, 0.3, 3, str(tmp_path / "b"), upto=2).select("step").distinct().count() == 2 and bd.done_steps(spark, str(tmp_path / "b")) == 2
     assert sorted(map(str, bd.build(m, 0.3, 3, str(tmp_path / "b")).collect())) == whole and len(whole) >= 4
     assert bd.build(m.limit(0)).count() == 0
+    led = spark.createDataFrame([(5, 0, 1, "new", "said before\nand before that"), (5, 0, 2, "newer", "said before\nand before that")], m.schema)
+    assert [(r.class_name, r["labels"], r.text) for r in bd.build(led).collect()] == [("Unclassified", [1, 2], "said before\nand before that\nnew\nnewer")]
 
 
 def test_sweep_falls_back_to_the_first_class(spark):
