@@ -17,6 +17,7 @@ from threadloom.llm.common import batches, components, cut, fresh, spread_join,
 
 SEED = 42
 SORTED = 1 << 20  # variants that a task sorts, on average
+SLOTS = 8  # tasks that the texts of one fingerprint are spread over
 BLOCK = 1_024  # texts of a bucket that one task compares with each other or with as many others
 # Odd multipliers that derive further hashes from a shingle's first one (golden-ratio multiples).
 MIX = [(0x9E3779B97F4A7C15 * k | 1) & 0xFFFFFFFFFFFFFFFF for k in range(1, 17)]
@@ -182,13 +183,13 @@ def with_facts(rows: Iterator[pa.RecordBatch], facts: int) -> Iterator[pa.Record
         last = table.slice(int(head[-1]), 1).to_batches()[0]
 
 
-SPANS, MIXED = ["variant", "fp", "low", "high", "texts"], ["fp", "variant", "blocks"]
+SPANS, MIXED = ["variant", "fp", "low", "high", "texts"], ["fp", "slot", "variant", "blocks"]
 
 
 def mixed_buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of buckets (SPANS, sorted by variant and fp) the fingerprints that meet another component there (MIXED).
 
-    ``low`` and ``high`` are the least and the greatest root of the texts with that fingerprint, ``texts`` their number. Two fingerprints share two
+    ``low`` and ``high`` are the least and the greatest root of the texts with that fingerprint, ``texts`` their number. Each row is given once for every slot of a fingerprint's texts. Two fingerprints share two
     buckets; only that counts in which the smaller one differs from the variant in the lower bit (or in none). Texts with one fingerprint
     meet in its own bucket. ``blocks`` is how many blocks of BLOCK texts a bucket is compared in.
     """
@@ -203,28 +204,29 @@ def mixed_buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pair = np.triu(bit[:, None] < bit[None, :], 1) & ~((l[:, None] == h[None, :]) & (h[:, None] == l[None, :]))
             keep[part] |= pair.any(axis=0) | pair.any(axis=1)
         blocks = np.repeat(-(-np.add.reduceat(np.where(keep, texts, 0), first) // BLOCK), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (fp, variant, blocks)], MIXED)
+        fp, variant, blocks = (np.repeat(c[keep], SLOTS) for c in (fp, variant, blocks))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (fp, np.arange(len(fp)) % SLOTS, variant, blocks)], MIXED)
 
 
 def texts_of_buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``block_links`` from rows (fp, kind, variant, blocks, key, root, wide) sorted by fp and kind: first a fingerprint's buckets, then its texts.
+    """Rows of ``block_links`` from rows (fp, slot, kind, variant, blocks, key, root, wide) sorted by the first three: first a fingerprint's buckets, then its texts.
 
     The buckets of one fingerprint are a ball at most and are held; its texts, however many, go by.
     """
     names = ["variant", "low", "high", "key", "root", "own", "wide"]
-    held_fp, held = None, None  # the open fingerprint and its buckets
+    held_fp, held = None, None  # the open fingerprint and slot, and its buckets
     for batch in rows:
         if not batch.num_rows:
             continue
-        fp, kind, variant, blocks, key, root = (batch.column(i).to_numpy() for i in range(6))
-        ends = np.concatenate([[0], np.flatnonzero(fp[1:] != fp[:-1]) + 1, [len(fp)]])
+        fp, slot, kind, variant, blocks, key, root = (batch.column(i).to_numpy() for i in range(7))
+        ends = np.concatenate([[0], np.flatnonzero((fp[1:] != fp[:-1]) | (slot[1:] != slot[:-1])) + 1, [len(fp)]])
         of, text = [], []
         more_v, more_b = [variant], [blocks]
         base = len(variant)
         for start, stop in zip(ends[:-1].tolist(), ends[1:].tolist()):
             cut_ = start + int(np.searchsorted(kind[start:stop], 1))
             own = np.arange(start, cut_)
-            if fp[start] == held_fp:
+            if (fp[start], slot[start]) == held_fp:
                 more_v.append(held[0])
                 more_b.append(held[1])
                 own = np.concatenate([np.arange(base, base + len(held[0])), own])
@@ -234,7 +236,7 @@ def texts_of_buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 text.append(np.repeat(np.arange(cut_, stop), len(own)))
             last = own
         every_v, every_b = np.concatenate(more_v), np.concatenate(more_b)
-        held_fp, held = fp[-1], (every_v[last], every_b[last])
+        held_fp, held = (fp[-1], slot[-1]), (every_v[last], every_b[last])
         if not of:
             continue
         of, text = np.concatenate(of), np.concatenate(text)
@@ -246,7 +248,7 @@ def texts_of_buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at in range(0, len(of), 20_000):
             p = slice(at, at + 20_000)
             columns = [every_v[of[p]], np.minimum(mine[p], other[p]), np.maximum(mine[p], other[p]), key[text[p]], root[text[p]], mine[p]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(6).take(pa.array(text[p]))], names)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(7).take(pa.array(text[p]))], names)
 
 
 def block_links(rows: Iterator[pa.RecordBatch], most: int, nearest: bool) -> Iterator[pa.RecordBatch]:
@@ -422,13 +424,13 @@ def _mixed(buckets: DataFrame, named: DataFrame) -> DataFrame:
 def _across(mixed: DataFrame, named: DataFrame, most: int, nearest: bool) -> DataFrame:
     """Pairs (x, y) within ``most`` bits that share a bucket and lie in different components: all, or nearest ones.
 
-    The texts of a fingerprint go to all its mixed buckets in one pass over both. Buckets of more than BLOCK texts are cut into blocks, and
+    The texts of a fingerprint, in SLOTS slots so that a hot one is spread over tasks, go to all its mixed buckets in one pass over both. Buckets of more than BLOCK texts are cut into blocks, and
     every pair of blocks is compared by itself; pairs over the bound never leave a task.
     """
     none, zero = F.lit(None).cast("array<bigint>"), F.lit(0).cast("long")
-    held = mixed.select("fp", zero.alias("kind"), "variant", "blocks", zero.alias("key"), zero.alias("root"), none.alias("wide"))
-    texts = named.select("fp", F.lit(1).cast("long").alias("kind"), zero.alias("variant"), zero.alias("blocks"), "key", "root", "wide")
-    both = held.unionByName(texts).repartition("fp").sortWithinPartitions("fp", "kind")
+    held = mixed.select("fp", "slot", zero.alias("kind"), "variant", "blocks", zero.alias("key"), zero.alias("root"), none.alias("wide"))
+    texts = named.select("fp", F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("long").alias("slot"), F.lit(1).cast("long").alias("kind"), zero.alias("variant"), zero.alias("blocks"), "key", "root", "wide")
+    both = held.unionByName(texts).repartition("fp", "slot").sortWithinPartitions("fp", "slot", "kind")
     rows = both.mapInArrow(texts_of_buckets, "variant bigint, low bigint, high bigint, key bigint, root bigint, own bigint, wide array<bigint>")
     rows = rows.repartition("variant", "low", "high").sortWithinPartitions("variant", "low", "high", "key")
     pairs = rows.mapInArrow(lambda part: block_links(part, most, nearest), "x bigint, y bigint, apart bigint")
