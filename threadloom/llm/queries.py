@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, licenses, packing, quality, secrets, sharding, simhash, suffix_dedup, vectors, warc
+from threadloom.llm import decontaminate, divergence, interactions, licenses, packing, quality, secrets, sharding, simhash, suffix_dedup, tokens, vectors, warc
 from threadloom.llm.common import table
 
 
@@ -56,7 +56,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_suffix_dedup, op3_best_fit_packing, op4_decontaminate, op5_warc_index, op6_cap_filters, op7_secret_scan, op8_simhash_groups, op9_quality, op10_license_scan)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_suffix_dedup, op3_best_fit_packing, op4_decontaminate, op5_warc_index, op6_cap_filters, op7_secret_scan, op8_simhash_groups, op9_quality, op10_license_scan, op11_token_counts, op12_source_divergence, op13_filter_interactions)}
 
 
 def _kind_sql(number: int, kind: str, pattern: str, group: int, least: int) -> str:
@@ -85,4 +97,26 @@ ORACLE_SQL: dict[str, str] = {
       g AS (SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex, count(*) FILTER (no = 3) AS n_live, count(*) FILTER (no < 3 AND NOT few) AS n_copied,
         string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, no) FILTER (no < 3) AS base, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, no) AS spans FROM w GROUP BY doc_id)
       SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)""",
+    "op12_source_divergence": r"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+      t AS (SELECT i, lang, source, unnest(w) AS term FROM d), c AS (SELECT i, lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+      kept AS (SELECT lang, term FROM c GROUP BY 1, 2 HAVING count(*) >= 30), o AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM c SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+      v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY 1), g AS (SELECT DISTINCT lang, source FROM d),
+      gn AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN o USING (lang, source) GROUP BY ALL),
+      p AS (SELECT gn.lang, gn.source, kept.term, coalesce(o.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 5)) // (total + 5 * v) AS p FROM gn JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN o ON o.lang = gn.lang AND o.source = gn.source AND o.term = kept.term),
+      l AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM o GROUP BY ALL), ln AS (SELECT lang, sum(n)::HUGEINT AS total FROM l GROUP BY 1), q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS q FROM l JOIN ln USING (lang) JOIN v USING (lang)),
+      s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+      pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+      tr AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+      r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pr UNION ALL FROM tr))
+      SELECT * FROM r WHERE part = 'pair' OR rank <= 50""",
+    "op13_filter_interactions": r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents), w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+      lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+      m AS (SELECT part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN w.doc_id > first THEN 'E' ELSE '' END AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w LEFT JOIN lab USING (doc_id)),
+      c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL), f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+      o AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5), s AS (SELECT o, unnest(range(1, 6))::INTEGER AS step FROM o),
+      x AS (SELECT part, o AS filter_order, step, o[step] AS own, c.*, NOT regexp_matches(fails, '[' || o[1:step] || ']') AS stays, step = 1 OR NOT regexp_matches(fails, '[' || o[1:greatest(step - 1, 1)] || ']') AS here, contains(fails, o[step]) AS bad FROM s, c),
+      y AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (stays), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND bad), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (bad AND NOT here), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (here AND bad), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (here AND bad), 0)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+      SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM y""",
 }
