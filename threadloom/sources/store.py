@@ -32,12 +32,8 @@ def save(spark: SparkSession, folder: str, meta: Meta, tables: dict[str, DataFra
 
 def load(spark: SparkSession, folder: str, wanted: Meta, batches_done: int, names: list[str]) -> dict[str, DataFrame] | None:
     """The saved tables, or None if version, source, name, mode, total or range do not fit."""
-    try:
-        row = spark.read.json(f"{folder}/{batches_done:08d}/_meta").first()
-    except Exception as e:  # Spark's own error for a path that is not there
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
+    record = f"{folder}/{batches_done:08d}/_meta"
+    row = spark.read.json(record).first() if exists(spark, record) else None
     fits = row is not None and (row["version"], row["source_sha256"], row["name"], row["mode"], row["batches_total"]) == (wanted.version, wanted.source_sha256, wanted.name, wanted.mode, wanted.batches_total) and 0 < row["batches_done"] <= wanted.batches_total
     return {n: spark.read.parquet(f"{folder}/{batches_done:08d}/{n}") for n in names} if fits else None
 
@@ -54,9 +50,20 @@ def remove(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def merged_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The JSON lines of all finished parts (folders with a success mark) below ``folder``."""
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether there is such a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def finished(spark: SparkSession, folder: str) -> list[str]:
+    """Parts below ``folder`` that were written whole, in order of their names."""
     pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/_SUCCESS")
     found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    parts = sorted(str(f.getPath().getParent()) for f in found)
+    return sorted(str(f.getPath().getParent()) for f in found)
+
+
+def merged_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The JSON lines of all finished parts (folders with a success mark) below ``folder``."""
+    parts = finished(spark, folder)
     return spark.read.schema(schema).json(parts) if parts else spark.createDataFrame([], schema)
