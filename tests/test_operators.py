@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import json_repair, model
+from threadloom.functions import replies as rp
 from threadloom.functions import text as tx
 from threadloom.functions import vectors as vx
 from threadloom.operators import build as bd
@@ -66,7 +67,7 @@ def test_cross_class_sweep_over_blocks(spark):
 
 
 def test_judge_labels(spark):
-    cases = [('Well {"label": "CORRECT"}', "CORRECT"), ("so\nWRONG", "WRONG"), ("not correct", "WRONG"), ("", "WRONG"), (None, "WRONG"), ("This is correct.", "WRONG"), ("It is correct, I think", "WRONG"), ("one\n correct \ntwo", "CORRECT"), ("CORRECT\nWRONG\n\n", "WRONG"), ('"label": "wrong"\nCORRECT', "WRONG"), ("wrong", "WRONG"), ('{"label": "maybe"}\nCORRECT', "CORRECT")]
+    cases = [('Well {"label": "CORRECT"}', "CORRECT"), ("so\nWRONG", "WRONG"), ("not correct", "WRONG"), ("", "WRONG"), (None, "WRONG"), ("This is correct.", "WRONG"), ("It is correct, I think", "WRONG"), ("one\n correct \ntwo", "CORRECT"), ("CORRECT\nWRONG\n\n", "WRONG"), ('"label": "wrong"\nCORRECT', "WRONG"), ("wrong", "WRONG"), ('{"label": "maybe"}\nCORRECT', "CORRECT"), ("{'label': 'CORRECT'}", "CORRECT"), ('```json\n{"label": "correct",}\n```\nWRONG', "CORRECT"), ('{"why": "no {braces}", "label": " wrong "}\nCORRECT', "WRONG"), ('{"label": "CORRECT", "why": "cut', "CORRECT"), ("{broken\nCORRECT", "CORRECT"), ('{"label": null}', "WRONG")]
     rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, a string").withColumn("l", ev.judge_label(F.col("a")))
     assert [r.l for r in sorted(rows.collect(), key=lambda r: r.i)] == [w for _, w in cases]
 
@@ -164,8 +165,44 @@ def test_model_calls_keep_rows(spark):
 
     rows = spark.createDataFrame([(i, f"p{i}") for i in range(50)], "i int, p string")
     assert {r.status for r in model.ask(rows, "p", Down).collect()} == {"empty"}
-    replies = spark.createDataFrame([(0, '{"a": 1}'), (1, '{"a": '), (2, ""), (3, None)], "i int, p string")
-    assert [r.status for r in sorted(model.ask(replies, "p", model.Recorded).collect())] == ["ok", "bad_json", "empty", "empty"]
+    cases = [('{"a": 1}', "ok"), ('{"a": ', "bad_json"), ("", "empty"), (None, "empty"), ('```json\n{"a": 1}\n```', "ok"), ('{"a": 1,}', "ok"), ("{'a': 1}", "bad_json"), (" \n", "empty"), ('so [{"a": "it\\\'s"},] it is', "ok"), ("7", "bad_json")]
+    replies = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(cases)], "i int, p string")
+    found = sorted(model.ask(replies, "p", model.Recorded).collect())
+    assert [r.status for r in found] == [w for _, w in cases]
+    assert [r.answer for r in found if r.status == "ok"] == ['{"a": 1}'] * 3 + ['[{"a": "it\'s"}]'] and found[1].answer == '{"a": '
+
+
+def test_instances_of_replies(spark):
+    one = '{"instance_name": "n", "attributes": {"k": {"description": "d", "value": "v", "occurred": "o", "recorded_at": "r"}}, "operations": {"go": {"description": "x"}}, "message_labels": ["1"]}'
+    cases = [(one, 1), (f"[{one}, 3, {one}]", 2), ("[7]", 0), ("{}", 0), ('{"attributes": {}}', 1), ('{"instances": []}', 0), ('{"instances": "none"}', None), ('{"other": 1}', None), ("no", None), (None, None), (f'{{"instances": [{one}, "x"]}}', 1)]
+    rows = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "i int, r string").select("i", rp.instances(F.col("r")).alias("x"))
+    found = [r.x for r in sorted(rows.collect())]
+    assert [None if x is None else len(x) for x in found] == [n for _, n in cases]
+    assert found[0][0].attributes["k"].occurred == "o" and found[0][0].operations["go"].description == "x" and found[0][0].message_labels == ["1"]
+
+
+def test_decisions_of_batches(spark):
+    reply = '{"decisions": [{"index": 0, "relation": "u_before_v"}, {"index": "1", "relation": "v_before_u"}, {"relation": "u_before_v"}, {"index": 2, "relation": "u_before_v"}, {"index": 2, "relation": "none"}]}'
+    rows = spark.createDataFrame([(i,) for i in range(4)], "i int").select("i", rp.relation(F.lit(reply), F.col("i"), F.lit("u"), F.lit("v")).alias("e"))
+    assert [r.e and tuple(r.e) for r in sorted(rows.collect())] == [("u", "v"), ("v", "u"), None, None]
+
+
+@pytest.mark.parametrize(("text", "most", "kept"), [("", 5, ""), ("abc", 0, "abc"), ("abcdef", 3, "abcdef"), ("  \n abcdef", 2, "  \n abcdef"), ("\n─── instance 1: abc", 10, "\n─── insta"), ("x\n─── instance 1: a\n─── instance 2: b", 25, "x\n─── instance 1: a"), ("x\n─── instance 1: a\n─── instance 2: b", 10, "x"), ("x\n─── instance 1: a\n─── instance 2: bb\n─── instance 3: c", 37, "x\n─── instance 1: a")])
+def test_contexts_end_with_whole_instances(spark, text, most, kept):
+    got = spark.createDataFrame([(text,)], "t string").select(ex.cut_context(F.col("t"), most).alias("c")).first().c
+    assert got == kept == plain_cut(text, most)
+
+
+def plain_cut(text, most):
+    head = "\n─── instance "
+    if most <= 0 or len(text) <= most:
+        return text
+    out, *parts = text.split(head)
+    for p in parts:
+        if len(out) + len(head) + len(p) > most:
+            break
+        out += head + p
+    return out if out.strip() else text[:most]
 
 
 def messages(spark, texts, size=2):

@@ -45,6 +45,25 @@ def repair(text: str | None) -> str | None:
     return None
 
 
+def strict(text: str | None) -> str | None:
+    """Valid JSON for a reply that is an object or an array but for a fence around it, words outside, apostrophes that are escaped and trailing commas; None for others, which count as broken."""
+    body = (text or "").strip()
+    if fenced := re.search(r"```(?:json)?\s*(.*?)\s*```", body, re.S | re.I):
+        body = fenced[1]
+    spans = [(i, j + 1) for i, j in ((body.find(a), body.rfind(b)) for a, b in ("[]", "{}")) if -1 < i < j]
+    if spans:
+        begin, end = min(spans)
+        body = body[begin:end]
+    bare = body.replace("\\'", "'")
+    for attempt in (body, bare, re.sub(r",\s*([}\]])", r"\1", body), re.sub(r",\s*([}\]])", r"\1", bare)):
+        try:
+            found = json.loads(attempt)
+        except ValueError:
+            continue
+        return json.dumps(found, ensure_ascii=False) if isinstance(found, dict | list) else None
+    return None
+
+
 def _closed(text: str) -> str:
     """The text with an open string and open brackets closed, a dangling comma or key taken off."""
     stack, inside, escaped = [], False, False

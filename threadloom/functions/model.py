@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from threadloom.functions.json_repair import strict
+
 
 class Client(Protocol):
     def complete(self, prompt: str) -> str: ...
@@ -26,6 +27,7 @@ class Recorded:
 def ask(rows: DataFrame, prompt: str, make_client: Callable[[], Client], tries: int = 2, wait: float = 0.0) -> DataFrame:
     """``rows`` with answer and status (ok, empty, bad_json), one client a task, ``tries`` calls a row, n times ``wait`` seconds after the n-th.
 
+    An answer that ``json_repair.strict`` can read is ok and is given as the JSON that was read; another one is given as it came.
     Rows come in Arrow batches; a call that raises counts as empty after the last try, and no row is lost.
     """
 
@@ -42,13 +44,11 @@ def ask(rows: DataFrame, prompt: str, make_client: Callable[[], Client], tries:
                         answer = client.complete(text or "")
                     except Exception:
                         continue
-                    if answer:
-                        try:
-                            json.loads(answer)
-                            state = "ok"
+                    if answer and answer.strip():
+                        if (found := strict(answer)) is not None:
+                            answer, state = found, "ok"
                             break
-                        except ValueError:
-                            state = "bad_json"
+                        state = "bad_json"
                 answers.append(answer)
                 states.append(state)
             yield batch.assign(answer=answers, status=states)

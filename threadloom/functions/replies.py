@@ -9,8 +9,9 @@ from threadloom.functions.json_repair import parsed
 
 FALLBACK = "Unclassified"  # fixed value: name of the class that takes what a reply does not place
 FACT = "\n[Inferred] "  # fixed value: what stands before inferred facts
-ATTRIBUTE = "struct<description:string,value:string>"
-INSTANCE = f"struct<instance_name:string,attributes:map<string,{ATTRIBUTE}>,uninstance_field:string>"
+ATTRIBUTE = "struct<description:string,value:string,occurred:string,recorded_at:string>"
+OPERATIONS, FUNCTIONS = "map<string,struct<description:string>>", "array<struct<class_id:string,instance_id:string,content:string>>"
+INSTANCE = f"struct<instance_name:string,attributes:map<string,{ATTRIBUTE}>,operations:{OPERATIONS},functions:{FUNCTIONS},message_labels:array<string>,uninstance_field:string>"
 
 
 def content(reply: Column) -> Column:
@@ -29,18 +30,33 @@ def new_classes(reply: Column) -> Column:
 
 
 def instances(reply: Column) -> Column:
-    """Instances of a reply in any of three shapes: a list, an object with ``instances``, or one object; null if it is none."""
+    """Instances of a reply in any of three shapes: a list, an object whose ``instances`` is a list, or one object with a name or attributes.
+
+    Elements of a list that are no objects are left out; an object without fields is no instance at all; null if a reply is none of these.
+    """
     text = parsed(reply)
-    listed = F.from_json(F.when(F.ltrim(text).startswith("["), text), f"array<{INSTANCE}>")
-    inner = F.from_json(F.get_json_object(text, "$.instances"), f"array<{INSTANCE}>")
-    one = F.from_json(F.when(F.ltrim(text).startswith("{"), text), INSTANCE)
-    return F.coalesce(listed, inner, F.when(one["instance_name"].isNotNull(), F.array(one)))
+    objects = lambda c: F.transform(F.filter(F.from_json(c, "array<string>"), lambda x: F.ltrim(x).startswith("{")), lambda x: F.from_json(x, INSTANCE))
+    listed = objects(F.when(F.ltrim(text).startswith("["), text))
+    whole = F.when(F.ltrim(text).startswith("{"), text)
+    keys, held = F.json_object_keys(whole), F.get_json_object(whole, "$.instances")
+    none = F.array().cast(f"array<{INSTANCE}>")
+    one = F.when(F.array_contains(keys, "instance_name") | F.array_contains(keys, "attributes"), F.array(F.from_json(whole, INSTANCE)))
+    return F.coalesce(listed, F.when(F.size(keys) == 0, none), objects(F.when(F.ltrim(held).startswith("["), held)), one)
 
 
 def text_instance(class_name: Column, messages: Column, context: Column) -> Column:
     """L2's fallback and L19: an instance of texts alone."""
     lines = F.array_join(F.concat(F.coalesce(context, F.array().cast("array<string>")), messages), "\n")
-    return F.struct(F.concat(class_name, F.lit(" instance")).alias("instance_name"), F.lit(None).cast(f"map<string,{ATTRIBUTE}>").alias("attributes"), lines.alias("uninstance_field"))
+    return F.struct(F.concat(class_name, F.lit(" instance")).alias("instance_name"), F.lit(None).alias("attributes"), F.lit(None).alias("operations"), F.lit(None).alias("functions"), F.lit(None).alias("message_labels"), lines.alias("uninstance_field")).cast(INSTANCE)
+
+
+def updated(have: Column, reply: Column, messages: Column, labels: Column) -> Column:
+    """L3, B2: an instance after a reply that was asked to update it with new messages: the first instance of the reply, whose name is kept where it gives none, else the instance with its text grown by the messages; labels are merged either way."""
+    new = F.try_element_at(instances(reply), F.lit(1))
+    merged = F.array_distinct(F.concat(F.coalesce(have["message_labels"], F.array().cast("array<string>")), F.transform(labels, lambda x: F.trim(x.cast("string")))))
+    pick = lambda name, other: F.when(new.isNotNull(), F.coalesce(new[name], have[name])).otherwise(other).alias(name)
+    text = pick("uninstance_field", updated_text(have["uninstance_field"], messages))
+    return F.struct(pick("instance_name", have["instance_name"]), pick("attributes", have["attributes"]), pick("operations", have["operations"]), have["functions"].alias("functions"), merged.alias("message_labels"), text).cast(INSTANCE)
 
 
 def updated_text(have: Column, messages: Column) -> Column:
@@ -66,9 +82,10 @@ def answer(reply: Column) -> Column:
     return F.coalesce(F.get_json_object(parsed(reply), "$.response"), F.lit(""))
 
 
-def relation(reply: Column, u: Column, v: Column) -> Column:
-    """The directed pair that a reply states for (u, v), null for none or anything else."""
-    said = F.get_json_object(parsed(reply), "$.relation")
+def relation(reply: Column, index: Column, u: Column, v: Column) -> Column:
+    """The directed pair that a batch's reply states for its pair (u, v) with number ``index``: the last decision with that number counts, null for none, for anything else and for a reply without decisions."""
+    got = F.from_json(parsed(reply), "decisions array<struct<index:string,relation:string>>")["decisions"]
+    said = F.try_element_at(F.filter(got, lambda d: d["index"].try_cast("int") == index), F.lit(-1))["relation"]
     return F.when(said == "u_before_v", F.struct(u.alias("src"), v.alias("dst"))).when(said == "v_before_u", F.struct(v.alias("src"), u.alias("dst")))
 
 

@@ -56,7 +56,7 @@ def q_keyword_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_edge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-occurrence as records of leg P with oriented pairs, pairs of brands as records of leg A with weight and provenance."""
-    h = ed.holders(baskets(spark, sf_dir), "l_orderkey", "p_brand", "l_partkey").where("label % 10 = 0")
+    h = ed.holders(baskets(spark, sf_dir), "l_orderkey", "p_brand", "l_partkey")
     p = ed.p_record(F.col("label").cast("string"), F.concat(F.lit("order "), F.col("label").cast("string")), F.col("members"))
     b = baskets(spark, sf_dir).select(F.col("l_orderkey").alias("o"), F.col("p_brand").alias("c")).distinct()
     both = b.join(b.select("o", F.col("c").alias("c2")), "o").where("c < c2").groupBy("c", "c2").agg(F.count("*").alias("n"))  # an order has seven lines at most
@@ -81,7 +81,7 @@ SQL = {
       SELECT dialog, session, label FROM (SELECT *, dense_rank() OVER (PARTITION BY dialog ORDER BY session) AS s FROM l) WHERE s <= 3 QUALIFY row_number() OVER (PARTITION BY dialog ORDER BY label) <= 12""",
     "q_label_member": "SELECT l_orderkey, count(DISTINCT l_linenumber) AS n_lines FROM lineitem GROUP BY 1 HAVING bool_or(l_linenumber = 3)",
     "q_keyword_forms": "SELECT user_id % 10 AS u, string_agg(DISTINCT 'event ' || event_type || ' kind', '|' ORDER BY 'event ' || event_type || ' kind') AS keywords FROM events GROUP BY 1",
-    "q_edge_records": """WITH b AS (SELECT DISTINCT l_orderkey AS o, p_brand AS c, p_brand || ':' || l_partkey AS id FROM lineitem JOIN part ON l_partkey = p_partkey), h AS (SELECT o, list_sort(list(DISTINCT id)) AS m FROM b WHERE o % 10 = 0 GROUP BY 1 HAVING count(DISTINCT id) > 1), d AS (SELECT DISTINCT o, c FROM b)
+    "q_edge_records": """WITH b AS (SELECT DISTINCT l_orderkey AS o, p_brand AS c, p_brand || ':' || l_partkey AS id FROM lineitem JOIN part ON l_partkey = p_partkey), h AS (SELECT o, list_sort(list(DISTINCT id)) AS m FROM b GROUP BY 1 HAVING count(DISTINCT id) > 1), d AS (SELECT DISTINCT o, c FROM b)
       SELECT 'P' AS edge_leg, o::VARCHAR AS label, array_to_string(m, ',') AS connections, len(m)::BIGINT - 1 AS n_pairs, NULL::DOUBLE AS weight, NULL::VARCHAR AS provenance FROM h
       UNION ALL SELECT 'A', x.c || '-' || y.c, x.c || ',' || y.c, 0, count(*)::DOUBLE, 'orders' FROM d x JOIN d y USING (o) WHERE x.c < y.c GROUP BY x.c, y.c""",
     "q_entity_lookup": "SELECT CASE WHEN p_partkey % 10 = 0 THEN 'Brand#none' ELSE p_brand END || ':' || p_partkey AS entity_id, CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_name END AS name, p_partkey % 10 <> 0 AS known FROM part WHERE p_partkey % 5 = 0",

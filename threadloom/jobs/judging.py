@@ -61,13 +61,15 @@ def q_qa_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_judge_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answers of a judge in seven shapes are read back."""
+    """The answers of a judge in ten shapes are read back, with fields in single quotes, before a trailing comma and inside a cut-off object among them."""
     l = table(spark, sf_dir, "labels")
     word = F.when(F.col("quality") == 1, "CORRECT").otherwise("WRONG")
-    shape = F.col("doc_id") % 7
+    shape = F.col("doc_id") % 10
     said = F.when(shape == 0, F.concat(F.lit('Reason. {"label": "'), word, F.lit('"}'))).when(shape == 1, F.concat(F.lit("Because of this\n"), word))
     said = said.when(shape == 2, F.concat(F.lit("It is "), F.lower(word), F.lit(", I think"))).when(shape == 3, F.concat(F.lit("First\n "), F.lower(word), F.lit(" \nbecause of this")))
-    said = said.when(shape == 4, F.concat(F.lit('"LABEL" : "'), F.lower(word), F.lit('" and WRONG'))).when(shape == 5, F.concat(word, F.lit("\r\nWRONG\r\n\r\n"))).otherwise("")
+    said = said.when(shape == 4, F.concat(F.lit('"LABEL" : "'), F.lower(word), F.lit('" and WRONG'))).when(shape == 5, F.concat(word, F.lit("\r\nWRONG\r\n\r\n")))
+    said = said.when(shape == 6, F.concat(F.lit("{'label': '"), word, F.lit("'}"))).when(shape == 7, F.concat(F.lit('```json\n{"label": " '), F.lower(word), F.lit(' ",}\n```\nWRONG')))
+    said = said.when(shape == 8, F.concat(F.lit('{"label": "'), word, F.lit('", "why": "it'))).otherwise("")
     return l.select("doc_id", ev.judge_label(said).alias("label"))
 
 
@@ -127,7 +129,7 @@ SQL = {
     "q_weighted_accuracy": f"WITH {_J} SELECT lang, sum(quality)::BIGINT AS n_right, count(*) AS n_total, round(sum(quality) / count(*)::DOUBLE, 6) AS accuracy FROM j GROUP BY 1",
     "q_scalability": "SELECT ceil(log2(greatest(n_chars, 1)))::BIGINT AS size_class, count(*) AS n, round(avg(n_chars), 4) AS mean_chars, round(coalesce(avg(quality), 0), 6) AS accuracy FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "q_qa_resume": "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)",
-    "q_judge_label": "SELECT doc_id, CASE WHEN quality = 1 AND doc_id % 7 IN (0, 1, 3, 4) THEN 'CORRECT' ELSE 'WRONG' END AS label FROM labels",
+    "q_judge_label": "SELECT doc_id, CASE WHEN quality = 1 AND doc_id % 10 IN (0, 1, 3, 4, 6, 7, 8) THEN 'CORRECT' ELSE 'WRONG' END AS label FROM labels",
     "q_conflict_matrix": "SELECT count(*) FILTER (toxic = 1 AND quality = 0) AS n_both, count(*) FILTER (toxic = 1 AND quality <> 0) AS n_warning_only, count(*) FILTER (toxic <> 1 AND quality = 0) AS n_error_only FROM labels",
     "q_conflict_groups": f"WITH {_J} SELECT source, count(*) FILTER (category <= 2) AS n_old, count(*) FILTER (category > 2) AS n_new FROM j GROUP BY 1 HAVING n_new > 0",
     "q_conflict_match": r"WITH b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}]{3,}'))) AS w FROM benchmark) SELECT a.item_id, b.item_id AS other, count(*) AS n_shared FROM b a JOIN b USING (w) WHERE a.item_id < b.item_id GROUP BY ALL HAVING count(*) >= 5",

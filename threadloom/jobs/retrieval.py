@@ -21,10 +21,10 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(record, content): the first line of a record's first document, and its source."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), "source", F.split(F.coalesce("text", F.lit("")), "\n", 2)[0].alias("line"))
+    """(record, content): the text of a record's first document and its source."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), F.concat_ws(" ", F.coalesce("text", F.lit("")), "source").alias("content"))
     first = _records(spark, sf_dir).groupBy("record").agg(F.min("node").alias("node"))
-    return first.join(d, "node").select("record", F.concat_ws(" ", "line", "source").alias("content"))
+    return first.join(d, "node").select("record", "content")
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def q_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     near, _, _ = stored(near)
     both = found.select(F.col("item_id").alias("qid"), F.col("doc_id").alias("node"), (2 - F.col("stage")).alias("part"), "rank")
     both = both.unionByName(near.select("qid", "node", F.lit(2).cast("long").alias("part"), "rank"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), "source", F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("text"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), "source", F.coalesce("text", F.lit("")).alias("text"))
     block = ex.instance_block(F.col("rank"), F.col("source"), F.col("text"))
     blocks = both.join(d, "node").select("qid", F.struct("part", "rank").alias("place"), block.alias("block"))
     head = near.groupBy("qid").agg(F.count("*").alias("n")).select("qid", F.struct(F.lit(2).cast("long").alias("part"), F.lit(0).cast("long").alias("rank")).alias("place"), ex.neighbour_header(["P"], HOPS, F.col("n")).alias("block"))
@@ -72,12 +72,12 @@ def q_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_class_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands as classes in one line each, with their containers and the names of their first five parts."""
+    """Brands as classes with their kinds and the names of all their parts, a hundred parts a line, so that no class is gathered whole."""
     p = table(spark, sf_dir, "part")
-    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    names = p.withColumn("r", rank).where("r <= 5").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "p_name"))), lambda x: x["p_name"]).alias("names"))
+    chunk = F.floor((F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1) / 100).cast("long")
+    names = p.withColumn("chunk", chunk).groupBy("p_brand", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]).alias("names"))
     kinds = p.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("kinds"))
-    return kinds.join(names, "p_brand").select("p_brand", ex.class_line(F.lower(F.translate("p_brand", "#", "_")), F.col("p_brand"), F.col("kinds"), F.col("names")).alias("line"))
+    return kinds.join(names, "p_brand").select("p_brand", "chunk", F.sha2(ex.class_line(F.lower(F.translate("p_brand", "#", "_")), F.col("p_brand"), F.col("kinds"), F.col("names")), 256).alias("line_sha256"))
 
 
 def q_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,22 +103,28 @@ def _level(hop: int, frontier: str, known: str) -> str:
 
 _EXPANDED = f"""{_TWO_CTES}, seeds AS ({_TWO_LAST}), k AS (SELECT item_id, {rk._KEYS} AS keys FROM benchmark),
       rec AS (SELECT doc_id, concat_ws(':', coalesce(lang, ''), (doc_id // 16)::VARCHAR) AS record FROM documents WHERE doc_id IS NOT NULL),
-      con AS (SELECT record, concat_ws(' ', string_split(coalesce(text, ''), E'\\n')[1], source) AS content FROM (SELECT record, min(doc_id) AS doc_id FROM rec GROUP BY 1) JOIN documents USING (doc_id)),
+      con AS (SELECT record, concat_ws(' ', coalesce(text, ''), source) AS content FROM (SELECT record, min(doc_id) AS doc_id FROM rec GROUP BY 1) JOIN documents USING (doc_id)),
       near AS (SELECT DISTINCT a.doc_id, b.doc_id AS near FROM rec a JOIN rec b USING (record) WHERE a.doc_id <> b.doc_id),
       {_level(1, 'seeds', 'seeds')}, v1 AS (SELECT item_id, doc_id FROM seeds UNION SELECT item_id, doc_id FROM l1), {_level(2, 'l1', 'v1')},
       c2 AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM (FROM l1 UNION ALL FROM l2)),
       e AS (SELECT item_id, doc_id, hop, score, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN n <= {MOST} THEN score WHEN score > 0 THEN round(score + 0.05::DOUBLE * (hop - 1), 6) ELSE score END DESC, doc_id) AS rank FROM c2 QUALIFY rank <= {MOST})"""
 
+# pieces of a context begin at the heads of instances; whole ones stay while they fit
+_CUT = f"""joined AS (SELECT item_id, string_agg(block, E'\\n\\n' ORDER BY part, rank) AS whole FROM blocks GROUP BY 1), pieces AS (SELECT item_id, whole, string_split(whole, E'\\n─── instance ') AS p FROM joined),
+      piece AS (SELECT item_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM pieces), fits AS (SELECT item_id, i, piece, sum(length(piece) + CASE WHEN i > 1 THEN {len(ex.INSTANCE_HEAD)} ELSE 0 END) OVER (PARTITION BY item_id ORDER BY i) AS used FROM piece),
+      kept AS (SELECT item_id, string_agg(piece, E'\\n─── instance ' ORDER BY i) AS text FROM fits WHERE used <= {CHARS} OR i = 1 GROUP BY 1),
+      shown AS (SELECT item_id, CASE WHEN length(whole) <= {CHARS} THEN whole WHEN regexp_replace(text, '\\s', '', 'g') = '' THEN left(whole, {CHARS}) ELSE text END AS context FROM joined JOIN kept USING (item_id))"""
+
 SQL = {
     "q_graph_expand": f"{_EXPANDED} SELECT item_id, doc_id, hop, score, rank FROM e",
     "q_retrieve": f"""{_EXPANDED}, parts AS (SELECT item_id, doc_id, 2 - stage AS part, rank FROM seeds UNION ALL SELECT item_id, doc_id, 2, rank FROM e),
-      blocks AS (SELECT item_id, part, rank, E'\\n--- instance ' || rank || ': ' || coalesce(source, 'none') || E' ---\\n' || left(coalesce(text, ''), 200) AS block FROM parts JOIN documents USING (doc_id)
+      blocks AS (SELECT item_id, part, rank, E'\\n─── instance ' || rank || ': ' || coalesce(source, 'none') || E' ───\\n' || coalesce(text, '') AS block FROM parts JOIN documents USING (doc_id)
         UNION ALL SELECT item_id, 2, 0, E'\\n─── Graph neighbor context (DualGraph traversal, legs=P, hops≤{HOPS}, max ' || count(*) || E' instances) ───\\n' FROM e GROUP BY item_id),
-      shown AS (SELECT item_id, left(string_agg(block, E'\\n\\n' ORDER BY part, rank), {CHARS}) AS context FROM blocks GROUP BY 1)
+      {_CUT},
       SELECT item_id, count(*) FILTER (part = 0) AS n_global, count(*) FILTER (part = 1) AS n_in_class, count(*) FILTER (part = 2) AS n_near, length(any_value(context))::BIGINT AS n_chars, sha256(any_value(context)) AS context_sha256 FROM parts JOIN shown USING (item_id) GROUP BY item_id""",
-    "q_class_lines": """WITH n AS (SELECT p_brand, string_agg(p_name, ', ' ORDER BY p_partkey) AS names FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 5) GROUP BY 1),
+    "q_class_lines": """WITH c AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 100 AS chunk FROM part), n AS (SELECT p_brand, chunk, string_agg(p_name, ', ' ORDER BY p_partkey) AS names FROM c GROUP BY ALL),
       k AS (SELECT p_brand, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS kinds FROM part GROUP BY 1)
-      SELECT p_brand, p_brand || ' (' || lower(replace(p_brand, '#', '_')) || '): attributes: ' || kinds || '; instances: ' || names AS line FROM k JOIN n USING (p_brand)""",
+      SELECT p_brand, chunk, sha256(p_brand || ' (' || lower(replace(p_brand, '#', '_')) || '): attributes: ' || kinds || '; instances: ' || names) AS line_sha256 FROM k JOIN n USING (p_brand)""",
     "q_prompt_lines": """SELECT conv_id, sha256(string_agg(CASE WHEN a THEN '标签' || turn || ': ' ELSE '- ' END || coalesce(text, ''), E'\\n' ORDER BY turn)) AS lines_sha256
       FROM (SELECT *, bool_or(role = 'assistant') OVER (PARTITION BY conv_id) AS a FROM conversations) GROUP BY conv_id""",
 }

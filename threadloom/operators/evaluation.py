@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.json_repair import parsed
+
 RIGHT, WRONG = "CORRECT", "WRONG"
 
 
 def judge_label(answer: Column) -> Column:
-    """Label of a judge's answer: a ``label`` field, else the last of its lines that is a label and nothing else, else WRONG.
+    """Label of a judge's answer: a ``label`` field of the object in it, which is repaired if need be, else such a field as text, else the last of its lines that is a label and nothing else, else WRONG.
 
     Words inside a sentence never count, so that "not correct" and "it is correct, I think" are WRONG. Null counts as empty.
     """
     text = F.coalesce(answer, F.lit(""))
-    field = F.upper(F.regexp_extract(text, r'(?i)"label"\s*:\s*"\s*(correct|wrong)\s*"', 1))
+    held = F.upper(F.trim(F.get_json_object(parsed(F.when(F.contains(text, F.lit("{")), text)), "$.label")))
+    field = F.upper(F.regexp_extract(text, r'(?i)"label"\s*:\s*"(correct|wrong)"', 1))
     lines = F.transform(F.split(text, r"[\r\n\x0B\f\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.upper(F.regexp_replace(x, r"^\s+|\s+$", "")))
     last = F.try_element_at(F.filter(lines, lambda x: x.isin(RIGHT, WRONG)), F.lit(-1))
-    return F.when(field != "", field).otherwise(F.coalesce(last, F.lit(WRONG)))
+    return F.when(held.isin(RIGHT, WRONG), held).when(field != "", field).otherwise(F.coalesce(last, F.lit(WRONG)))
 
 
 def asked(questions: DataFrame, order: str, most: int = 0, skip: int | None = None, only: int | None = None, category: str = "category") -> DataFrame:
