@@ -107,7 +107,7 @@ def test_divergence(spark, least, top, first):
 def test_terms_that_share_prefixes_fall_away(spark):
     """Each prefix of these terms is frequent, each term is not: only the exact last level can tell."""
     rows = [(i, f"sharedprefix{chr(97 + i % 20)}tail common", "en", "a") for i in range(100)]
-    kept, n = divergence.kept_terms(spark.createDataFrame(rows, SCHEMA), 30)
+    kept, n, _ = divergence.kept_terms(spark.createDataFrame(rows, SCHEMA), 30)
     assert [(bytes(r.prefix), r.lang) for r in kept.collect()] == [(b"common\0", "en")] and n == 1
 
 

@@ -34,10 +34,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Codes of the words of all texts in a row, the values of the codes, and where each text's words begin.
-
-    The values also hold the blanks between words, which no code of a word points to.
-    """
+    """Codes of the words of all texts in a row, the different words, and where each text's words begin."""
     mapped = table[data]
     letter, head = mapped != BLANK, np.zeros(len(mapped) + 1, bool)
     head[offsets] = True
@@ -45,13 +42,12 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     begins[1:] &= head[1:-1] | ~letter[:-1]
     ends[:-1] &= head[1:-1] | ~letter[1:]
     begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    cuts = np.empty(2 * len(begins), np.int64)
-    cuts[0::2], cuts[1::2] = begins, ends
-    if not len(cuts):
+    if not len(begins):
         return np.empty(0, np.int64), pa.array([], pa.large_binary()), np.zeros(len(offsets), np.int64)
-    pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(mapped)])
+    cuts = np.concatenate([[0], np.cumsum(ends - begins)])  # of the words without the blanks between them
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(cuts), pa.py_buffer(mapped[letter])])
     coded = pieces.dictionary_encode()
-    return coded.indices.to_numpy()[0::2].astype(np.int64), coded.dictionary, np.searchsorted(begins, offsets)
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, np.searchsorted(begins, offsets)
 
 
 def distinct(rows: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

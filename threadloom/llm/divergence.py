@@ -15,36 +15,81 @@ from threadloom.llm.common import batches, stored
 from threadloom.llm.suffix_dedup import filter_of, in_filter
 
 END = b"\0"  # stands behind a complete term; no term holds it
-FIRST = 6  # bytes of the first level's prefixes; every level doubles them
+FIRST = 8  # bytes of the first level's prefixes; every level doubles them
 UNITS, PRIOR, FEW_GROUPS = 1_000_000_000, 5, 50_000
 BATCH = 8 << 20
 
 
-def _coded(column: pa.Array) -> tuple[np.ndarray, list[str]]:
+def _coded(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     coded = column.dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-
-
-def _key(lang: str, prefix: bytes) -> int:
-    """64 bits of a prefix in its language, as a signed number."""
-    h = xxhash.xxh64_intdigest(prefix, xxhash.xxh32_intdigest(lang))
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _prefix(term: bytes, length: int) -> bytes:
-    return (term + END)[:length]
-
-
-def _batch(batch: pa.RecordBatch, before: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Document and term of every word of ``before`` bytes or more, and the terms."""
-    data, offsets = raw(batch.column(batch.schema.get_field_index("text")))
-    codes, values, at = words(data, offsets, letter_table())
-    docs = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
-    if before and len(codes):
-        long = np.diff(np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]) >= before
-        keep = long[codes]
-        docs, codes = docs[keep], codes[keep]
-    return docs, codes, values.to_pylist()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+class Pairs:
+    """The different (language, term) pairs of a batch, and which one each of its words is; terms shorter than ``least`` bytes are left out."""
+
+    def __init__(self, batch: pa.RecordBatch, least: int = 0):
+        data, offsets = raw(batch.column(batch.schema.get_field_index("text")))
+        codes, values, at = words(data, offsets, letter_table())
+        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
+        lang, self.langs = _coded(batch.column(batch.schema.get_field_index("lang")))
+        self.values, self.ends = values, np.frombuffer(values.buffers()[1], np.int64)[values.offset :][: len(values) + 1] if len(values) else np.zeros(1, np.int64)
+        self.bytes = np.frombuffer(values.buffers()[2], np.uint8) if len(values) and values.buffers()[2] else np.zeros(0, np.uint8)
+        if least:
+            keep = (np.diff(self.ends) >= least)[codes]
+            self.doc, codes = self.doc[keep], codes[keep]
+        of_word = lang[self.doc] * max(len(values), 1) + codes
+        if len(self.langs) * len(values) <= 1 << 25:
+            seen = np.zeros(max(len(self.langs) * len(values), 1), bool)
+            seen[of_word] = True
+            found = np.flatnonzero(seen)
+            place = np.cumsum(seen) - 1
+            self.word = place[of_word]
+        else:
+            found, self.word = np.unique(of_word, return_inverse=True)
+        self.lang, self.term = found // max(len(values), 1), found % max(len(values), 1)
+        seeds = [xxhash.xxh64_intdigest(g) for g in self.langs.to_pylist()]
+        self.seed = np.array(seeds, np.uint64)[self.lang] if seeds else np.empty(0, np.uint64)
+
+    def narrow(self, keep: np.ndarray) -> None:
+        """Go on with these pairs and their words alone."""
+        place = np.where(keep, np.cumsum(keep) - 1, -1)
+        word = place[self.word] if len(self.word) else self.word
+        self.doc, self.word = self.doc[word >= 0], word[word >= 0]
+        self.lang, self.term, self.seed = self.lang[keep], self.term[keep], self.seed[keep]
+
+    def prefixes(self, length: int, pick: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``length`` bytes of each pair's term, filled up with zeros, and 64 bits of them, of their number with the end mark, and of the language.
+
+        The bits of a complete term are the same for every length that it has room in.
+        """
+        begin, size = self.ends[self.term[pick]], self.sizes(length)[pick]
+        out = np.zeros((len(begin), -(-length // 8) * 8), np.uint8)
+        for i in range(length):
+            inside = np.flatnonzero(self.ends[self.term[pick] + 1] - begin > i)
+            out[inside, i] = self.bytes[begin[inside] + i]
+        key = self.seed[pick] ^ size.astype(np.uint64)
+        for j, column in enumerate(out.view(np.uint64).T):
+            key = np.where(size > 8 * j, _mixed(key * np.uint64(31) + _mixed(column)), key)
+        return out, key.view(np.int64)
+
+    def keys(self, first: int, longest: int) -> np.ndarray:
+        """The same 64 bits of whole terms, by classes of length, so that no short term takes the room of a long one."""
+        key, low, length = np.zeros(len(self.term), np.int64), 0, first
+        while low < longest:
+            pick = np.flatnonzero((self.sizes(length + 1) > low) & (self.sizes(length + 1) <= length))
+            key[pick] = self.prefixes(length, pick)[1]
+            low, length = length, 2 * length
+        return key
+
+    def sizes(self, length: int) -> np.ndarray:
+        """Bytes of each prefix, with the end mark where the term is complete."""
+        return np.minimum((self.ends[1:] - self.ends[:-1])[self.term] + 1, length) if len(self.term) else np.empty(0, np.int64)
 
 
 def _survivors(docs: DataFrame, length: int, before: int, known, least: int) -> DataFrame:
@@ -56,27 +101,29 @@ def _survivors(docs: DataFrame, length: int, before: int, known, least: int) ->
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, most=BATCH):
-            lang, langs = _coded(batch.column(batch.schema.get_field_index("lang")))
-            doc, code, terms = _batch(batch, before)
-            doc, code, _ = distinct(doc, code, len(terms))
-            of_term, inverse = np.unique(lang[doc] * max(len(terms), 1) + code, return_inverse=True)
-            pairs = [(langs[x // len(terms)], terms[x % len(terms)]) for x in of_term.tolist()]
-            if known is not None and pairs:
-                alive = in_filter(known.value, np.array([_key(g, _prefix(t, before)) for g, t in pairs], np.int64))
-                doc, inverse = doc[alive[inverse]], inverse[alive[inverse]]
-                pairs = [p if a else None for p, a in zip(pairs, alive.tolist())]
-            ids: dict[tuple[str, bytes], int] = {}
-            number = np.array([-1 if p is None else ids.setdefault((p[0], _prefix(p[1], length)), len(ids)) for p in pairs], np.int64)
-            _, found, _ = distinct(doc, number[inverse], max(len(ids), 1))
-            n = np.bincount(found, minlength=len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in ids], pa.string()), pa.array([p for _, p in ids], pa.binary()), pa.array([_key(g, p) for g, p in ids], pa.int64()), pa.array(n, pa.int64())], ["lang", "prefix", "key", "docs"])
+            pairs = Pairs(batch, before)
+            if known is not None:
+                pairs.narrow(in_filter(known.value, pairs.prefixes(before)[1]))
+            shown, key = pairs.prefixes(length)
+            # language, bytes and size together are exact; equal ones are found by hashing in Arrow
+            exact = np.concatenate([pairs.lang.astype("<i4").view(np.uint8).reshape(-1, 4), pairs.sizes(length).astype("<i4").view(np.uint8).reshape(-1, 4), shown], axis=1)
+            coded = pa.Array.from_buffers(pa.binary(exact.shape[1]), len(exact), [None, pa.py_buffer(np.ascontiguousarray(exact))]).dictionary_encode()
+            number = coded.indices.to_numpy().astype(np.int64)
+            n = len(coded.dictionary)
+            first = np.empty(n, np.int64)
+            first[number[::-1]] = np.arange(len(number))[::-1]
+            _, found, _ = distinct(pairs.doc, number[pairs.word] if len(number) else pairs.word, max(n, 1))
+            size = pairs.sizes(length)[first]
+            flat = shown[first][np.arange(shown.shape[1]) < size[:, None]]
+            prefix = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([pairs.langs.take(pa.array(pairs.lang[first])).cast(pa.string()), prefix, pa.array(key[first]), pa.array(np.bincount(found, minlength=n), pa.int64())], ["lang", "prefix", "key", "docs"])
 
     counted = docs.select("lang", "text").mapInArrow(run, "lang string, prefix binary, key long, docs long")
     return counted.groupBy("lang", "prefix", "key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
 
 
-def kept_terms(docs: DataFrame, least: int = 30, first: int = FIRST) -> tuple[DataFrame, int]:
-    """(lang, prefix, key) of every complete term in ``least`` documents of its language or more, and how many they are.
+def kept_terms(docs: DataFrame, least: int = 30, first: int = FIRST) -> tuple[DataFrame, int, int]:
+    """(lang, prefix, key) of every complete term in ``least`` documents of its language or more, how many they are, and the length of the last level.
 
     A term has no more documents than any of its prefixes. So prefixes are counted level by level, each twice as
     long as those before; those in too few documents fall away with all their terms, and only terms whose prefix
@@ -94,33 +141,36 @@ def kept_terms(docs: DataFrame, least: int = 30, first: int = FIRST) -> tuple[Da
         left = open_.count() if n else 0
         total += n - left
         if not left:
-            return kept.select("lang", "prefix", "key"), total
+            return kept.select("lang", "prefix", "key"), total, length
         known = spark.sparkContext.broadcast(filter_of(open_.select("key"), left))  # of bounded size
         before, length = length, 2 * length
 
 
-def term_counts(docs: DataFrame, kept: DataFrame, total: int) -> DataFrame:
-    """(lang, source, term, n): how often each kept term occurs in each group; terms that do not occur have no row."""
+def term_counts(docs: DataFrame, kept: DataFrame, total: int, first: int, longest: int) -> DataFrame:
+    """(lang, source, term, n): how often each kept term occurs in each group; terms that do not occur have no row.
+
+    ``longest`` is the length of the last level, which all kept terms and their end marks have room in.
+    """
     known = docs.sparkSession.sparkContext.broadcast(filter_of(kept.select("key"), total))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, most=BATCH):
-            lang, langs = _coded(batch.column(batch.schema.get_field_index("lang")))
+            pairs = Pairs(batch)
+            pairs.narrow(pairs.sizes(longest + 1) <= longest)
+            pairs.narrow(in_filter(known.value, pairs.keys(first, longest)))
             source, sources = _coded(batch.column(batch.schema.get_field_index("source")))
-            doc, code, terms = _batch(batch, 0)
-            size = max(len(terms), 1)
-            # which terms of which language may be kept, each looked up once
-            pairs, inverse = np.unique(lang[doc] * size + code, return_inverse=True)
-            alive = in_filter(known.value, np.array([_key(langs[x // size], terms[x % size] + END) for x in pairs.tolist()], np.int64)) if len(pairs) else np.empty(0, bool)
-            keep = alive[inverse] if len(pairs) else np.empty(0, bool)
-            doc, code = doc[keep], code[keep]
-            group, code, n = distinct(lang[doc] * len(sources) + source[doc], code, size)
-            names = pa.array([t.decode("utf-8", "replace") for t in terms], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(group // max(len(sources), 1))), pa.array(sources, pa.string()).take(pa.array(group % max(len(sources), 1))), names.take(pa.array(code)), pa.array(n, pa.int64())], ["lang", "source", "term", "n"])
-
-    counted = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    names = kept.select("lang", F.expr("decode(substring(prefix, 1, length(prefix) - 1), 'UTF-8')").alias("term"))
-    return counted.join(names, ["lang", "term"]).select("lang", "source", "term", "n")
+            if len(sources) * len(pairs.term) <= 1 << 24:
+                n = np.bincount(source[pairs.doc] * max(len(pairs.term), 1) + pairs.word, minlength=1)
+                found = np.flatnonzero(n)
+                group, pair, n = found // max(len(pairs.term), 1), found % max(len(pairs.term), 1), n[found]
+            else:
+                group, pair, n = distinct(source[pairs.doc], pairs.word, len(pairs.term))
+            terms = pairs.values.take(pa.array(pairs.term)).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pairs.langs.take(pa.array(pairs.lang[pair])).cast(pa.string()), sources.take(pa.array(group)).cast(pa.string()), terms.take(pa.array(pair)), pa.array(n, pa.int64())], ["lang", "source", "term", "n"])
+
+    counted = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term binary, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    names = kept.select("lang", F.expr("substring(prefix, 1, length(prefix) - 1)").alias("term"))
+    return counted.join(names, ["lang", "term"]).select("lang", "source", F.col("term").cast("string").alias("term"), "n")
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -147,8 +197,8 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50, first: int = FIRST) -
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     docs = docs.select(empty("lang"), empty("source"), empty("text"))
-    kept, total = kept_terms(docs, least, first)
-    counts, _, _ = stored(term_counts(docs, kept, total))
+    kept, total, longest = kept_terms(docs, least, first)
+    counts, _, _ = stored(term_counts(docs, kept, total, first, longest))
     terms = kept.groupBy("lang").agg(F.count("*").alias("v"))
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("all"), F.count("*").alias("own"))
     groups = docs.groupBy("lang", "source").agg(F.lit(1).alias("_")).drop("_").join(sums, ["lang", "source"], "left").join(terms, "lang", "left")
