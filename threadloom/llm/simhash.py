@@ -366,11 +366,13 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 2
             if step == "twins":
                 pairs = _twins(mine)
             else:
-                named = mine.join(_named(wide, roots), "key").select("fp", "key", "root", "wide")
+                named = mine.join(roots.withColumnRenamed("node", "key"), "key", "left").select("fp", "key", F.coalesce("root", "key").alias("root"))
                 mixed, n, _ = stored(_mixed(buckets, named))
                 if not n:
                     break
-                pairs = _across(mixed, named, most, step == "nearest")
+                # all fingerprints of a text are needed only where one of them is in a mixed bucket
+                met = named.join(mixed.select("fp").distinct(), "fp", "left_semi").join(wide.withColumnRenamed("fp", "wide"), "key")
+                pairs = _across(mixed, met, most, step == "nearest")
             pairs, n, _ = stored(pairs)
             if n:
                 used = pairs.select(F.col("x").alias("key")).unionAll(pairs.select(F.col("y").alias("key"))).distinct()
@@ -407,11 +409,6 @@ def _twins(mine: DataFrame) -> DataFrame:
     return mine.repartitionByRange("fp", "key").sortWithinPartitions("fp", "key").mapInArrow(chain, "x bigint, y bigint").distinct()
 
 
-def _named(wide: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, root and all fingerprints of each text; a text without links is its own root."""
-    return wide.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.col("fp").alias("wide"))
-
-
 def _mixed(buckets: DataFrame, named: DataFrame) -> DataFrame:
     """MIXED rows of the buckets (variant, fp) in which texts (fp, key, root, ...) of two components or more meet."""
     span = named.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("texts")).withColumn("variant", F.lit(-1).cast("long"))
