@@ -6,15 +6,16 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import build
+from threadloom.operators import build, qa
 from threadloom.sources import store
 from threadloom.streaming import build as stream
+from threadloom.streaming import instances
 
 SCHEMA = "dialog bigint, step bigint, label bigint, message string, context string"
 WORDS = ["river", "boat", "lake", "stone", "bread", "flour", "oven", "salt", "engine", "wheel", "brake", "the", "of", "x", "été", "日本"]
 
 
-def rows(seed=1, dialogs=4, steps=4):
+def rows(seed=1, dialogs=3, steps=3):
     rng, out = random.Random(seed), []
     for d in range(dialogs):
         label = 0
@@ -51,7 +52,7 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
 
 
 def test_rows_of_finished_steps_change_nothing(spark, tmp_path):
-    made, folder = rows(5, 2, 3), str(tmp_path)
+    made, folder = rows(5, 2, 2), str(tmp_path)
     for _ in range(2):
         spark.createDataFrame(made, SCHEMA).write.mode("append").parquet(f"{folder}/in")
         state = plain(stream.advance(spark.readStream.schema(SCHEMA).parquet(f"{folder}/in"), f"{folder}/out", "a", 0.1, 3))
@@ -84,3 +85,50 @@ def test_a_folder_refuses_another_source(spark, tmp_path):
 def test_builds_of_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert build.build(none).count() == 0 and stream.fold(none).count() == 0
+
+
+@pytest.mark.parametrize("merging", [False, True])
+def test_instances_without_classes_over_a_stream(spark, tmp_path, merging):
+    class Merging(instances.Plain):
+        """One instance of all that is new, named by its first message."""
+
+        def create(self, messages, context):
+            return [(f"[{context}] {messages[0]}", list(range(len(messages))))]
+
+    writer = Merging if merging else instances.Plain
+    made, folder = rows(7, 2, 3), str(tmp_path)
+    whole = instances.fold(spark.createDataFrame(made, SCHEMA), 0.3, writer)
+    wanted = sorted(tuple(map(str, r)) for r in instances.latest(whole).collect())
+    for k, (low, high) in enumerate([(0, 2), (2, 9)]):
+        spark.createDataFrame([r for r in made if low <= r[1] < high], SCHEMA).write.mode("append").parquet(f"{folder}/in")
+        stream_ = instances.fold(spark.readStream.schema(SCHEMA).parquet(f"{folder}/in"), 0.3, writer)
+        stream_.writeStream.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{folder}/out/{k}.{epoch}")).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()  # noqa: B023
+    found = instances.latest(spark.read.schema(instances.STATE).parquet(f"{folder}/out/*"))
+    assert sorted(tuple(map(str, r)) for r in found.collect()) == wanted
+    numbers = {}
+    for r in found.collect():
+        numbers.setdefault(r.dialog, []).append(r.instance_no)
+    assert all(sorted(n) == list(range(1, len(n) + 1)) for n in numbers.values())
+
+
+def test_answers_are_asked_once(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    class Client:
+        def complete(self, prompt):
+            (asked / f"{prompt}-{uuid.uuid4().hex}").touch()
+            if prompt == "3":
+                raise OSError
+            return f'{{"response": "a{prompt}"}}'
+
+    questions, folder = spark.createDataFrame([(i, str(i)) for i in range(6)], "qid bigint, prompt string"), str(tmp_path / "out")
+    qa.answers(questions.where("qid < 4"), folder, "a", Client, 1)
+    store.remove(spark, f"{folder}/answers/000000/_SUCCESS")  # the first go died in its commit
+    assert {r.qid for r in qa.answers(questions.where("qid < 2"), folder, "a", Client, 1).collect()} == {0, 1}
+    found = {r.qid: r.answer for r in qa.answers(questions, folder, "a", Client, 1).collect()}
+    assert found == {i: "" if i == 3 else f"a{i}" for i in range(6)}
+    calls = [p.name.split("-")[0] for p in asked.iterdir()]
+    assert sorted(calls) == sorted("0123" + "01" + "2345")
+    with pytest.raises(ValueError, match="another source"):
+        qa.answers(questions, folder, "b", Client)

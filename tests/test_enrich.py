@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import encoder
 from threadloom.operators import enrich as en
+from threadloom.operators import graph as gr
 
 STATE = "dialog bigint, class_no bigint, instance_no bigint, class_name string, labels array<bigint>, text string, step bigint"
 
@@ -98,3 +99,103 @@ def test_tags_and_similarity_of_odd_texts(spark):
     assert {r.i: r.similarity for r in encoder.similarity(rows, "a", "b").collect()} == {1: 0.0, 2: 0.0, 3: 0.0, 4: 1.0}
     found = encoder.tags(rows, ["i"], "a", 2).collect()
     assert {r.i for r in found} == {4} and sorted(r["rank"] for r in found) == [1, 2] and max(found, key=lambda r: r.score).tag == "river boat"
+
+
+def plain_modularity(edges, place):
+    m = 2 * sum(w for _, _, w in edges)
+    k, inside = {}, {}
+    for u, v, w in edges:
+        for x in (u, v):
+            k[place[x]] = k.get(place[x], 0) + w
+        if place[u] == place[v]:
+            inside[place[u]] = inside.get(place[u], 0) + 2 * w
+    return sum(inside.values()) / m - sum(x * x for x in k.values()) / m**2
+
+
+def plain_louvain(edges):
+    """Louvain one node at a time, level by level."""
+    nodes = sorted({x for u, v, _ in edges for x in (u, v)})
+    whole, now = {n: n for n in nodes}, [*edges]
+    while True:
+        near, deg = {}, {}
+        for u, v, w in now:
+            for a, b in ((u, v), (v, u)):
+                near.setdefault(a, {})
+                near[a][b] = near[a].get(b, 0) + w
+                deg[a] = deg.get(a, 0) + w
+        total = sum(deg.values())
+        place, moved, size = {n: n for n in near}, True, dict(deg)
+        any_move = False
+        while moved:
+            moved = False
+            for n in sorted(near):
+                links = {}
+                for b, w in near[n].items():
+                    if b != n:
+                        links[place[b]] = links.get(place[b], 0) + w
+                size[place[n]] -= deg[n]
+                best = max([place[n], *links], key=lambda c: (round(links.get(c, 0) - size.get(c, 0) * deg[n] / total, 9), c == place[n], -c))
+                size[best] = size.get(best, 0) + deg[n]
+                if best != place[n]:
+                    place[n], moved, any_move = best, True, True
+        if not any_move:
+            return whole
+        whole = {n: place[c] for n, c in whole.items()}
+        now = [(place[u], place[v], w) for u, v, w in now]
+
+
+def graphs():
+    rng = random.Random(3)
+    blocks = [(i, j, 1.0) for i in range(48) for j in range(i + 1, 48) if rng.random() < (0.6 if i // 8 == j // 8 else 0.03)]
+    ring = [(8 * r + i, 8 * r + j, 1.0) for r in range(10) for i in range(5) for j in range(i + 1, 5)] + [(8 * r, 8 * ((r + 1) % 10) + 1, 1.0) for r in range(10)]
+    weighted = [(i, (i + s) % 60, 1.0 + (i // 12 == (i + s) % 60 // 12) * 3) for i in range(60) for s in (1, 2, 7)]
+    return {"blocks": blocks, "ring": ring, "weighted": weighted}
+
+
+@pytest.mark.parametrize("name", ["blocks", "ring", "weighted"])
+def test_communities_are_as_good_as_one_by_one(spark, name):
+    edges = graphs()[name]
+    place = {r.node: r.community for r in gr.communities(spark.createDataFrame(edges, "u bigint, v bigint, weight double")).collect()}
+    assert set(place) == {x for u, v, _ in edges for x in (u, v)} and all(place[c] == c for c in place.values())
+    assert plain_modularity(edges, place) >= plain_modularity(edges, plain_louvain(edges)) - 0.02
+    frame = spark.createDataFrame(list(place.items()), "node bigint, community bigint")
+    assert abs(gr.modularity(spark.createDataFrame(edges, "u bigint, v bigint, weight double"), frame).first()[0] - plain_modularity(edges, place)) < 1e-9
+
+
+def test_communities_of_nothing(spark):
+    assert gr.communities(spark.createDataFrame([], "u bigint, v bigint, weight double")).count() == 0
+
+
+def plain_acyclic(edges):
+    out, left = {}, {}
+    for a, b in set(edges):
+        out.setdefault(a, []).append(b)
+        left[b] = left.get(b, 0) + 1
+        left.setdefault(a, 0)
+    ready, seen = [n for n in left if not left[n]], 0
+    while ready:
+        n, seen = ready.pop(), seen + 1
+        for b in out.get(n, ()):
+            left[b] -= 1
+            if not left[b]:
+                ready.append(b)
+    return seen == len(left)
+
+
+def test_acyclic_against_a_plain_version(spark):
+    rng = random.Random(8)
+    cases = [[(1, 1)], [(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 4), (4, 2)], [(1, 2), (2, 3), (1, 3)], [(i, (i + 1) % 9) for i in range(9)], []]
+    cases += [[(rng.randrange(7), rng.randrange(7)) for _ in range(n)] for n in (3, 5, 7)] + [[tuple(sorted(rng.sample(range(9), 2))) for _ in range(14)]]
+    for edges in cases:
+        assert gr.acyclic(spark.createDataFrame(edges, "src bigint, dst bigint")) == plain_acyclic(edges), edges
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_a_long_chain_needs_few_jobs(spark, closed):
+    chain = [(i, i + 1) for i in range(10_000)] + ([(10_000, 5_000)] if closed else [])
+    tracker, group = spark.sparkContext.statusTracker(), f"chain{closed}"
+    edges = spark.createDataFrame(chain, "src bigint, dst bigint").coalesce(4)
+    spark.sparkContext.setJobGroup(group, "")
+    assert gr.acyclic(edges) is not closed
+    spark.sparkContext.setJobGroup("", "")
+    assert len(tracker.getJobIdsForGroup(group)) < 150  # about eight a write and join; a walk would need thousands

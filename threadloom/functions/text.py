@@ -36,16 +36,20 @@ def ngrams(unigrams: Column) -> Column:
     return F.concat(unigrams, F.zip_with(leading, following, lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def hashed_ngrams(unigrams: Column) -> Column:
+    """64-bit hashes of the words and of the pairs of neighbours; a pair's is made of those of its words, so that no pair is put together as text."""
+    one = F.transform(unigrams, lambda w: F.xxhash64(w))
+    return F.transform(F.array(one), lambda h: F.concat(h, F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))))[0]
+
+
 def term_counts(fragments: DataFrame, by: list[str], text: str = "text", hashed: bool = True) -> DataFrame:
     """Count of each term in each fragment; ``by`` names the corpus columns and the fragment's key.
 
     Texts are dealt by ``by`` once, before they are cut into terms, so that counting needs no exchange of terms. ``hashed`` terms are
     64-bit hashes, which all joins can do with.
     """
-    term = F.explode(ngrams(words(F.coalesce(F.col(text), F.lit(""))))).alias("term")
-    exploded = fragments.select(*by, text).repartition(*by).select(*by, term)
-    if hashed:
-        exploded = exploded.withColumn("term", F.xxhash64("term"))
+    found = words(F.coalesce(F.col(text), F.lit("")))
+    exploded = fragments.select(*by, text).repartition(*by).select(*by, F.explode(hashed_ngrams(found) if hashed else ngrams(found)).alias("term"))
     return exploded.groupBy(*by, "term").agg(F.count("*").alias("tf"))
 
 

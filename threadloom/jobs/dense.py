@@ -173,10 +173,11 @@ def q_node_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dag_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar pairs from the smaller to the larger id have no cycle; with each class's least pair turned round they may."""
-    p = gr.cut(_pairs(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst")))
-    back = p.unionAll(p.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return spark.createDataFrame([("forward", gr.acyclic(p)), ("both", gr.acyclic(back))], "edges string, acyclic boolean")
+    """Similar pairs from the smaller to the larger id, both ways, turned by the parity of their sum, and turned where both ids are of the upper half of a hundred: which of these have no cycle."""
+    p = gr.cut(_pairs(spark, sf_dir).select("u", "v"))
+    turned = lambda when: p.select(F.when(when, F.col("v")).otherwise(F.col("u")).alias("src"), F.when(when, F.col("u")).otherwise(F.col("v")).alias("dst"))
+    ways = {"forward": turned(F.lit(False)), "both": turned(F.lit(False)).unionAll(turned(F.lit(True))), "parity": turned((F.col("u") + F.col("v")) % 2 == 1), "upper": turned((F.col("u") % 100 >= 50) & (F.col("v") % 100 >= 50))}
+    return spark.createDataFrame([(name, gr.acyclic(e)) for name, e in ways.items()], "edges string, acyclic boolean")
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
@@ -216,5 +217,7 @@ SQL = {
       r0 AS (SELECT node, 1::DOUBLE / n AS rank FROM nodes, size), {_RANKS} SELECT node, round(rank, 6) AS rank FROM r10""",
     "q_importance": "SELECT event_id, round(CASE WHEN value > 50 THEN round(value / 100, 6) WHEN event_type = 'click' THEN 1.0 WHEN event_type = 'view' THEN 0.5 ELSE 0.1 END, 6)::DOUBLE AS importance FROM events",
     "q_node_score": f"WITH {_A} SELECT node, round(0.5::DOUBLE + 0.5::DOUBLE * any_value(label) / 10 + 0.3::DOUBLE * count(*), 6) AS score FROM near JOIN e ON e.vec_id = node GROUP BY node",
-    "q_dag_check": f"WITH {_P} SELECT 'forward' AS edges, true AS acyclic UNION ALL SELECT 'both', count(*) = 0 FROM p",
+    "q_dag_check": f"""WITH RECURSIVE {_P}, a AS (SELECT 'forward' AS edges, u AS src, v AS dst FROM p UNION ALL SELECT 'both', u, v FROM p UNION ALL SELECT 'both', v, u FROM p UNION ALL SELECT 'parity', CASE WHEN (u + v) % 2 = 1 THEN v ELSE u END, CASE WHEN (u + v) % 2 = 1 THEN u ELSE v END FROM p
+        UNION ALL SELECT 'upper', CASE WHEN u % 100 >= 50 AND v % 100 >= 50 THEN v ELSE u END, CASE WHEN u % 100 >= 50 AND v % 100 >= 50 THEN u ELSE v END FROM p),
+      r AS (SELECT edges, src, dst FROM a UNION SELECT r.edges, r.src, a.dst FROM r JOIN a ON r.edges = a.edges AND r.dst = a.src) SELECT k.edges, NOT EXISTS (SELECT 1 FROM r WHERE r.edges = k.edges AND r.src = r.dst) AS acyclic FROM (VALUES ('forward'), ('both'), ('parity'), ('upper')) k(edges)""",
 }

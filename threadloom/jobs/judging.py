@@ -103,6 +103,29 @@ def q_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(ev.token_f1(F.coalesce("text", F.lit("")), F.coalesce("answer", F.lit(""))), 6).alias("f1"))
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with the answer that follows."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")), ["conv_id", "turn"])
+
+
+def q_rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest common subsequence of each turn and the answer that follows it."""
+    return _answers(spark, sf_dir).select("conv_id", "turn", F.round(ev.rouge_l(F.col("text"), F.col("answer")), 6).alias("rouge_l"))
+
+
+def q_slot_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of eight letters or more as slots of turns and answers, by the turn's number."""
+    slots = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}]{8,}"), F.lit(0))
+    return ev.slot_f1(_answers(spark, sf_dir).select("turn", slots("text").alias("a"), slots("answer").alias("b")), ["turn"], "a", "b")
+
+
+def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of accuracy and of the difference to the toxic marks, by language, 200 replicates."""
+    j = _judged(spark, sf_dir).select("doc_id", "lang", F.col("quality").cast("double").alias("right"), (F.col("quality") - F.col("toxic")).cast("double").alias("difference"))
+    return ev.bootstrap(j, ["lang"], "doc_id", ["right", "difference"], 200)
+
+
 def q_llm_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls and time by phase."""
     e = table(spark, sf_dir, "events")
@@ -129,6 +152,18 @@ SQL = {
     "q_weighted_accuracy": f"WITH {_J} SELECT lang, sum(quality)::BIGINT AS n_right, count(*) AS n_total, round(sum(quality) / count(*)::DOUBLE, 6) AS accuracy FROM j GROUP BY 1",
     "q_scalability": "SELECT ceil(log2(greatest(n_chars, 1)))::BIGINT AS size_class, count(*) AS n, round(avg(n_chars), 4) AS mean_chars, round(coalesce(avg(quality), 0), 6) AS accuracy FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "q_qa_resume": "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)",
+    "q_rouge_l": r"""WITH RECURSIVE p AS (SELECT a.conv_id, a.turn, regexp_extract_all(lower(coalesce(a.text, '')), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(coalesce(b.text, '')), '[\p{L}\p{N}]+') AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+      r AS (SELECT conv_id, turn, 0 AS i, list_transform(range(0, len(b) + 1), lambda x: 0) AS row FROM p
+        UNION ALL SELECT p.conv_id, p.turn, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda acc, j: list_append(acc, CASE WHEN a[i + 1] = b[j[1]] THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], acc[len(acc)]) END)::BIGINT[], [0::BIGINT]) FROM r JOIN p USING (conv_id, turn) WHERE i < len(a))
+      SELECT conv_id, turn, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE 2.0::DOUBLE * row[len(row)] / (len(a) + len(b)) END, 6) AS rouge_l FROM r JOIN p USING (conv_id, turn) WHERE i = len(a)""",
+    "q_slot_f1": r"""WITH p AS (SELECT a.turn, list_distinct(regexp_extract_all(lower(coalesce(a.text, '')), '[\p{L}]{8,}')) AS a, list_distinct(regexp_extract_all(lower(coalesce(b.text, '')), '[\p{L}]{8,}')) AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+      s AS (SELECT turn, sum(len(list_intersect(a, b))) AS hit, sum(len(b)) AS said, sum(len(a)) AS gold, avg(CASE WHEN len(list_intersect(a, b)) = len(a) AND len(a) = len(b) THEN 1.0::DOUBLE ELSE 0 END) AS joint FROM p GROUP BY 1)
+      SELECT turn, round(coalesce(hit / nullif(said, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(hit / nullif(gold, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2 * hit / nullif(said + gold, 0)::DOUBLE, 0), 6) AS f1, round(joint, 6) AS joint_goal FROM s""",
+    "q_bootstrap": f"""WITH j AS (SELECT doc_id, lang, quality::DOUBLE AS "right", (quality - toxic)::DOUBLE AS difference FROM labels JOIN documents USING (doc_id)), d AS (SELECT lang, "right", difference, i, ('0x' || left(md5(doc_id || '/' || i), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM j, range(200) t(i)),
+      w AS (SELECT lang, "right", difference, i, {' + '.join(f'(u >= {p})::INT' for p in ev._POISSON)} AS n FROM d),
+      s AS (SELECT lang, i, sum(n * "right") / nullif(sum(n), 0) AS r, sum(n * difference) / nullif(sum(n), 0) AS d FROM w GROUP BY ALL), x AS (SELECT lang, 'right' AS value, r AS mean FROM s UNION ALL SELECT lang, 'difference', d FROM s),
+      q AS (SELECT lang, value, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM x GROUP BY ALL), m AS (SELECT lang, 'right' AS value, avg("right") AS mean FROM j GROUP BY 1 UNION ALL SELECT lang, 'difference', avg(difference) FROM j GROUP BY 1)
+      SELECT lang, value, round(mean, 6) AS mean, low, high FROM m JOIN q USING (lang, value)""",
     "q_judge_label": "SELECT doc_id, CASE WHEN quality = 1 AND doc_id % 10 IN (0, 1, 3, 4, 6, 7, 8) THEN 'CORRECT' ELSE 'WRONG' END AS label FROM labels",
     "q_conflict_matrix": "SELECT count(*) FILTER (toxic = 1 AND quality = 0) AS n_both, count(*) FILTER (toxic = 1 AND quality <> 0) AS n_warning_only, count(*) FILTER (toxic <> 1 AND quality = 0) AS n_error_only FROM labels",
     "q_conflict_groups": f"WITH {_J} SELECT source, count(*) FILTER (category <= 2) AS n_old, count(*) FILTER (category > 2) AS n_new FROM j GROUP BY 1 HAVING n_new > 0",

@@ -39,8 +39,8 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _expanded(spark: SparkSession, sf_dir: str, seeds: DataFrame) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), "text")
-    keys, members, contents = _keys(spark, sf_dir), _records(spark, sf_dir), _contents(spark, sf_dir)
-    return ex.ranked(seeds, _near(spark, sf_dir), lambda reached: ex.keyword_scores(reached, keys, texts, contents, members), HOPS, MOST)
+    keys, members, contents, near = (stored(f(spark, sf_dir))[0] for f in (_keys, _records, _contents, _near))  # read on every level
+    return ex.ranked(seeds, near, lambda reached: ex.keyword_scores(reached, keys, texts, contents, members), HOPS, MOST)
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

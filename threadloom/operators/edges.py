@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.graph import stored
+
 
 def entity_id(owner: Column, instance: Column) -> Column:
     """``class:instance``; null if either is missing or blank."""
@@ -62,10 +64,16 @@ def cross_class_pairs(rows: DataFrame, label: str, owner: str, instance: str, le
     dealt = held.join(blocks, "label").select("label", "c", "i", own.alias("own"), F.explode(halves).alias("p")).select("label", "p.low", "p.high", "own", "c", "i")
     other = dealt.select("label", "low", "high", F.col("own").alias("own2"), F.col("c").alias("c2"), F.col("i").alias("i2"))
     met = dealt.join(other, ["label", "low", "high"]).where("i < i2 and c <> c2 and (low = high or own <> own2)")
-    found = met.groupBy(F.col("i").alias("u"), F.col("i2").alias("v")).agg(F.count("*").alias("shared"), F.array_sort(F.collect_list("label")).alias("labels")).where(F.col("shared") >= least)
+    met = met.select(F.col("i").alias("u"), F.col("i2").alias("v"), "label")
+    found, _, _ = stored(met.groupBy("u", "v").agg(F.count("*").alias("shared"), F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("shared") >= least))
     if known is not None:
         found = found.join(known.select("u", "v"), ["u", "v"], "left_anti")
-    return found.select("u", "v", "shared", F.array_join(F.slice(F.transform("labels", lambda x: x.cast("string")), 1, 3), ",").alias("label"))
+    text = lambda *c: F.array_join(F.array(*[F.col(x).cast("string") for x in c]), ",").alias("label")
+    one, two, more = (found.where(w) for w in ("shared = 1", "shared = 2", "shared > 2"))
+    # only pairs with more than two labels need a list, and those are few
+    labels = met.join(more.select("u", "v"), ["u", "v"], "left_semi").groupBy("u", "v").agg(F.slice(F.array_sort(F.collect_list("label")), 1, 3).alias("labels"))
+    listed = more.join(labels, ["u", "v"]).select("u", "v", "shared", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("label"))
+    return one.select("u", "v", "shared", text("low")).unionByName(two.select("u", "v", "shared", text("low", "high"))).unionByName(listed)
 
 
 def adjacency(hyper: DataFrame, members: str = "members") -> DataFrame:

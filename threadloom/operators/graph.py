@@ -78,18 +78,37 @@ def expand(seeds: DataFrame, near: DataFrame, hops: int) -> DataFrame:
     return seen.where("hop > 0")
 
 
+def _chains(e: DataFrame) -> DataFrame | None:
+    """(node, end) of every node with one way in and one way out: where its chain ends; None if a chain has no end, which is a cycle.
+
+    Each round a node takes on what its successor points to, so that a chain of n nodes needs log2(n) rounds.
+    """
+    one = lambda c: e.groupBy(F.col(c).alias("node")).agg(F.count("*").alias("n")).where("n = 1").select("node")
+    inner = one("src").join(one("dst"), "node")
+    hop, n, _ = stored(e.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("end")))
+    for _ in range(n.bit_length()):
+        further = hop.select(F.col("node").alias("end"), F.col("end").alias("next"))
+        hop, _, _ = stored(hop.join(further, "end", "left").select("node", F.coalesce("next", "end").alias("end")))
+    return None if hop.join(hop.select(F.col("node").alias("end")), "end", "left_semi").limit(1).count() else hop
+
+
 def acyclic(edges: DataFrame) -> bool:
     """Whether the directed edges (src, dst) have no cycle.
 
-    A cycle's nodes have edges in and out, so edges from nodes without a way in and into nodes without a way out are
-    peeled, from both ends at once and in one job a round, until none is left or none can go.
+    In turn, chains are drawn together into one edge each, however long they are, and edges from nodes without a
+    way in and into nodes without a way out are peeled from both ends at once. A cycle ends as a loop or as edges that
+    neither changes. Rounds follow the branchings along the longest path, not its length.
     """
     e, rows, _ = stored(edges.select("src", "dst").distinct())
     while rows:
-        inner = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        hop = _chains(e)
+        if hop is None:
+            return False
+        ends = e.join(hop.select(F.col("node").alias("src")), "src", "left_anti").join(hop.withColumnRenamed("node", "dst"), "dst", "left").select("src", F.coalesce("end", "dst").alias("dst")).distinct()
+        inner = ends.join(ends.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(ends.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         kept, left, _ = stored(inner.select("src", "dst"))
-        if left == rows:
-            return False  # every node left has a way in and a way out
+        if left == rows or left and kept.where("src = dst").limit(1).count():
+            return False  # every node left has a way in and a way out, and none has but one of each
         e, rows = kept, left
     return True
 
@@ -140,37 +159,73 @@ def creates_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     while left:  # nothing is reached twice, so this ends
         step = frontier.where("src <> at").join(near, "at").select("src", "dst", F.col("next").alias("at")).distinct()
         frontier, left, _ = stored(step.join(seen, ["src", "dst", "at"], "left_anti"))
-        seen, _, _ = stored(seen.unionAll(frontier))
+        seen = seen.unionAll(frontier)  # tables that are written already; none is rewritten
     hit = seen.where("src = at").select("src", "dst", F.lit(True).alias("hit")).distinct()
     known = edges.select("src", "dst", F.lit(True).alias("known")).distinct()
     out = asked.join(hit, ["src", "dst"], "left").join(known, ["src", "dst"], "left")
     return out.select("src", "dst", F.when(F.col("src") == F.col("dst"), True).when(F.col("known"), False).otherwise(F.coalesce("hit", F.lit(False))).alias("cycle"))
 
 
-def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, community) by local moves that raise modularity on undirected edges (u, v, weight).
+def communities(edges: DataFrame, least: float = 1e-4, rounds: int = 20) -> DataFrame:
+    """(node, community) by Louvain's method on undirected edges (u, v, weight), communities named by their least node.
 
-    In each round the nodes of one half (by hash and round) move to the neighbouring community of greatest gain,
-    the least id among equals, so that neighbours seldom swap places. Work is joins and sums over the edges; no
-    component is gathered. Communities are named by the least node in them.
+    On each level nodes move to the neighbouring community of greatest gain, the least id among equals; those of one half (by
+    hash and round) at a time, so that neighbours seldom swap places. Moves go on while two rounds raise the modularity by ``least``
+    (``rounds`` pairs of rounds at most), and the best placement counts. Its communities are the nodes of the next level, with what
+    lies inside as loops. It ends when a level gains less than ``least``. Work is joins and sums over the edges; no component
+    is gathered.
     """
-    arcs = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "weight").unionAll(edges.select("v", "u", "weight")))
-    degree = cut(arcs.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
-    total = degree.agg(F.sum("k")).first()[0] or 1.0
-    place = degree.select("node", F.col("node").alias("community"), "k")
-    for i in range(rounds):
-        size = place.groupBy("community").agg(F.sum("k").alias("size"))
-        turn = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0
-        moving = place.where(turn).select("node", F.col("community").alias("own"), "k")
-        links = arcs.join(place.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
+    both = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "weight").unionAll(edges.select("v", "u", "weight"))
+    arcs, n, _ = stored(both.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    place, _, _ = stored(arcs.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
+    last = _quality(arcs, place) if n else 0.0
+    level = place
+    while n:
+        moved, gained = _moved(arcs, level, last, least, rounds)
+        if gained - last < least:
+            break
+        place, _, _ = stored(place.join(moved.select(F.col("node").alias("community"), F.col("community").alias("to")), "community").select("node", F.col("to").alias("community")))
+        names = moved.withColumnRenamed("node", "a")
+        lifted = arcs.join(names, "a").select(F.col("community").alias("a"), "b", "weight").join(moved.select(F.col("node").alias("b"), F.col("community").alias("to")), "b")
+        arcs, n, _ = stored(lifted.groupBy("a", F.col("to").alias("b")).agg(F.sum("weight").alias("weight")))
+        level, last = stored(moved.select(F.col("community").alias("node"), "community").distinct())[0], gained
+    names = place.groupBy("community").agg(F.min("node").alias("name"))
+    return place.join(names, "community").select("node", F.col("name").alias("community"))
+
+
+def _quality(arcs: DataFrame, place: DataFrame) -> float:
+    """Modularity of a placement over arcs (a, b, weight) in both directions, loops as they are."""
+    here = arcs.join(place.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(place.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
+    by = here.groupBy("ca").agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    row = by.agg(F.sum("inside").alias("inside"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares")).first()
+    return row["inside"] / row["m"] - row["squares"] / row["m"] ** 2 if row["m"] else 0.0
+
+
+def _moved(arcs: DataFrame, start: DataFrame, quality: float, least: float, rounds: int) -> tuple[DataFrame, float]:
+    """The best placement (node, community) that rounds of moves from ``start`` reach, and its modularity."""
+    degree, _, _ = stored(arcs.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
+    total = degree.agg(F.sum("k")).first()[0]
+    outer = arcs.where("a <> b")
+    place, best, before = start, start, quality
+    for i in range(2 * rounds):
+        sized = place.join(degree, "node")
+        size = sized.groupBy("community").agg(F.sum("k").alias("size"))
+        moving = sized.where(F.pmod(F.xxhash64("node", F.lit(i // 2)), F.lit(2)) == i % 2).select("node", F.col("community").alias("own"), "k")
+        links = outer.join(place.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
         options = moving.join(links, "node").unionByName(moving.select("node", "own", "k", F.col("own").alias("community"), F.lit(0.0).alias("w")))
         options = options.groupBy("node", "own", "k", "community").agg(F.sum("w").alias("w")).join(size, "community")
         rest = F.col("size") - F.when(F.col("own") == F.col("community"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - rest * F.col("k") / total, 9)
-        best = options.groupBy("node").agg(F.max_by("community", F.struct(gain, (F.col("own") == F.col("community")).cast("int"), -F.col("community"))).alias("to"))
-        place = cut(place.join(best, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k"))
-    names = place.groupBy("community").agg(F.min("node").alias("name"))
-    return place.join(names, "community").select("node", F.col("name").alias("community"))
+        to = options.groupBy("node").agg(F.max_by("community", F.struct(gain, (F.col("own") == F.col("community")).cast("int"), -F.col("community"))).alias("to"))
+        place, _, _ = stored(place.join(to, "node", "left").select("node", F.coalesce("to", "community").alias("community")))
+        if i % 2:
+            now = _quality(arcs, place)
+            if now > quality:
+                best, quality = place, now
+            if now - before < least:
+                break
+            before = now
+    return best, quality
 
 
 def modularity(edges: DataFrame, place: DataFrame) -> DataFrame:

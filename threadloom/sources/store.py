@@ -38,6 +38,15 @@ def load(spark: SparkSession, folder: str, wanted: Meta, batches_done: int, name
     return {n: spark.read.parquet(f"{folder}/{batches_done:08d}/{n}") for n in names} if fits else None
 
 
+def guard(spark: SparkSession, folder: str, source: str) -> None:
+    """R2: a folder belongs to the source that began it; for another one a ValueError is raised."""
+    own = Meta(source, "guard", "hash_only", 1, 1)
+    if load(spark, f"{folder}/source", own, 1, []) is None:
+        if exists(spark, f"{folder}/source"):
+            raise ValueError(f"{folder} belongs to another source")
+        save(spark, f"{folder}/source", own, {})
+
+
 def fingerprint(rows: DataFrame) -> str:
     """Order-free fingerprint of a table: a hash of the number of rows and the sum of their hashes."""
     one = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("s"))

@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,27 @@ class Weights:
         return self.by_df[df]
 
 
+def best_scores(asked: list[Counter], weights: Weights, fragments: Iterator[tuple]) -> list[dict[int, float]]:
+    """For each message the cosine with each owner's best fragment, from fragments (owner, terms, counts) read one by one; owners that share no term are left out."""
+    wanted: dict[str, list[tuple[int, float]]] = {}
+    for i, counts in enumerate(asked):
+        own = {t: n * weights.of(t) for t, n in counts.items() if weights.of(t)}
+        norm = math.sqrt(sum(w * w for w in own.values()))
+        for t, w in own.items():
+            wanted.setdefault(t, []).append((i, w / norm))
+    best: list[dict[int, float]] = [{} for _ in asked]
+    for owner, names, counts in fragments:
+        square, dots = 0.0, {}
+        for t, n in zip(names, counts):
+            w = n * weights.of(t)
+            square += w * w
+            for i, q in wanted.get(t, ()):
+                dots[i] = dots.get(i, 0.0) + q * w
+        for i, d in dots.items():
+            best[i][owner] = max(round(d / math.sqrt(square), 6), best[i].get(owner, 0.0))
+    return best
+
+
 class Fold(StatefulProcessor):
     """The instances that each batch adds to its dialog.
 
@@ -61,24 +83,8 @@ class Fold(StatefulProcessor):
 
     def route(self, asked: list[Counter], weights: Weights, added: list[tuple]) -> list[list[int]]:
         """For each message the best classes at the threshold or above."""
-        wanted: dict[str, list[tuple[int, float]]] = {}
-        for i, counts in enumerate(asked):
-            own = {t: n * weights.of(t) for t, n in counts.items() if weights.of(t)}
-            norm = math.sqrt(sum(w * w for w in own.values()))
-            for t, w in own.items():
-                wanted.setdefault(t, []).append((i, w / norm))
-        best: list[dict[int, float]] = [{} for _ in asked]
-        stored = ((f[0], f[2], f[3]) for f in self.fragments.get())
-        for class_no, names, counts in (*(() if not self.had else stored), *((c, list(t), list(t.values())) for c, _, t in added)):
-            square, dots = 0.0, {}
-            for t, n in zip(names, counts):
-                w = n * weights.of(t)
-                square += w * w
-                for i, q in wanted.get(t, ()):
-                    dots[i] = dots.get(i, 0.0) + q * w
-            for i, d in dots.items():
-                score = round(d / math.sqrt(square), 6)
-                best[i][class_no] = max(score, best[i].get(class_no, 0.0))
+        stored = ((f[0], f[2], f[3]) for f in self.fragments.get()) if self.had else ()
+        best = best_scores(asked, weights, chain(stored, ((c, t.keys(), t.values()) for c, _, t in added)))
         return [[c for c, s in sorted(b.items(), key=lambda x: (-x[1], x[0])) if s >= self.threshold][: self.most] for b in best]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -140,15 +146,6 @@ def fold(messages: DataFrame, threshold: float = 0.5, most: int = 3) -> DataFram
     return rows.groupBy("dialog").transformWithStateInPandas(Fold(threshold, most), STATE, "Append", "None")
 
 
-def guard(spark: SparkSession, folder: str, source: str) -> None:
-    """R2: a folder belongs to the source that began it; for another one a ValueError is raised."""
-    kept = store.load(spark, f"{folder}/source", store.Meta(source, "fold", "hash_only", 1, 1), 1, [])
-    if kept is None:
-        if store.exists(spark, f"{folder}/source"):
-            raise ValueError(f"{folder} belongs to another source")
-        store.save(spark, f"{folder}/source", store.Meta(source, "fold", "hash_only", 1, 1), {})
-
-
 def advance(messages: DataFrame, folder: str, source: str, threshold: float = 0.5, most: int = 3) -> DataFrame:
     """Fold all that the stream ``messages`` has for now into ``folder``, and read the whole state.
 
@@ -156,7 +153,7 @@ def advance(messages: DataFrame, folder: str, source: str, threshold: float = 0.
     is run again overwrites it. ``source`` names what is folded; the folder refuses another.
     """
     spark = messages.sparkSession
-    guard(spark, folder, source)
+    store.guard(spark, folder, source)
 
     def write(rows: DataFrame, epoch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/versions/{epoch:06d}")
