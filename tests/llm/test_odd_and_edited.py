@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,28 @@ def test_a_whole_tree_of_shards(spark, leaves):
     for i, t, *_ in rows:
         size[found[i]] += len(t) + 8
     assert len(size) == leaves and max(size.values()) - min(size.values()) <= 68 * 4
+
+
+def test_pairs_of_mixed_buckets_come_once_and_none_is_lost(spark):
+    """Texts near one another in several tables and buckets against a comparison of all pairs."""
+    rng, tables, bits, most = np.random.default_rng(5), 4, 32, 30
+    centres = rng.integers(0, 2**63, (12, 2), np.int64)
+    wide = {}
+    for k in range(150):
+        own = [int(x) for x in centres[k % 12]]
+        for _ in range(int(rng.integers(0, 7))):
+            own[int(rng.integers(2))] ^= 1 << int(rng.integers(63))
+        wide[int(rng.integers(-(2**62), 2**62))] = own
+    part = lambda fp, t: fp[t // 2] >> (32 * (t % 2)) & (2**32 - 1)
+    far = lambda a, b: [(part(a, t) ^ part(b, t)).bit_count() for t in range(tables)]
+    want = {(x, y) for x in wide for y in wide if x < y and min(far(wide[x], wide[y])) <= 2 and sum(far(wide[x], wide[y])) <= most}
+    shared = sum(sum(d <= 2 for d in far(wide[x], wide[y])) > 1 for x, y in want)
+
+    named = [(key, (t << 32) + part(fp, t), key, fp) for key, fp in wide.items() for t in range(tables)]
+    met = spark.createDataFrame([(fp, key, root, prints) for key, fp, root, prints in named], "fp bigint, key bigint, root bigint, wide array<bigint>").repartition(3)
+    sent = [((fp ^ mask) * 64 + bit,) for _, fp, _, _ in named for bit, mask in enumerate(simhash.ball(1, bits))]
+    sent = spark.createDataFrame(sent, "packed bigint").repartition(3, F.shiftright("packed", 6)).sortWithinPartitions("packed")
+    buckets = sent.mapInArrow(lambda rows: simhash.live_buckets(rows, bits), "variant bigint, fp bigint")
+    pairs = simhash._across(simhash._mixed(buckets, met), met, most, False, tables, bits).collect()
+    assert len(want) > 300 and shared > 100
+    assert len(pairs) == len(want) and {(r.x, r.y) for r in pairs} == want

@@ -251,12 +251,28 @@ def texts_of_buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(7).take(pa.array(text[p]))], names)
 
 
-def block_links(rows: Iterator[pa.RecordBatch], most: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+def first_meeting(one: np.ndarray, two: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """The bucket in which two texts count as met, from rows of all their fingerprints: in the first table where they differ in two bits or
+    fewer, the smaller fingerprint with the lower of two differing bits turned, or as it is. -1 where they meet in no table.
+    """
+    out, mask = np.full(len(one), -1, np.int64), np.uint64((1 << bits) - 1)
+    for t in reversed(range(tables)):
+        k, by = t // (64 // bits), np.uint64(bits * (t % (64 // bits)))
+        a, b = (one[:, k] >> by) & mask, (two[:, k] >> by) & mask
+        differ = a ^ b
+        away = np.bitwise_count(differ)
+        turned = np.where(away == 2, differ & (~differ + np.uint64(1)), np.uint64(0))
+        out = np.where(away <= 2, (np.minimum(a, b) ^ turned).astype(np.int64) + (t << 32), out)
+    return out
+
+
+def block_links(rows: Iterator[pa.RecordBatch], most: int, nearest: bool, tables: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Pairs (x, y, apart) of keys of one bucket that have different roots and differ in ``most`` bits or fewer over all tables.
 
     Rows (variant, low, high, key, root, own, fp) are sorted by the first four. A bucket comes in pairs of blocks (low, high); in a
     pair of two blocks only rows of different blocks (``own``) meet. ``nearest`` gives for each x outside the bucket's
-    largest component only the y with the fewest differing bits; else each pair is given once, x < y. One open pair of blocks is carried from batch to batch.
+    largest component only the y with the fewest differing bits; else each pair is given once, in the bucket of its first meeting, however many tables and
+    buckets it shares. One open pair of blocks is carried from batch to batch.
     """
     held = None
 
@@ -282,10 +298,12 @@ def block_links(rows: Iterator[pa.RecordBatch], most: int, nearest: bool) -> Ite
                 order = np.lexsort((j, away, i))
                 lead = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])] if len(i) else order
                 i, j, away = i[lead], j[lead], away[lead]
+            else:  # where both are in ``minor`` the pair comes twice
+                once = (key[some[i]] < key[j]) | (root[j] == roots[sizes.argmax()])
+                i, j, away = i[once], j[once], away[once]
+                here = first_meeting(wide[some[i]], wide[j], tables, bits) == named[start, 0]
+                i, j, away = i[here], j[here], away[here]
             x, y = key[some[i]], key[j]
-            if not nearest:  # where both are in ``minor`` the pair comes twice
-                once = (x < y) | (root[j] == roots[sizes.argmax()])
-                x, y, away = x[once], y[once], away[once]
             out.append((x, y, away))
         return out
 
@@ -372,7 +390,7 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 2
                     break
                 # all fingerprints of a text are needed only where one of them is in a mixed bucket
                 met = named.join(mixed.select("fp").distinct(), "fp", "left_semi").join(wide.withColumnRenamed("fp", "wide"), "key")
-                pairs = _across(mixed, met, most, step == "nearest")
+                pairs = _across(mixed, met, most, step == "nearest", tables, bits)
             pairs, n, _ = stored(pairs)
             if n:
                 used = pairs.select(F.col("x").alias("key")).unionAll(pairs.select(F.col("y").alias("key"))).distinct()
@@ -418,7 +436,7 @@ def _mixed(buckets: DataFrame, named: DataFrame) -> DataFrame:
     return met.repartition("variant").sortWithinPartitions("variant", "fp").mapInArrow(mixed_buckets, kinds(MIXED))
 
 
-def _across(mixed: DataFrame, named: DataFrame, most: int, nearest: bool) -> DataFrame:
+def _across(mixed: DataFrame, named: DataFrame, most: int, nearest: bool, tables: int, bits: int) -> DataFrame:
     """Pairs (x, y) within ``most`` bits that share a bucket and lie in different components: all, or nearest ones.
 
     The texts of a fingerprint, in SLOTS slots so that a hot one is spread over tasks, go to all its mixed buckets in one pass over both. Buckets of more than BLOCK texts are cut into blocks, and
@@ -430,10 +448,11 @@ def _across(mixed: DataFrame, named: DataFrame, most: int, nearest: bool) -> Dat
     both = held.unionByName(texts).repartition("fp", "slot").sortWithinPartitions("fp", "slot", "kind")
     rows = both.mapInArrow(texts_of_buckets, "variant bigint, low bigint, high bigint, key bigint, root bigint, own bigint, wide array<bigint>")
     rows = rows.repartition("variant", "low", "high").sortWithinPartitions("variant", "low", "high", "key")
-    pairs = rows.mapInArrow(lambda part: block_links(part, most, nearest), "x bigint, y bigint, apart bigint")
+    pairs = rows.mapInArrow(lambda part: block_links(part, most, nearest, tables, bits), "x bigint, y bigint, apart bigint")
     if nearest:
         pairs = pairs.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("to")).select("x", F.col("to.y").alias("y"))
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    once = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return once.distinct() if nearest else once
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float, slot: int = 256) -> DataFrame:
