@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -257,3 +258,33 @@ def test_saved_state_guards(spark, tmp_path):
     assert store.load(spark, str(tmp_path), meta, 2, ["t"]) is None
     for other in (store.Meta("x", "n", "hash_only", 1, 2), store.Meta("h", "x", "hash_only", 1, 2), store.Meta("h", "n", "hybrid", 1, 2), store.Meta("h", "n", "hash_only", 1, 3)):
         assert store.load(spark, str(tmp_path), other, 1, ["t"]) is None
+
+
+def test_edges_kept_in_order(spark):
+    def plain(edges, there=()):
+        """Edge by edge: kept unless its end leads back to its start."""
+        kept, out = set(there), {}
+        for src, dst, n in sorted(edges, key=lambda e: e[2]):
+            reached, todo = {dst}, [dst]
+            while todo:
+                at = todo.pop()
+                more = {b for a, b in kept if a == at} - reached
+                reached |= more
+                todo += more
+            out[n] = src not in reached
+            if out[n]:
+                kept.add((src, dst))
+        return out
+
+    rng = random.Random(9)
+    run = lambda edges, there=None: {r.n: r.kept for r in gr.guarded(spark.createDataFrame(edges, "src long, dst long, n long"), there).collect()}
+    dense = [(rng.randrange(9), rng.randrange(9), n) for n in range(60)]  # loops, repeats and many cycles
+    assert run(dense) == plain(dense) and 0 < sum(plain(dense).values()) < 60
+    ring = [(i, (i + 1) % 12, 100 - i) for i in range(12)] + [(i, i + 1, 200 + i) for i in range(20, 30)]
+    assert run(ring) == plain(ring)
+    there = [(0, 1), (1, 2), (7, 8)]
+    late = [(2, 0, 1), (8, 2, 2), (2, 7, 3), (1, 0, 4), (3, 3, 5), (0, 1, 6)]
+    assert run(late, spark.createDataFrame(there, "src long, dst long")) == plain(late, there) == {1: False, 2: True, 3: False, 4: False, 5: False, 6: True}
+    odd = spark.createDataFrame([(1, None, 1), (None, 2, 2), (1, 2, None), (1, 2, 3)], "src long, dst long, n long")
+    assert [tuple(r) for r in gr.guarded(odd).collect()] == [(1, 2, 3, True)]
+    assert gr.guarded(odd.limit(0)).count() == 0

@@ -82,6 +82,11 @@ def answer(reply: Column) -> Column:
     return F.coalesce(F.get_json_object(parsed(reply), "$.response"), F.lit(""))
 
 
+def decided(reply: Column) -> Column:
+    """Whether a batch's reply has a list of decisions."""
+    return F.coalesce(F.from_json(parsed(reply), "decisions array<struct<index:string,relation:string>>")["decisions"].isNotNull(), F.lit(False))
+
+
 def relation(reply: Column, index: Column, u: Column, v: Column) -> Column:
     """The directed pair that a batch's reply states for its pair (u, v) with number ``index``: the last decision with that number counts, null for none, for anything else and for a reply without decisions."""
     got = F.from_json(parsed(reply), "decisions array<struct<index:string,relation:string>>")["decisions"]

@@ -166,6 +166,55 @@ def creates_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.select("src", "dst", F.when(F.col("src") == F.col("dst"), True).when(F.col("known"), False).otherwise(F.coalesce("hit", F.lit(False))).alias("cycle"))
 
 
+def _closed(asked: DataFrame, via: DataFrame) -> DataFrame:
+    """n of the edges (src, dst, n) of ``asked`` whose dst leads back to their src over edges of ``via`` with smaller n.
+
+    All are followed together, a step a round; what has come back is followed no further.
+    """
+    near = via.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("n").alias("m"))
+    frontier, left = asked.select("n", F.col("src").alias("target"), F.col("dst").alias("at")), 1
+    seen, hits = frontier.select("n", "at"), frontier.select("n").limit(0)
+    while left:  # no n reaches a node twice, so this ends
+        reached = frontier.join(near, "at").where("m < n").select("n", "target", F.col("next").alias("at")).distinct()
+        step, left, _ = stored(reached.join(seen, ["n", "at"], "left_anti"))
+        back = step.where("at = target").select("n")
+        hits, seen = hits.unionAll(back), seen.unionAll(step.select("n", "at"))  # tables that are written already
+        frontier = step.join(back, "n", "left_anti")
+    return hits.distinct()
+
+
+def guarded(candidates: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Candidates (src, dst, n) with whether each is kept when they are added one by one by n (different, 0 or more) and none may close a cycle.
+
+    ``edges`` (src, dst), acyclic, are there before. A loop is not kept, a repeat is as its first. The result is that of adding them in
+    turn, but rounds decide many at once: an edge is kept once no path of earlier edges, decided or open, leads back, and
+    dropped once a path of earlier kept ones does. The earliest open edge is always decided, as are all that have no open
+    one before them on a way back. Edges on no cycle at all are peeled first; what peeling leaves over only adds work. Only
+    ends of candidates within the rest are followed. Rows with a null are dropped, other columns are left out.
+    """
+    asked, _, _ = stored(candidates.select("src", "dst", F.col("n").cast("long").alias("n")).dropna())
+    known = asked.limit(0) if edges is None else edges.select("src", "dst", F.lit(-1).cast("long").alias("n")).dropna()
+    first, left, _ = stored(known.unionAll(asked).where("src <> dst").groupBy("src", "dst").agg(F.min("n").alias("n")))
+    core, before = first, 0
+    while left and before - left != 0 and (before == 0 or before - left >= before / 10):
+        before = left
+        ways_in, ways_out = core.select(F.col("dst").alias("src")).distinct(), core.select(F.col("src").alias("dst")).distinct()
+        core, left, _ = stored(core.join(ways_in, "src", "left_semi").join(ways_out, "dst", "left_semi").select("src", "dst", "n"))
+    sure, _, _ = stored(core.where("n < 0"))
+    open_, left, _ = stored(core.where("n >= 0"))
+    dropped = asked.select("n").limit(0)
+    while left:
+        doubtful, _, _ = stored(_closed(open_, sure.unionAll(open_)))
+        sure, _, _ = stored(sure.unionAll(open_.join(doubtful, "n", "left_anti").select("src", "dst", "n")))
+        open_, left, _ = stored(open_.join(doubtful, "n", "left_semi").select("src", "dst", "n"))
+        if left:
+            wrong, _, _ = stored(_closed(open_, sure))
+            dropped = dropped.unionAll(wrong)
+            open_, left, _ = stored(open_.join(wrong, "n", "left_anti").select("src", "dst", "n"))
+    bad = first.join(dropped, "n", "left_semi").select("src", "dst", F.lit(True).alias("bad"))
+    return asked.join(bad, ["src", "dst"], "left").select("src", "dst", "n", ((F.col("src") != F.col("dst")) & F.col("bad").isNull()).alias("kept"))
+
+
 def communities(edges: DataFrame, least: float = 1e-4, rounds: int = 20) -> DataFrame:
     """(node, community) by Louvain's method on undirected edges (u, v, weight), communities named by their least node.
 
