@@ -288,3 +288,37 @@ def test_edges_kept_in_order(spark):
     odd = spark.createDataFrame([(1, None, 1), (None, 2, 2), (1, 2, None), (1, 2, 3)], "src long, dst long, n long")
     assert [tuple(r) for r in gr.guarded(odd).collect()] == [(1, 2, 3, True)]
     assert gr.guarded(odd.limit(0)).count() == 0
+
+
+def test_set_cover_against_one_question_at_a_time(spark):
+    def plain(left):
+        """Picks (doc, combo, place) of one question from its instances' keywords."""
+        every, out, covered = set().union(*left.values()), [], set()
+
+        def pick(combo, most, missing, enough=99):
+            place, got = 0, set()
+            while missing and place < most and len(out) < enough:
+                doc = min(left, key=lambda d: (-len(left[d] & missing), len(left[d]), d), default=None)
+                if doc is None or not left[doc] & missing:
+                    break
+                place += 1
+                out.append((doc, combo, place))
+                missing, got = missing - left[doc], got | left.pop(doc)
+            return got
+
+        for combo in (1, 2, 3):
+            covered |= pick(combo, 5, every)
+        pick(0, 7, every - covered, 10)
+        return set(out)
+
+    rng = random.Random(4)
+    rows = [(q, d, f"k{rng.randrange(1 + 3 * q)}") for q in range(14) for d in range(rng.randrange(1, 30)) for _ in range(rng.randrange(1, 4))]
+    rows += [(50, d, f"w{d}") for d in range(40)] + [(51, 1, "a"), (51, 1, "a"), (51, 2, "a")]  # more keywords than picks; repeats
+    by = {}
+    for q, d, k in rows:
+        by.setdefault(q, {}).setdefault(d, set()).add(k)
+    got = {}
+    for r in cover.set_cover(spark.createDataFrame([*rows, (51, 3, None), (None, 1, "a")], "qid long, doc long, keyword string")).collect():
+        got.setdefault(r.qid, set()).add((r.doc, r.combo, r.place))
+    assert got == {q: plain({d: set(k) for d, k in docs.items()}) for q, docs in by.items()}
+    assert cover.set_cover(spark.createDataFrame([], "qid long, doc long, keyword string")).count() == 0
