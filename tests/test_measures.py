@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.functions import vectors as vx
 from threadloom.operators import evaluation as ev
 
 
@@ -49,3 +51,24 @@ def test_intervals_hold_the_mean_as_often_as_they_say(spark):
         held = sum(r.low <= true <= r.high for r in some) / len(some)
         assert len(some) == 120 and 0.8 <= held <= 0.97, (value, held)
         assert all(r.low <= r.mean <= r.high for r in some)
+
+
+def test_pair_that_rounds_up_to_the_threshold(spark):
+    """0.3999998 is 0.4 at six places, as it is to the queries' SQL; four more of several tiles and blocks."""
+    c = 0.3999998
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [c, (1 - c * c) ** 0.5]), (3, [0.0, -2.0]), (4, None)], "k long, e array<double>")
+    for blocks in (1, 3):
+        assert [(r.u, r.v) for r in vx.similar_pairs(rows, "k", "e", 0.4, blocks).collect()] == [(1, 2)]
+
+
+def test_pairs_and_nearest_over_several_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((90, 6)).astype("float32")
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, e array<float>")
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 6)
+    monkeypatch.setattr(vx, "TILE", 7)
+    for blocks in (1, 4):
+        assert sorted((r.u, r.v) for r in vx.similar_pairs(rows, "k", "e", 0.3, blocks).collect()) == [(i, j) for i in range(90) for j in range(i + 1, 90) if score[i, j] >= 0.3]
+        near = vx.nearest(rows.where("k < 20"), rows.where("k >= 20"), "k", "e", blocks, 2).collect()
+        assert {r.a: r.b for r in near} == {i: int(20 + score[i, 20:].argmax()) for i in range(20)} and len(near) == 20
