@@ -199,3 +199,15 @@ def test_a_long_chain_needs_few_jobs(spark, closed):
     assert gr.acyclic(edges) is not closed
     spark.sparkContext.setJobGroup("", "")
     assert len(tracker.getJobIdsForGroup(group)) < 150  # about eight a write and join; a walk would need thousands
+
+
+def test_a_cycle_is_shown_before_its_tail_is_peeled(spark, monkeypatch):
+    """A triangle at the end of a ladder of 40 steps, which would be peeled a step a round, and edges in the order of their nodes, which need no round."""
+    ladder = [(i, j) for i in range(40) for j in (i + 1, i + 2)]
+    rounds = []
+    chains = gr._chains
+    monkeypatch.setattr(gr, "_chains", lambda e: rounds.append(1) or chains(e))
+    edges = lambda found: spark.createDataFrame(found, "src bigint, dst bigint")
+    assert gr.acyclic(edges(ladder)) and gr.acyclic(edges([(b, a) for a, b in ladder])) and not rounds
+    assert not gr.acyclic(edges([*ladder, (50, 51), (51, 52), (52, 50), (40, 50), (41, 50)])) and len(rounds) < 3
+    assert not gr.acyclic(edges([(1, 2), (2, 1)])) and not gr.acyclic(edges([(3, 3)])) and gr.acyclic(edges([(1, 2), (None, 1)]))
