@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.functions import text as tx
 from threadloom.functions import vectors as vx
 from threadloom.operators import evaluation as ev
 
@@ -72,3 +73,20 @@ def test_pairs_and_nearest_over_several_tiles(spark, monkeypatch):
         assert sorted((r.u, r.v) for r in vx.similar_pairs(rows, "k", "e", 0.3, blocks).collect()) == [(i, j) for i in range(90) for j in range(i + 1, 90) if score[i, j] >= 0.3]
         near = vx.nearest(rows.where("k < 20"), rows.where("k >= 20"), "k", "e", blocks, 2).collect()
         assert {r.a: r.b for r in near} == {i: int(20 + score[i, 20:].argmax()) for i in range(20)} and len(near) == 20
+
+
+def test_few_cosines_are_cosines(spark):
+    """Scores over the terms that are asked for alone equal those over all terms, in one corpus and in several; counts stay in as many tasks as the session names."""
+    texts = ["red fox runs far", "red red hen sits", "blue fox sleeps far", "green hen runs", "", None, "red fox runs far away"]
+    rows = spark.createDataFrame([("ab"[i % 2], i, t) for i, t in enumerate(texts)], "c string, d long, text string")
+    asked = [(1, "red fox"), (2, "blue hen runs"), (3, "nothing known")]
+    for corpus in ([], ["c"]):
+        found = [(q, *([c] if corpus else []), t) for q, t in asked for c in "ab"[: 2 if corpus else 1]]
+        queries = tx.term_counts(spark.createDataFrame(found, ", ".join(["qid long", *(["c string"] if corpus else []), "text string"])), ["qid", *corpus])
+        sizes = rows.groupBy(*corpus).agg(F.count("*").alias("n"))
+        counts = tx.term_counts(rows, [*corpus, "d"])
+        assert counts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        idfs = tx.idf(counts, sizes, corpus)
+        weights, norms = tx.weigh(counts, idfs, corpus, [*corpus, "d"])
+        seen = [{(r.qid, r.d): round(r.score, 9) for r in x.collect()} for x in (tx.cosine(queries, weights, norms, idfs, corpus, [*corpus, "d"]), tx.few_cosines(rows, queries, sizes, corpus, [*corpus, "d"]))]
+        assert seen[0] and seen[0] == seen[1]

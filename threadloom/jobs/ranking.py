@@ -28,11 +28,8 @@ _SCORE = "s AS (SELECT item_id, doc_id, round(sum(qw * w) / any_value(qnorm) / a
 _BASE = f"{_DOC_TERMS}, {_SIZE}, {_IDF}, {_W}, {_Q}, {_SCORE}"
 
 
-def _doc_model(spark: SparkSession, sf_dir: str, hashed: bool = True):
-    """Counts and inverse document frequencies of the documents' terms, the latter a table that is read several times."""
-    docs = table(spark, sf_dir, "documents")
-    counts = tx.term_counts(docs, ["doc_id"], hashed=hashed)
-    return counts, stored(tx.idf(counts, docs.agg(F.count("*").alias("n")), []))[0]
+def _size(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count("*").alias("n"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +37,8 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts, idfs = _doc_model(spark, sf_dir)
-    weights, norms = tx.weigh(counts, idfs, [], ["doc_id"])
-    scored = tx.cosine(tx.term_counts(_questions(spark, sf_dir), ["qid"]), weights, norms, idfs, [], ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    scored = tx.few_cosines(docs, tx.term_counts(_questions(spark, sf_dir), ["qid"]), _size(docs), [], ["doc_id"])
     return scored.select(F.col("qid").alias("item_id"), "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -54,7 +50,8 @@ def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many terms have which document frequency, and its weight."""
-    _, idfs = _doc_model(spark, sf_dir, hashed=False)
+    docs = table(spark, sf_dir, "documents")
+    idfs = tx.idf(tx.term_counts(docs, ["doc_id"], hashed=False), _size(docs), [])
     return idfs.groupBy("df").agg(F.count("*").alias("n_terms"), F.round(F.max("idf"), 6).alias("idf"), F.min("term").alias("first_term"))
 
 
@@ -69,8 +66,8 @@ def q_idf_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T3."""
-    _, norms = tx.weigh(*_doc_model(spark, sf_dir), [], ["doc_id"])
-    return norms.select("doc_id", F.round("norm", 5).alias("norm"))
+    docs = table(spark, sf_dir, "documents")
+    return tx.norms(tx.term_counts(docs, ["doc_id"]), _size(docs), [], ["doc_id"]).select("doc_id", F.round("norm", 5).alias("norm"))
 
 
 def q_tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +79,7 @@ def q_best_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines are fragments and documents their owners; the three best owners of each text with their best line."""
     docs = table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "text")).where(F.trim("text") != "")
-    counts = tx.term_counts(lines, ["doc_id", "line"])
-    idfs, _, _ = stored(tx.idf(counts, lines.agg(F.count("*").alias("n")), []))
-    weights, norms = tx.weigh(counts, idfs, [], ["doc_id", "line"])
-    scored = tx.cosine(tx.term_counts(_questions(spark, sf_dir), ["qid"]), weights, norms, idfs, [], ["doc_id", "line"])
+    scored = tx.few_cosines(lines, tx.term_counts(_questions(spark, sf_dir), ["qid"]), _size(lines), [], ["doc_id", "line"])
     best = ranking.best_fragment(scored, ["qid", "doc_id"], "line")
     return ranking.top(best, ["qid"], 3, ["doc_id"]).select(F.col("qid").alias("item_id"), F.col("rank").cast("long").alias("rank"), "doc_id", F.col("line").cast("long").alias("line"), "score")
 
@@ -127,11 +121,9 @@ def q_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, _, _ = stored(_doc_scores(spark, sf_dir))
     picked = ranking.top(_class_scores(spark, sf_dir, scores), ["item_id"], 1, ["source"]).select(F.col("item_id").alias("qid"), "source")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    counts = tx.term_counts(docs, ["source", "doc_id"])
-    idfs, _, _ = stored(tx.idf(counts, docs.groupBy("source").agg(F.count("*").alias("n")), ["source"]))
-    weights, norms = tx.weigh(counts, idfs, ["source"], ["source", "doc_id"])
     asked = tx.term_counts(_questions(spark, sf_dir), ["qid"]).join(picked, "qid")
-    inside = ranking.top(tx.cosine(asked, weights, norms, idfs, ["source"], ["source", "doc_id"]), ["qid"], 5, ["doc_id"])
+    scored = tx.few_cosines(docs, asked, docs.groupBy("source").agg(F.count("*").alias("n")), ["source"], ["source", "doc_id"])
+    inside, _, _ = stored(ranking.top(scored, ["qid"], 5, ["doc_id"]))  # read twice
     inside = inside.select(F.col("qid").alias("item_id"), "doc_id", "score", F.lit(1).cast("long").alias("stage"), F.col("rank").cast("long").alias("rank"))
     rest = scores.join(inside, ["item_id", "doc_id"], "left_anti")
     outside = ranking.top(rest, ["item_id"], 5, ["doc_id"]).select("item_id", "doc_id", "score", F.lit(2).cast("long").alias("stage"), F.col("rank").cast("long").alias("rank"))
@@ -140,7 +132,8 @@ def q_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten heaviest terms of each document."""
-    weights, _ = tx.weigh(*_doc_model(spark, sf_dir, hashed=False), [], ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    weights = tx.weights(tx.term_counts(docs, ["doc_id"], hashed=False), _size(docs), [], ["doc_id"])
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("w", 6)), "term"))
     kept = weights.withColumn("rank", rank).where("rank <= 10")
     return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), "|").alias("tags"))
