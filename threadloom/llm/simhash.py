@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import batches, components, cut, fresh, spread_join, stored
+from threadloom.llm.common import batches, components, cut, fresh, sifted, spread_join, stored
 
 SEED = 42
 SORTED = 1 << 20  # variants that a task sorts, on average
@@ -394,7 +394,8 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 2
             pairs, n, _ = stored(pairs)
             if n:
                 used = pairs.select(F.col("x").alias("key")).unionAll(pairs.select(F.col("y").alias("key"))).distinct()
-                texts, _, _ = stored(keyed.join(used, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))
+                asked, _ = sifted(keyed, "key", used, 2 * n)  # else all texts would be shuffled for the few that are asked for
+                texts, _, _ = stored(asked.join(used, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))
                 good = _verified(pairs, texts, words, least)
                 links, _, _ = stored(good if links is None else links.unionAll(good))
                 roots = components(links)
@@ -476,12 +477,12 @@ def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame
     first = each.groupBy("root").agg(F.min(order).alias("first"))
     judged = spread_join(each, first, "root").select("doc_id", "key", F.when(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")), F.col("n")).otherwise(F.lit(0)).alias("n"))
     own, other, key, n = fresh(docs, "own_key", "other_id", "other_key", "n_rows")
-    judged = judged.where("n <> 1").select(F.col("doc_id").alias(other), F.col("key").alias(key), F.col("n").alias(n))
-    rows = docs.withColumn(own, text_key())
+    judged, several, _ = stored(judged.where("n <> 1").select(F.col("doc_id").alias(other), F.col("key").alias(key), F.col("n").alias(n)))
+    met, rest = sifted(docs.withColumn(own, text_key()), own, judged.select(key), several)  # most texts are not judged and need no shuffle
     same = F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(own) == F.col(key))
-    alone = rows.join(judged, same, "left_anti").select(*docs.columns)
-    repeated = rows.join(judged.where(F.col(n) > 1), same, "left_semi").groupBy("doc_id", own).agg(F.min(F.struct(*docs.columns)).alias(n)).select(f"{n}.*")
-    return alone.unionByName(repeated)
+    alone = met.join(judged, same, "left_anti").select(*docs.columns)
+    repeated = met.join(judged.where(F.col(n) > 1), same, "left_semi").groupBy("doc_id", own).agg(F.min(F.struct(*docs.columns)).alias(n)).select(f"{n}.*")
+    return rest.select(*docs.columns).unionByName(alone).unionByName(repeated)
 
 
 def text_key() -> Column:
