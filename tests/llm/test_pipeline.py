@@ -9,6 +9,7 @@ import brute
 import corpus_pipeline
 from test_training_data import edited, prose
 from threadloom.llm import simhash
+from threadloom.llm.common import sifted
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = "score string, matches int, own_key string, _text string, _key long, key string, other_id int, found_spans string, whole_text string, n_rows int, root string, tag int"
@@ -108,3 +109,24 @@ def test_recall_of_pairs_near_the_threshold(spark):
     found = sum(got[2 * k] == got[2 * k + 1] for k in pairs)
     assert len(pairs) > 250 and found >= 0.9 * len(pairs), (found, len(pairs))
     assert all(got[d] == d or d % 2 and got[d] == d - 1 for d in texts)  # nothing else is linked
+
+
+def test_only_texts_that_a_key_asks_for_go_on_to_a_join(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h"), F.col("id").alias("bucket"))
+    wanted = {r.h for r in rows.where("bucket % 50 = 0").collect()}
+    for most, largest in ((28, 1_000), (10, 10_000)):  # at its bound the bitmap lets more through, and loses none
+        met, rest = (part.collect() for part in sifted(rows, "h", rows.where("bucket % 50 = 0").select("h"), len(wanted), most))
+        assert wanted <= {r.h for r in met} and len(met) < largest and len(met) + len(rest) == 20_000
+        assert {tuple(r) for r in [*met, *rest]} == {tuple(r) for r in rows.collect()}
+    met, rest = sifted(rows, "h", rows.limit(0).select("h"), 0)
+    assert met.count() == 0 and rest.count() == 20_000
+
+
+def test_texts_that_are_not_judged_are_not_shuffled(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([row(i, prose(rng, 60)) for i in range(400)] + [row(1000, prose(rng, 60)), row(1001, None), row(1002, "")], SCHEMA)
+    kept = simhash.keep_first(docs)
+    assert {r.doc_id for r in kept.collect()} == set(range(400)) | {1000, 1001}
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    first = plan.strip().split("\n")
+    assert first[0].startswith("Union") and sum(line.startswith(("+- ", ":- ")) for line in first) == 3
