@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import batches, fresh, word_codes
+from threadloom.llm.common import batches, fresh, with_text, word_codes
 
 WORDS = 5  # words in a shingle
 RADIUS = 19  # bits within which every pair of fingerprints is found; at similarity 0.8 ten differ, with a standard deviation of three
 BLOCKS = 4  # of 16 bits: a pair within RADIUS agrees to RADIUS // BLOCKS bits in one of them
 RATIO = 1.06  # neighbouring window sizes
 ITEMS = 20_000  # items that one pass over the documents holds
+PAIRS = 1 << 20  # of windows and items that are compared at once
 MARKS = string.punctuation + "«»‹›“”„‘’‚…–—¿¡·•"  # what is cut from the ends of a word
 
 SPACES = r"[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"  # white space besides blank and line feed
@@ -160,8 +161,9 @@ class Items:
                 for b, table in enumerate(tables):
                     hit |= table[halves[:, b]]
                 at = np.flatnonzero(hit)
-                for k in range(0, len(at), 4096):
-                    some = at[k : k + 4096]
+                step = max(1, min(4096, PAIRS // len(own)))
+                for k in range(0, len(at), step):
+                    some = at[k : k + step]
                     i, j = np.nonzero(np.bitwise_count(got[some][:, None] ^ own[None, :]) <= RADIUS)
                     place = starts[some[i]] + low
                     text, total = text_of[place], totals[members[j]]
@@ -193,11 +195,11 @@ def mark(docs: DataFrame, items: DataFrame, least: float = 0.8, keep: list[str]
     shingle; a null item_id is kept as null; repeated items and rows each give their matches.
     """
     keep = docs.columns if keep is None else keep
-    spark, (text, part_name) = docs.sparkSession, fresh(docs, "whole_text", "found_in_block_")
+    spark, (part_name,) = docs.sparkSession, fresh(docs, "found_in_block_")
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     blocks = max(1, -(-rows.count() // ITEMS))
     kind = T.ArrayType(T.StructType().add("item_id", "long").add("start", "integer").add("words", "integer").add("similarity", "double"))
-    out = docs.select(*keep, F.col("text").cast("string").alias(text))
+    out, text = with_text(docs, keep)
     for block in range(blocks):
         some = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # about ITEMS rows
         shared = spark.sparkContext.broadcast([tuple(r) for r in sorted(some, key=lambda r: (r[0] is None, r[0], r[1]))])
@@ -211,7 +213,7 @@ def mark(docs: DataFrame, items: DataFrame, least: float = 0.8, keep: list[str]
                 _items[key] = Items(shared.value)
             index = _items[key]
             for batch in found:
-                for part in batches(iter([batch]), text):
+                for part in batches(iter([batch]), text, 1 << 20):
                     flat, cuts = word_hashes(part.column(part.schema.get_field_index(text)))
                     own = [shingles(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
                     ends = np.concatenate([[0], np.cumsum([len(h) for h in own])]).astype(np.int64)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import batches, cut, word_codes
+from threadloom.llm.common import batches, bounded, cut, word_codes
 
 MARKS = ".,!?;:#$%&*"  # marks that end a word and stand alone as a token run
 CACHE = 150_000  # different words after which a worker's memory of ids starts anew, with the last ones as its older half
@@ -101,7 +101,7 @@ def token_ids(texts: pa.Array, words_to_ids: WordIds) -> tuple[np.ndarray, np.nd
 
 def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and a bucket of every piece; a null text is the single id 0."""
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    source = bounded(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     schema = source.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,9 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from threadloom.llm.common import batches, fresh, word_codes
+from threadloom.llm.common import batches, with_text, word_codes
 
 BUCKETS = 1 << 18
 TAIL = regex.compile(r"[^\p{L}\p{N}]+$")
@@ -130,18 +131,16 @@ def train(labelled: DataFrame, most: int = 24_000, shards: int = 6, passes: int
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """``keep`` columns (all, if none are named) and ``name``, the score (0 to 1), of every row; whole texts, null as empty."""
     keep = docs.columns if keep is None else keep
-    (text,) = fresh(docs, "whole_text")
-    source = docs.select(*keep, F.col("text").cast("string").alias(text))
+    source, text = with_text(docs, keep)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS + 1 numbers whatever the input
-    schema = source.drop(text).schema.add(name, "double")
+    schema = T.StructType(source.schema.fields[: len(keep)]).add(name, "double")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches(rows, text, 1 << 20):
             r, i, v = features(batch.column(batch.schema.get_field_index(text)))
             total = np.bincount(r, weights=w[i] * v, minlength=batch.num_rows) + w[-1]
-            columns = [batch.column(k) for k, c in enumerate(batch.schema.names) if c != text]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(1.0 / (1.0 + np.exp(-total)))], [*[c for c in batch.schema.names if c != text], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(1.0 / (1.0 + np.exp(-total)))], [*batch.schema.names[: len(keep)], name])
 
     return source.mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import batches, components, cut, fresh, sifted, spread_join, stored
+from threadloom.llm.common import batches, bounded, components, cut, fresh, sifted, spread_join, stored
 
 SEED = 42
 SORTED = 1 << 20  # variants that a task sorts, on average
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, words: int, families: int = 1, keep: tuple[str
 
     Without ``repeats`` each different shingle counts once.
     """
-    source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    source = bounded(docs.select(*keep, F.col("text").cast("string").alias("__text")))
     schema = source.drop("__text").schema.add("fp", T.ArrayType(T.LongType()))
 
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,7 +462,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float, slot
     dealt = pairs.join(many, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("slots")).alias("slot"))
     ones = many.join(texts.select(F.col("key").alias("x"), F.col("text").alias("tx")), "x").select("x", "tx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"))
     sized = dealt.join(texts.select(F.col("key").alias("y"), F.col("text").alias("ty")), "y").join(ones, ["x", "slot"]).select("x", "y", "tx", "ty")
-    return sized.mapInArrow(lambda rows: jaccard(batches(rows, "ty"), words), "x bigint, y bigint, similarity double").where(F.col("similarity") >= least).select("x", "y")
+    return bounded(sized).mapInArrow(lambda rows: jaccard(batches(rows, "ty"), words), "x bigint, y bigint, similarity double").where(F.col("similarity") >= least).select("x", "y")
 
 
 def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
