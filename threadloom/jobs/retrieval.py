@@ -20,11 +20,15 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("node is not null")
 
 
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, record): each document with its record, which is named by its first document."""
+    r = _records(spark, sf_dir)
+    return r.join(r.groupBy("record").agg(F.min("node").alias("first")), "record").select("node", F.col("first").alias("record"))
+
+
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(record, content): the text of a record's first document and its source."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), F.concat_ws(" ", F.coalesce("text", F.lit("")), "source").alias("content"))
-    first = _records(spark, sf_dir).groupBy("record").agg(F.min("node").alias("node"))
-    return first.join(d, "node").select("record", "content")
+    """(record, content): the text of a record's first document and its source; what no record is named by is never asked for."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record"), F.concat_ws(" ", F.coalesce("text", F.lit("")), "source").alias("content"))
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +43,8 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _expanded(spark: SparkSession, sf_dir: str, seeds: DataFrame) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), "text")
-    keys, members, contents, near = (stored(f(spark, sf_dir))[0] for f in (_keys, _records, _contents, _near))  # read on every level
-    return ex.ranked(seeds, near, lambda reached: ex.keyword_scores(reached, keys, texts, contents, members), HOPS, MOST)
+    keys, members, near = (stored(f(spark, sf_dir))[0] for f in (_keys, _members, _near))  # read on every level
+    return ex.ranked(seeds, near, lambda reached: ex.keyword_scores(reached, keys, texts, _contents(spark, sf_dir), members), HOPS, MOST)
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +67,7 @@ def q_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = both.unionByName(near.select("qid", "node", F.lit(2).cast("long").alias("part"), "rank"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), "source", F.coalesce("text", F.lit("")).alias("text"))
     block = ex.instance_block(F.col("rank"), F.col("source"), F.col("text"))
-    blocks = both.join(d, "node").select("qid", F.struct("part", "rank").alias("place"), block.alias("block"))
+    blocks = F.broadcast(both).join(d, "node").select("qid", F.struct("part", "rank").alias("place"), block.alias("block"))  # sixteen rows a question at most are sent to the documents
     head = near.groupBy("qid").agg(F.count("*").alias("n")).select("qid", F.struct(F.lit(2).cast("long").alias("part"), F.lit(0).cast("long").alias("rank")).alias("place"), ex.neighbour_header(["P"], HOPS, F.col("n")).alias("block"))
     whole = ex.context(blocks.unionByName(head), CHARS)
     n = lambda p: F.sum((F.col("part") == p).cast("long"))
