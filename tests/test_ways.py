@@ -41,3 +41,14 @@ def test_ways_of_two_steps_need_no_rounds(spark, monkeypatch):
     e, c = (spark.createDataFrame(rows, "src long, dst long") for rows in (edges, asked + [(a, b) for b, a in asked]))
     got = gr.creates_cycle(e, c).collect()
     assert len(got) == 2 * len(set(asked)) and all(r.cycle == (r.src > r.dst) for r in got) and len(calls) <= 3
+
+
+def test_communities_with_places_sent_or_exchanged(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(a, b, round(rng.random() + (a % 4 == b % 4), 3)) for a in range(40) for b in range(a + 1, 40) if rng.random() < (0.6 if a % 4 == b % 4 else 0.1)]
+    e = spark.createDataFrame(rows, "u long, v long, weight double")
+    found = []
+    for most in (gr.PLACES, 0):
+        monkeypatch.setattr(gr, "PLACES", most)
+        found.append(sorted(tuple(r) for r in gr.communities(e).collect()))
+    assert found[0] == found[1] and len({c for _, c in found[0]}) == 4
